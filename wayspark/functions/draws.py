@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 _SPAN = float(16 ** 15)
 
 
-def draw_hex(seed: int, salt: str, *keys: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[k.cast("string") for k in keys]))
+def draw_hex(seed: int | Column, salt: str, *keys: Column) -> Column:
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", seed, F.lit(salt), *[k.cast("string") for k in keys]))
 
 
 def draw_int(seed: int, salt: str, *keys: Column) -> Column:

@@ -1,6 +1,8 @@
 """Session settings, the shared work folder, lineage cuts and the view store."""
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 from collections.abc import Callable
 from functools import lru_cache
@@ -51,6 +53,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@lru_cache(maxsize=None)
+def _archive(application: str) -> str:
+    root = pathlib.Path(__file__).resolve().parent
+    target = f"{tempfile.mkdtemp(prefix='wayspark-code-')}/wayspark"
+    return shutil.make_archive(target, "zip", root.parent, root.name)
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        spark.sparkContext.addPyFile(_archive(application))
+        _shipped.add(application)
+
+
 class ViewStore:
     """Writes each derived view once as a table, so that every later query starts from a
     pruned, pushed-down scan instead of recomputing the chain behind it."""
@@ -59,6 +79,7 @@ class ViewStore:
 
     def __init__(self, spark: SparkSession, scope: str):
         self.spark, self.scope = spark, scope
+        ship_code(spark)
 
     def view(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, f"{self.scope}/{name}")
