@@ -46,7 +46,7 @@ def _struct(columns):
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], prefix: str = "prev_",
-              chunk: Column | None = None, ahead: bool = False) -> DataFrame:
+              chunk: Column | None = None, ahead: bool = False, keep_chunk: bool = False) -> DataFrame:
     """``lag`` (or ``lead`` with ``ahead``) of ``columns``, as ``<prefix><column>``."""
     work = _chunked(df, chunk)
     pick = F.lead if ahead else F.lag
@@ -58,11 +58,11 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[st
     out = _join_carry(local, carry, keys).withColumn("_near", F.coalesce("_near", "_carry"))
     for c in columns:
         out = out.withColumn(prefix + c, F.col("_near")[c])
-    return out.drop("_near", "_carry", CHUNK)
+    return out.drop("_near", "_carry", *([] if keep_chunk else [CHUNK]))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
-            chunk: Column | None = None) -> DataFrame:
+            chunk: Column | None = None, keep_chunk: bool = False) -> DataFrame:
     """Inclusive cumulative sums in ``order``."""
     work = _chunked(df, chunk)
     for name, value in sums.items():
@@ -77,7 +77,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     out = _join_carry(local, carry, keys)
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
-    return out.drop(*[f"_{p}_{n}" for n in sums for p in "vc"], CHUNK)
+    return out.drop(*[f"_{p}_{n}" for n in sums for p in "vc"], *([] if keep_chunk else [CHUNK]))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import poisson1
 from ..functions.ordered import exact_percentiles, range_chunks, running
 from ..functions.registry import metric_rows, with_spec
+from ..session import cut_lineage
 
 _HOW = {r[0]: r[8] for r in metric_rows()}
 
@@ -115,7 +116,8 @@ def emit_records(samples: DataFrame, keys: list[str], preferred: list[str], n_bo
     ``samples``: (keys, model, sample_id, metric, value); baselines are models named 'baseline:<x>'.
     """
     groups = [*keys, "model"]
-    values = aggregate_values(samples, groups)
+    samples = cut_lineage(samples.select(*groups, "sample_id", "metric", "value"))      # read by every branch below
+    values = cut_lineage(aggregate_values(samples, groups))
     base = preferred_baseline(values, keys, preferred)
     is_base = F.col("model").startswith("baseline:")
     out = values.join(base, [*keys, "metric"], "left")
@@ -123,7 +125,7 @@ def emit_records(samples: DataFrame, keys: list[str], preferred: list[str], n_bo
     out = with_spec(out)
     out = out.withColumn("skill", skill_score(F.col("value"), F.col("baseline_value"), F.col("skill_kind")))
     if n_boot:
-        reps = bootstrap_values(samples, groups, n_boot, seed)
+        reps = cut_lineage(bootstrap_values(samples, groups, n_boot, seed))
         out = out.join(interval(reps, [*groups, "metric"], "value", "ci_"), [*groups, "metric"], "left")
         out = out.join(paired_skill_ci(reps, out, keys), [*groups, "metric"], "left")
     return out.withColumn("flags", sanity_flags()).drop("aggregate", "skill_kind", "low", "high", "plausible_max")

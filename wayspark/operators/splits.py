@@ -61,11 +61,13 @@ def split_predefined(points: DataFrame, val_by: str = "time", val_fraction: floa
     if val_by == "user":
         users = train.select("user_id").distinct()
         k = max(1, round(val_fraction * users.count()))
-        chosen = users.orderBy(draw_hex(seed, "user", F.col("user_id")), "user_id").limit(k)
+        drawn = users.withColumn("_h", draw_hex(seed, "user", F.col("user_id")))
+        chosen = global_rank(drawn, ["_h", "user_id"], "_rank").filter(F.col("_rank") <= k)
         held = train.join(chosen, "user_id", "left_semi").select("traj_id")
     elif val_by == "time":
         k = max(1, round(val_fraction * train.count()))
-        held = train.orderBy(F.desc("t_start"), F.desc("traj_id")).limit(k).select("traj_id")
+        n = train.count()
+        held = global_rank(train, ["t_start", "traj_id"], "_rank").filter(F.col("_rank") > n - k).select("traj_id")
     else:
         raise ValueError("val_by must be 'time' or 'user'")
     held = held.withColumn("_val", F.lit(True))
@@ -74,10 +76,21 @@ def split_predefined(points: DataFrame, val_by: str = "time", val_fraction: floa
 
 
 # ------------------------------------------------------------------ seeded subsets
+SMALL_DRAW = 100_000
+
+
+def drawn_keys(df: DataFrame, key: str, n: int, seed: int = 0, salt: str = "cap") -> DataFrame:
+    """The first ``n`` distinct keys in hash order. A small draw is a top-n (each task sends n rows at
+    most); a large one is a distributed rank, as n may then grow with the data."""
+    keys = df.select(key).distinct().withColumn("_h", draw_hex(seed, salt, F.col(key)))
+    if n <= SMALL_DRAW:
+        return keys.orderBy("_h", key).limit(n).select(key)
+    return global_rank(keys, ["_h", key], "_rank").filter(F.col("_rank") <= n).select(key)
+
+
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int = 0, salt: str = "cap") -> DataFrame:
     """At most ``n`` rows per distinct ``key`` order by hash: a semi-join with the drawn keys."""
-    drawn = df.select(key).distinct().orderBy(draw_hex(seed, salt, F.col(key)), key).limit(n)
-    return df.join(drawn, key, "left_semi")
+    return df.join(drawn_keys(df, key, n, seed, salt), key, "left_semi")
 
 
 def trajectory_cap(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
