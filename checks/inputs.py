@@ -101,14 +101,11 @@ class Inputs:
 
 
 # ---------------------------------------------------------------------------- the same in SQL
-HAV = ("(2 * 6371008.8 * asin(sqrt(least(greatest(pow(sin((radians({b}lat)-radians({a}lat))/2),2)"
-       " + cos(radians({a}lat))*cos(radians({b}lat))*pow(sin((radians({b}lon)-radians({a}lon))/2),2), 0.0::DOUBLE), 1.0::DOUBLE))))")
-
-
 def hav(lat1, lon1, lat2, lon2) -> str:
-    return (f"(2 * 6371008.8::DOUBLE * asin(sqrt(least(greatest(pow(sin((radians({lat2})-radians({lat1}))/2),2)"
-            f" + cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2),"
-            f" 0.0::DOUBLE), 1.0::DOUBLE))))")
+    a = (f"(pow(sin((radians({lat2})-radians({lat1}))/2),2)"
+         f" + cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2))")
+    # least() skips missing values there, the added term keeps them missing
+    return f"(2 * 6371008.8::DOUBLE * asin(sqrt(least({a}, 1.0::DOUBLE) + 0 * {a})))"
 
 
 def sql_hex(seed, salt, *keys) -> str:

@@ -18,7 +18,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     half_lat = F.sin((p2 - p1) / 2)
     half_lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))))
+    # not least(): it would turn a missing position into a distance
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def x_scale(lat0: float | Column):

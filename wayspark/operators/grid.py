@@ -12,7 +12,7 @@ from ..functions.ordered import exact_percentiles, global_rank
 
 
 def _clip(c: Column, hi: int) -> Column:
-    return F.least(F.greatest(c, F.lit(0)), F.lit(hi))
+    return F.when(c < 0, F.lit(0)).when(c > hi, F.lit(hi)).otherwise(c)
 
 
 @dataclass(frozen=True)

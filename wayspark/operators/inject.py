@@ -69,7 +69,7 @@ def _corrupt(rows: DataFrame, length: int, teleport_km, speed_factor: float, noi
     # step number p - 1 leads to position p
     inside = (F.col("pos") - 1 >= F.col("_s")) & (F.col("pos") - 1 < F.col("_e"))
     angle = math.pi / 3 + 4 * math.pi / 3 * uniform(seed, "angle", wid)
-    mirror = F.expr("try_element_at(_steps, cast(_s + _e - pos + 1 as int))")
+    mirror = F.expr("try_element_at(_steps, cast(_s + _e - pos + 2 as int))")
     turned_x = F.cos(angle) * F.col("_dx") - F.sin(angle) * F.col("_dy")
     turned_y = F.sin(angle) * F.col("_dx") + F.cos(angle) * F.col("_dy")
 

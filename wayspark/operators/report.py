@@ -103,7 +103,7 @@ def paper_match(records: DataFrame, rules: DataFrame) -> DataFrame:
     task = F.regexp_replace("task", "/linear_probe", "")
     r = F.broadcast(rules.withColumnRenamed("model", "r_model").withColumnRenamed("metric", "r_metric").withColumnRenamed("protocol", "r_protocol"))
     cond = (F.col("model") == F.col("r_model")) & (F.col("metric") == F.col("r_metric")) & (F.col("protocol") == F.col("r_protocol")) \
-        & F.col("_task").rlike(F.concat(F.lit("^(?:"), F.col("task_pattern"), F.lit(")$")))
+        & F.rlike(F.col("_task"), F.concat(F.lit("^(?:"), F.col("task_pattern"), F.lit(")$")))
     hits = records.withColumn("_task", task).join(r, cond).groupBy("task", "metric", "protocol", "model").agg(F.min_by("level", "rule").alias("paper_match"))
     return records.drop("paper_match").join(hits, ["task", "metric", "protocol", "model"], "left").withColumn("paper_match", F.coalesce("paper_match", F.lit("")))
 
