@@ -144,9 +144,9 @@ def p10(d):
     return prep.labels_by_interval(d.points(), labels).select("traj_id", "t", "mode")
 
 
-@query("P11_bbox_area_radius", sql("""SELECT round(lat_min, 8) AS lat_min, round(lat_max, 8) AS lat_max, round(lon_min, 8) AS lon_min, round(lon_max, 8) AS lon_max,
+@query("P11_bbox_area_radius", sql(f"""SELECT round(lat_min, 8) AS lat_min, round(lat_max, 8) AS lat_max, round(lon_min, 8) AS lon_min, round(lon_max, 8) AS lon_max,
      round(area, 6) AS area_km2, round(least(greatest(sqrt(8.0::DOUBLE * area * 1e6::DOUBLE / (pi() * n)), 50.0::DOUBLE), 2000.0::DOUBLE), 4) AS radius_m FROM
-     (SELECT *, (lat_max - lat_min) * 111195.0::DOUBLE / 1000 * ((lon_max - lon_min) * 111195.0::DOUBLE / 1000 * cos(radians((lat_min + lat_max) / 2))) AS area FROM
+     (SELECT *, {hav('lat_min', 'lon_min', 'lat_max', 'lon_min')} / 1000 * ({hav('lat_min', 'lon_min', 'lat_min', 'lon_max')} / 1000) AS area FROM
      (SELECT min(lat) - 500.0::DOUBLE/111195.0::DOUBLE AS lat_min, max(lat) + 500.0::DOUBLE/111195.0::DOUBLE AS lat_max,
        min(lon) - 500.0::DOUBLE/(111195.0::DOUBLE*cos(radians(avg(lat)))) AS lon_min, max(lon) + 500.0::DOUBLE/(111195.0::DOUBLE*cos(radians(avg(lat)))) AS lon_max,
        count(DISTINCT traj_id) AS n FROM points))""", "points"))

@@ -200,22 +200,22 @@ def bbox(points: DataFrame, pad_m: float = 0.0) -> DataFrame:
     b = points.agg(F.min("lat").alias("a0"), F.max("lat").alias("a1"), F.min("lon").alias("o0"),
                    F.max("lon").alias("o1"), F.avg("lat").alias("mid"))
     pad_lat = pad_m / METRES_PER_DEGREE
-    pad_lon = pad_m / (METRES_PER_DEGREE * F.cos(F.radians("mid")))
+    pad_lon = pad_m / (METRES_PER_DEGREE * F.greatest(F.cos(F.radians("mid")), F.lit(0.01)))
     return b.select((F.col("a0") - pad_lat).alias("lat_min"), (F.col("a1") + pad_lat).alias("lat_max"),
                     (F.col("o0") - pad_lon).alias("lon_min"), (F.col("o1") + pad_lon).alias("lon_max"))
 
 
 def bbox_area_km2(box: DataFrame) -> DataFrame:
-    mid = F.radians((F.col("lat_min") + F.col("lat_max")) / 2)
-    h = (F.col("lat_max") - F.col("lat_min")) * METRES_PER_DEGREE / 1000
-    w = (F.col("lon_max") - F.col("lon_min")) * METRES_PER_DEGREE / 1000 * F.cos(mid)
-    return box.withColumn("area_km2", h * w)
+    """Height times width along the southern edge."""
+    a0, a1, o0, o1 = (F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max"))
+    return box.withColumn("area_km2", haversine_m(a0, o0, a1, o0) / 1000 * (haversine_m(a0, o0, a0, o1) / 1000))
 
 
-def suggest_radius(box: DataFrame, n: int | Column, neighbours: int = 8) -> DataFrame:
-    """Radius that would hold about ``neighbours`` evenly spread features, within [50, 2000] m."""
-    n = F.lit(n) if isinstance(n, int) else n
-    radius = F.sqrt(F.lit(float(neighbours)) * F.col("area_km2") * 1e6 / (math.pi * F.greatest(n, F.lit(1))))
+def suggest_radius(box: DataFrame, n: int, neighbours: float = 8.0) -> DataFrame:
+    """Radius whose disc holds about ``neighbours`` of ``n`` features at the mean density of the area,
+    within [50, 2000] m; 500 m without features."""
+    density = n / F.greatest(F.col("area_km2"), F.lit(1e-6))
+    radius = F.sqrt(neighbours / (math.pi * density)) * 1000 if n else F.lit(500.0)
     return bbox_area_km2(box).withColumn("radius_m", F.least(F.greatest(radius, F.lit(50.0)), F.lit(2000.0)))
 
 
