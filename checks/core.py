@@ -24,7 +24,7 @@ def query(name, oracle=None):
 
 
 # ------------------------------------------------------------------ slice
-@query("info_summary", sql("""
+@query("D12_dataset_summary", sql("""
     , n AS (SELECT * FROM (VALUES ('train'), ('val'), ('test')) v(split)),
     pt AS (SELECT tr.split, count(*) AS n_points, count(DISTINCT p.user_id) AS n_users, count(DISTINCT p.traj_id) AS n_trips
            FROM points p JOIN trips tr ON tr.traj_id = p.traj_id GROUP BY tr.split),
@@ -186,8 +186,8 @@ def p14(d):
        ON r.t = s.t AND round(r.lat, 6) = round(s.lat, 6) AND round(r.lon, 6) = round(s.lon, 6)
      JOIN (SELECT traj_id, count(*) AS n FROM points GROUP BY traj_id) z ON z.traj_id = r.traj_id""", "points"))
 def p15(d):
-    counted = prep.numbered(d.points(), ["traj_id"], ["t"], "i", prep.by_day())
-    return prep.find_in_raw(counted.filter("i > 2").drop("i"), d.points())
+    tail = prep._placed(d.points()).filter("p >= 2").drop("p", "n")
+    return prep.find_in_raw(tail, d.points())
 
 
 @query("P16_decimals_share", sql("""SELECT round(avg(CASE WHEN abs(lat * 1000000 - round(lat * 1000000)) > 1e-4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share, count(*) AS n
@@ -419,6 +419,11 @@ def v9(d):
     return h.select("sample_id", "tgt.travel_s", F.round("tgt.lat", 8).alias("tgt_lat"), F.col("tgt.cell").alias("tgt_cell"), "tgt.t_arrive")
 
 
+@query("V9_hide_masked", sql("SELECT window_id, pos, t, CASE WHEN pos IN (2, 3, 6) THEN NULL ELSE lat END AS lat FROM win", "win"))
+def v9b(d):
+    return views.hide_masked(d.windows().withColumn("hidden", F.col("pos").isin(2, 3, 6))).select("window_id", "pos", "t", "lat")
+
+
 @query("V10_odd_even_views", sql("""SELECT window_id, pos, CASE WHEN pos % 2 = 1 THEN 'query' ELSE 'database' END AS side, t FROM win WHERE split = 'test'""", "win"))
 def v10(d):
     odd, even = views.odd_even_views(d.windows().filter("split = 'test'"))

@@ -29,7 +29,9 @@ class Inputs:
     def _fixes(self) -> DataFrame:
         events = self.table("events").select("user_id", "event_id", "ts")
         day = F.unix_date(F.to_date("ts")).cast("bigint")
-        n = ordered.numbered(events, ["user_id"], ["ts", "event_id"], "rn", day)
+        count = ordered.over_groups("user_id", chunk=lambda: day)(
+            lambda df, chunk: ordered.numbered(df, ["user_id"], ["ts", "event_id"], "rn", chunk))
+        n = count(events)
         rn = F.col("rn") - 1
         trip = F.floor(rn / 8).cast("bigint")
         n = n.select("user_id", "event_id", trip.alias("trip"), (rn % 8).alias("i"))

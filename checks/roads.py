@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wayspark.operators import grid as G, matching, proximity, resample, roads, splits, views
+from wayspark.operators import grid as G, matching, prep, proximity, resample, roads, splits, views
 from wayspark.session import work_dir
 from wayspark.sources import context, datasets, matches, results, tables
 
@@ -248,11 +248,10 @@ def j2(d):
 
 @query("J3_asof_last_stay", sql("""SELECT p.traj_id, p.t_start, max(s.t_leave) AS last_leave FROM trips p LEFT JOIN stays s ON s.user_id = p.user_id AND s.t_leave <= p.t_start GROUP BY p.traj_id, p.t_start""", "trips", "stays"))
 def j3(d):
-    from wayspark.functions.ordered import last_known
-    left = d.trips().select("user_id", F.col("t_start").alias("at"), F.lit(1).alias("side"), "traj_id", F.lit(None).cast("double").alias("leave"))
-    right = d.stays().select("user_id", F.col("t_leave").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("traj_id"), F.col("t_leave").alias("leave"))
-    r = last_known(left.unionByName(right), ["user_id"], ["at", "side", "traj_id"], "leave", "last_leave", F.floor(F.col("at") / 86400))
-    return r.filter("side = 1").select("traj_id", F.col("at").alias("t_start"), "last_leave")
+    left = d.trips().select("user_id", F.col("t_start").alias("_at"), F.lit(1).alias("side"), "traj_id", F.lit(None).cast("double").alias("leave"))
+    right = d.stays().select("user_id", F.col("t_leave").alias("_at"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("traj_id"), F.col("t_leave").alias("leave"))
+    r = prep.as_of(left.unionByName(right), ["_at", "side", "traj_id"], "leave", "last_leave")
+    return r.filter("side = 1").select("traj_id", F.col("_at").alias("t_start"), "last_leave")
 
 
 _XY = "(({lon}) - 12.52::DOUBLE) * 0.017453292519943295::DOUBLE * 6371008.8::DOUBLE * cos(radians(55.62::DOUBLE))", "(({lat}) - 55.62::DOUBLE) * 0.017453292519943295::DOUBLE * 6371008.8::DOUBLE"

@@ -1,13 +1,17 @@
 """Ordered (window) work on groups of any size.
 
-A plain ``Window.partitionBy(user).orderBy(t)`` sends a whole user to one task; a user that holds a
-third of all rows then is the run time of the job. Here a group is cut into chunks along its own
-order (a day of fixes, or a range partition), the window runs inside ``(group, chunk)``, and what
-crosses a border - the last row, the count, the sum so far - travels in a table with one row per
-chunk. Results equal those of the plain window.
+A window over ``(user, t)`` is one exchange for a whole chain of lags, sums and numbers, but it sends
+each user to one task; a user that holds a third of all rows would then be the run time of the job.
+``over_groups`` therefore measures the groups first. Groups of ordinary size take the plain windows.
+Larger ones are cut into chunks along their own order (a day of fixes, a range partition): the window
+runs inside ``(group, chunk)``, and what crosses a border - the last row, the count, the sum so far -
+travels in a table with one row per chunk. Both ways give the same rows.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +19,39 @@ from ..session import cut_lineage, partitions
 
 CHUNK = "_chunk"
 DAY = 86_400
+HOT_SETTING, HOT_ROWS = "wayspark.hotGroupRows", 1_000_000
 
 
 def by_day(t: str = "t", seconds: int = DAY) -> Column:
     return F.floor(F.col(t) / seconds)
 
 
+def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of groups above the row limit (at most rows / limit of them), or None without any. Counts
+    combine map-side and read the key columns only."""
+    limit = int(df.sparkSession.conf.get(HOT_SETTING, str(HOT_ROWS)))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    return cut_lineage(hot) if hot.take(1) else None
+
+
+def over_groups(*keys: str, chunk: Callable[[], Column]):
+    """Runs ``fn(df, ..., chunk=None)`` on ordinary groups and ``fn(df, ..., chunk=chunk())`` on the
+    hot ones. A caller that has measured already passes ``chunk`` itself."""
+    def wrap(fn):
+        @functools.wraps(fn)
+        def call(df: DataFrame, *args, **kwargs):
+            if "chunk" in kwargs:
+                return fn(df, *args, **kwargs)
+            hot = hot_groups(df, list(keys))
+            if hot is None:
+                return fn(df, *args, chunk=None, **kwargs)
+            usual = fn(df.join(hot, list(keys), "left_anti"), *args, chunk=None, **kwargs)
+            large = fn(df.join(hot, list(keys), "left_semi"), *args, chunk=chunk(), **kwargs)
+            return usual.unionByName(large)
+        return call
+    return wrap
+
+
 def range_chunks(df: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
     """Chunk by range partition of ``order``. Written out before use, so that both readers of the
     result see the same borders; for orders with no natural step such as scores or start times."""
@@ -30,7 +61,12 @@ def range_chunks(df: DataFrame, order: list[str], n: int | None = None) -> DataF
 
 
 def _chunked(df: DataFrame, chunk: Column | None) -> DataFrame:
-    return df if chunk is None else df.withColumn(CHUNK, chunk)
+    """Chunked input is written once, as the window and the border table both read it."""
+    return df if chunk is None else cut_lineage(df.withColumn(CHUNK, chunk))
+
+
+def _plain(df: DataFrame, chunk: Column | None) -> bool:
+    return chunk is None and CHUNK not in df.columns
 
 
 def _inside(keys, order):
@@ -48,8 +84,11 @@ def _struct(columns):
 def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], prefix: str = "prev_",
               chunk: Column | None = None, ahead: bool = False, keep_chunk: bool = False) -> DataFrame:
     """``lag`` (or ``lead`` with ``ahead``) of ``columns``, as ``<prefix><column>``."""
-    work = _chunked(df, chunk)
     pick = F.lead if ahead else F.lag
+    if _plain(df, chunk):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({prefix + c: pick(c).over(w) for c in columns})
+    work = _chunked(df, chunk)
     edge = F.min_by if ahead else F.max_by
     edges = work.groupBy(*keys, CHUNK).agg(edge(_struct(columns), _struct(order)).alias("_edge"))
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK)
@@ -64,6 +103,9 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[st
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
             chunk: Column | None = None, keep_chunk: bool = False) -> DataFrame:
     """Inclusive cumulative sums in ``order``."""
+    if _plain(df, chunk):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
     work = _chunked(df, chunk)
     for name, value in sums.items():
         work = work.withColumn(f"_v_{name}", value)
@@ -89,6 +131,9 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
 def last_known(df: DataFrame, keys: list[str], order: list[str], column: str, name: str,
                chunk: Column | None = None) -> DataFrame:
     """Latest non-null ``column`` at or before each row: the as-of fill."""
+    if _plain(df, chunk):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.last(column, ignorenulls=True).over(w))
     work = _chunked(df, chunk)
     known = work.filter(F.col(column).isNotNull())
     edges = known.groupBy(*keys, CHUNK).agg(F.max_by(F.col(column), _struct(order)).alias("_edge"))
@@ -107,6 +152,14 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
     return numbered(range_chunks(one, order), ["_all"], order, name).drop("_all")
 
 
+def group_size(df: DataFrame, keys: list[str], name: str, chunk: Column | None) -> DataFrame:
+    """Adds the number of rows of the group."""
+    if _plain(df, chunk):
+        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return df.join(sizes, keys)
+
+
 def row_blocks(df: DataFrame, keys: list[str], index: str, size: int, before: int = 0) -> DataFrame:
     """Blocks of ``size`` consecutive rows (0-based ``index``) with a halo of ``before`` earlier rows.
 

@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from ..functions.blocks import in_blocks, matrix, stream_past, union_all
 from ..functions.draws import draw_int, normal, uniform
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
-from ..functions.ordered import by_day, exact_percentiles, global_rank, neighbour, numbered, range_chunks, running
+from ..functions.ordered import exact_percentiles, global_rank, neighbour, range_chunks, running
 from .features import radius_of_gyration
 from .grid import SquareGrid
+from .prep import _placed
 from .resample import resample_index
+from .views import per_user_month
 
 LOG_STATS = ("radius_of_gyration", "jump_length", "stay_duration")
 EPS = 1e-12
 
 
+@per_user_month
+def _previous_stay(stays: DataFrame, chunk: Column | None) -> DataFrame:
+    return neighbour(stays, ["user_id"], ["t_arrive", "traj_id"], ["lat", "lon"], "_p_", chunk)
+
+
 def trajectory_stats(points: DataFrame, stays: DataFrame, grid: SquareGrid) -> DataFrame:
     """Long (stat, user_id, value): gyration per trip, jump length and duration per stay, distinct
     cells per user and day."""
     rg = radius_of_gyration(points, ["user_id", "traj_id"]).select(F.lit("radius_of_gyration").alias("stat"), "user_id", F.col("rg_m").alias("value"))
-    month = F.floor(F.col("t_arrive") / (28 * 86400))
-    near = neighbour(stays, ["user_id"], ["t_arrive", "traj_id"], ["lat", "lon"], "_p_", month)
-    jump = near.filter("_p_lat is not null").select(F.lit("jump_length").alias("stat"), "user_id",
+    jump = _previous_stay(stays).filter("_p_lat is not null").select(F.lit("jump_length").alias("stat"), "user_id",
         haversine_m(F.col("_p_lat"), F.col("_p_lon"), F.col("lat"), F.col("lon")).alias("value"))
     stay = stays.select(F.lit("stay_duration").alias("stat"), "user_id", ((F.col("t_leave") - F.col("t_arrive")) / 60.0).alias("value"))
     cells = stays.select("user_id", F.floor(F.col("t_arrive") / 86400).alias("d"), grid.cell(F.col("lat"), F.col("lon")).alias("c")).distinct()
@@ -164,9 +169,7 @@ def uniform_bbox(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Lower reference: real timing, two to four drawn places inside the box per trip, small noise."""
     a0, a1, o0, o1 = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
     drawn = _drawn_trips(points, n, seed, "trip")
-    counted = numbered(points.select("user_id", "traj_id", "t"), ["traj_id"], ["t"], "p", by_day()).withColumn("p", F.col("p") - 1)
-    sizes = points.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.join(sizes, "traj_id").join(drawn, "traj_id")
+    rows = _placed(points.select("user_id", "traj_id", "t")).join(drawn, "traj_id")
     stops = 2 + F.pmod(draw_int(seed, "stops", F.col("gen")), F.lit(3))
     r = rows.withColumn("k", stops).withColumns({"q": F.floor(F.col("n") / F.col("k")), "m": F.col("n") % F.col("k")})
     # consecutive parts whose sizes differ by at most one
@@ -180,7 +183,7 @@ def uniform_bbox(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def seed_only(points: DataFrame, n: int, seed: int = 0, seed_points: int = 5, max_len: int = 512) -> DataFrame:
     """Control: the real prefix of ``seed_points`` fixes, then standing still with the real timing."""
     drawn = _drawn_trips(points, n, seed, "trip", seed_points + 1)
-    counted = numbered(points, ["traj_id"], ["t"], "p", by_day()).filter(F.col("p") <= max_len)
+    counted = _placed(points).withColumn("p", F.col("p") + 1).filter(F.col("p") <= max_len)
     last = counted.filter(F.col("p") == seed_points).select("traj_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     rows = counted.join(last, "traj_id").join(drawn, "traj_id")
     hold = lambda c: F.when(F.col("p") > seed_points, F.col(f"_{c}")).otherwise(F.col(c))

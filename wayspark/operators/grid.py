@@ -108,7 +108,8 @@ def nearest(queries: DataFrame, targets: DataFrame, key: str, target: str, lat0:
     for level in range(levels - 1, -1, -1):
         tiles = t.groupBy(F.col(f"tile{level + 1}").alias("tile"), F.col(f"tile{level}").alias("child")).agg(
             F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1"))
-        pairs = live.join(tiles, "tile")
+        # the top tiles are at most the earth's surface in squares of leaf_m * fan^(levels - 1)
+        pairs = live.join(F.broadcast(tiles) if level == levels - 1 else tiles, "tile")
         out = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
         far = lambda v, lo, hi: F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi)))
         near2 = out("x", "x0", "x1") ** 2 + out("y", "y0", "y1") ** 2

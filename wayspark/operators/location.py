@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from ..functions.ordered import running
+from ..session import cut_lineage
 from .grid import SquareGrid
 from .scores import melt
 
@@ -25,9 +25,10 @@ class LocationBaselines:
     def __init__(self, train: DataFrame, n_cells: int, alpha: float = 0.1):
         self.n_cells, self.alpha = n_cells, alpha
         pairs = train.select(F.element_at("ctx", -1)["cell"].alias("last"), F.col("tgt.cell").alias("cell"))
-        self.transitions = pairs.groupBy("last", "cell").agg(F.count(F.lit(1)).alias("m"))
-        both = pairs.select(F.explode(F.array("last", "cell")).alias("cell"))
-        self.popularity = both.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"))
+        # counts per pair of cells: read by every baseline, so written once
+        self.transitions = cut_lineage(pairs.groupBy("last", "cell").agg(F.count(F.lit(1)).alias("m")))
+        both = self.transitions.select(F.explode(F.array("last", "cell")).alias("cell"), "m")
+        self.popularity = cut_lineage(both.groupBy("cell").agg(F.sum("m").alias("cnt")))
         row = self.popularity.agg(F.sum("cnt"), F.count(F.lit(1)), F.min_by("cell", F.struct(-F.col("cnt"), F.col("cell")))).first()
         self.total, self.seen, self.top_cell = row[0] or 0, row[1], row[2] if row[2] is not None else 0
         # cells with a count of at least each count that occurs

@@ -2,13 +2,14 @@
 best-path recursion runs per trip."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import by_day, neighbour, numbered, running
+from ..functions.ordered import neighbour, running
 from ..functions.scan import group_scan
 from ..session import cut_lineage
+from .prep import per_trajectory
 from .proximity import candidate_roads, road_pieces
 from .roads import bounded_routes, directed_edges
 
@@ -67,11 +68,22 @@ def match_states(points: DataFrame, segments: DataFrame, lat0: float, lon0: floa
                     "dist", "seg_len", ahead("u", "v").alias("entry"), ahead("v", "u").alias("exit"), (F.row_number().over(order) - 1).alias("state"))
 
 
+@per_trajectory
+def _previous_fix(fixes: DataFrame, chunk: Column | None) -> DataFrame:
+    return neighbour(fixes, ["traj_id"], ["t"], ["t", "x", "y"], "p_", chunk)
+
+
+@per_trajectory
+def _chains(steps: DataFrame, chunk: Column | None) -> DataFrame:
+    opens = F.when(F.col("pairs").isNull(), 1).otherwise(0).cast("bigint")
+    return running(steps, ["traj_id"], ["t"], {"chain": opens}, chunk)
+
+
 def match_transitions(states: DataFrame, segments: DataFrame, lat0: float, lon0: float, radius_m: float = 60.0, margin_m: float = 1500.0, beta_m: float = 50.0) -> tuple[DataFrame, DataFrame]:
     """(fixes in order with chain pieces, transition scores). A trip's routes are searched up to
     3 x its longest step + 2 x radius + margin, each source node up to the largest limit it needs."""
     fixes = states.select("traj_id", "t", "x", "y").distinct()
-    near = neighbour(fixes, ["traj_id"], ["t"], ["t", "x", "y"], "p_", by_day())
+    near = _previous_fix(fixes)
     near = near.withColumn("gc", F.sqrt((F.col("x") - F.col("p_x")) ** 2 + (F.col("y") - F.col("p_y")) ** 2))
     near = cut_lineage(near.select("traj_id", "t", "p_t", "gc"))
     limits = near.groupBy("traj_id").agg((3.0 * F.coalesce(F.max("gc"), F.lit(0.0)) + 2 * radius_m + margin_m).alias("limit_m"))
@@ -91,8 +103,7 @@ def match_transitions(states: DataFrame, segments: DataFrame, lat0: float, lon0:
     steps = scored.groupBy("traj_id", "t").agg(F.sort_array(F.collect_list(F.struct("i", "j", "s"))).alias("pairs"))
     # where no pair of states is connected the chain restarts for certain: trips are cut there
     chain = near.join(steps, ["traj_id", "t"], "left")
-    piece = running(chain, ["traj_id"], ["t"], {"chain": F.when(F.col("pairs").isNull(), 1).otherwise(0).cast("bigint")}, by_day())
-    return piece.select("traj_id", "chain", "t", "pairs"), scored
+    return _chains(cut_lineage(chain.select("traj_id", "t", "pairs"))), scored
 
 
 def match(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, beta_m: float = 50.0, radius_m: float = 60.0,

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, haversine_m
-from ..functions.ordered import by_day, exact_percentiles, neighbour, numbered, range_chunks, running
+from ..functions.ordered import by_day, exact_percentiles, group_size, last_known, neighbour, numbered, over_groups, running
 from ..functions.scan import keep_scan
+from ..session import cut_lineage
 
-DAY = by_day
+per_trajectory = over_groups("traj_id", chunk=by_day)
 
 
 def valid_fixes(points: DataFrame) -> DataFrame:
@@ -40,29 +41,37 @@ def _haversine(a, b) -> float:
     return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(max(h, 0.0), 1.0)))
 
 
-def speed_filter(points: DataFrame, max_speed_mps: float, chunk: Column | None = None) -> DataFrame:
+def _fast(max_speed_mps: float) -> Column:
+    return _speed_from(F.col("_p_lat"), F.col("_p_lon"), F.col("_p_t"), F.col("lat"), F.col("lon"), F.col("t")) > max_speed_mps
+
+
+@per_trajectory
+def speed_filter(points: DataFrame, max_speed_mps: float, chunk: Column | None) -> DataFrame:
     """Drop fixes that imply an impossible speed from the last *kept* fix of the trajectory.
 
     Only a trajectory with at least one too-fast step between *neighbouring* fixes can lose a fix,
-    so all others pass as they are and only the suspicious ones are scanned in order.
+    so all others pass as they are and only the suspicious ones are scanned in order. The flagged
+    rows are written once, as both ways read them.
     """
-    chunk = by_day() if chunk is None else chunk
-    near = neighbour(points, ["traj_id"], ["t"], ["t", "lat", "lon"], "_p_", chunk)
-    fast = _speed_from(F.col("_p_lat"), F.col("_p_lon"), F.col("_p_t"), F.col("lat"), F.col("lon"), F.col("t")) > max_speed_mps
-    suspects = near.filter(fast).select("traj_id").distinct()
-    clear = points.join(suspects, "traj_id", "left_anti")
-    odd = points.join(suspects, "traj_id", "left_semi")
+    near = neighbour(points, ["traj_id"], ["t"], ["t", "lat", "lon"], "_p_", chunk).withColumn("_fast", F.coalesce(_fast(max_speed_mps), F.lit(False)))
+    if chunk is None:
+        flagged = near.withColumn("_odd", F.max("_fast").over(Window.partitionBy("traj_id")))
+    else:
+        odd = near.filter("_fast").select("traj_id").distinct().withColumn("_odd", F.lit(True))
+        flagged = near.join(odd, "traj_id", "left").withColumn("_odd", F.coalesce("_odd", F.lit(False)))
+    flagged = cut_lineage(flagged.select(*points.columns, "_odd"))
+    clear, odd = (flagged.filter(c).select(*points.columns) for c in ("not _odd", "_odd"))
 
     def keep(last, row):
         return _haversine(last, row) / max(row[0] - last[0], 1.0) <= max_speed_mps
     return clear.unionByName(keep_scan(odd, ["traj_id"], ["t"], ["t", "lat", "lon"], keep))
 
 
-def speed_filter_lag(points: DataFrame, max_speed_mps: float, chunk: Column | None = None) -> DataFrame:
+@per_trajectory
+def speed_filter_lag(points: DataFrame, max_speed_mps: float, chunk: Column | None) -> DataFrame:
     """The same test against the previous *raw* fix, whether or not that one survives."""
-    near = neighbour(points, ["traj_id"], ["t"], ["t", "lat", "lon"], "_p_", by_day() if chunk is None else chunk)
-    fast = _speed_from(F.col("_p_lat"), F.col("_p_lon"), F.col("_p_t"), F.col("lat"), F.col("lon"), F.col("t")) > max_speed_mps
-    return near.filter(~F.coalesce(fast, F.lit(False))).select(*points.columns)
+    near = neighbour(points, ["traj_id"], ["t"], ["t", "lat", "lon"], "_p_", chunk)
+    return near.filter(~F.coalesce(_fast(max_speed_mps), F.lit(False))).select(*points.columns)
 
 
 def long_enough(points: DataFrame, min_points: int | None = None, max_points: int | None = None) -> DataFrame:
@@ -75,12 +84,14 @@ def long_enough(points: DataFrame, min_points: int | None = None, max_points: in
     return points.join(sizes.select("traj_id"), "traj_id", "left_semi")
 
 
+@per_trajectory
 def clean_points(points: DataFrame, max_speed_mps: float = 70.0, min_points: int = 2,
-                 drop_duplicate_times: bool = True, tie: list[str] | None = None) -> DataFrame:
+                 drop_duplicate_times: bool = True, tie: list[str] | None = None, *, chunk: Column | None) -> DataFrame:
+    """Valid fixes, one per time, no impossible speeds, no trajectory below ``min_points``."""
     p = valid_fixes(points)
     if drop_duplicate_times:
         p = first_per_time(p, tie or ["lat", "lon"])
-    return long_enough(speed_filter(p, max_speed_mps), min_points)
+    return long_enough(speed_filter(p, max_speed_mps, chunk=chunk), min_points)
 
 
 # ------------------------------------------------------------------ prepare steps
@@ -98,18 +109,19 @@ def between_times(points: DataFrame, t_from: float | None = None, t_to: float |
     return points
 
 
-def every_nth(points: DataFrame, n: int, chunk: Column | None = None) -> DataFrame:
-    counted = numbered(points, ["traj_id"], ["t"], "_i", by_day() if chunk is None else chunk)
+@per_trajectory
+def every_nth(points: DataFrame, n: int, chunk: Column | None) -> DataFrame:
+    counted = numbered(points, ["traj_id"], ["t"], "_i", chunk)
     return counted.filter((F.col("_i") - 1) % n == 0).select(*points.columns)
 
 
-def min_interval(points: DataFrame, seconds: float, chunk: Column | None = None) -> DataFrame:
+@per_trajectory
+def min_interval(points: DataFrame, seconds: float, chunk: Column | None) -> DataFrame:
     """Keep a fix only if at least ``seconds`` after the last kept one.
 
     A fix that far from its direct predecessor is always kept, so the scan restarts there: dense
     runs are the groups, and a run of one fix needs no scan at all.
     """
-    chunk = by_day() if chunk is None else chunk
     near = neighbour(points, ["traj_id"], ["t"], ["t"], "_p_", chunk)
     opens = (F.col("_p_t").isNull() | (F.col("t") - F.col("_p_t") >= seconds)).cast("bigint")
     runs = running(near, ["traj_id"], ["t"], {"_run": opens}, chunk).drop("_p_t")
@@ -140,18 +152,19 @@ def prepare(points: DataFrame, min_interval_s: float | None = None, nth: int | N
     return points
 
 
-def gap_segments(points: DataFrame, max_gap_s: float, chunk: Column | None = None) -> DataFrame:
+@per_trajectory
+def gap_segments(points: DataFrame, max_gap_s: float, chunk: Column | None) -> DataFrame:
     """Adds ``seg``: the number of gaps above ``max_gap_s`` so far in the trajectory."""
-    chunk = by_day() if chunk is None else chunk
     near = neighbour(points, ["traj_id"], ["t"], ["t"], "_p_", chunk)
     cut = F.when(F.col("t") - F.col("_p_t") > max_gap_s, 1).otherwise(0).cast("bigint")
     return running(near, ["traj_id"], ["t"], {"seg": cut}, chunk).drop("_p_t")
 
 
 # ------------------------------------------------------------------ profiles
-def step_table(points: DataFrame, chunk: Column | None = None) -> DataFrame:
+@per_trajectory
+def step_table(points: DataFrame, chunk: Column | None) -> DataFrame:
     """Per fix: ``step_m`` and ``dt`` from the previous fix of the trajectory (null at the first)."""
-    near = neighbour(points, ["traj_id"], ["t"], ["t", "lat", "lon"], "_p_", by_day() if chunk is None else chunk)
+    near = neighbour(points, ["traj_id"], ["t"], ["t", "lat", "lon"], "_p_", chunk)
     step = haversine_m(F.col("_p_lat"), F.col("_p_lon"), F.col("lat"), F.col("lon"))
     return near.withColumns({"step_m": step, "dt": F.col("t") - F.col("_p_t")}).drop("_p_t", "_p_lat", "_p_lon")
 
@@ -172,6 +185,13 @@ def trajectory_profile(points: DataFrame, still_m: float = 0.5) -> DataFrame:
         "max_step_mps", "share_still", F.col("_first.lat").alias("first_lat"), F.col("_first.lon").alias("first_lon"))
 
 
+@per_trajectory
+def _placed(points: DataFrame, chunk: Column | None) -> DataFrame:
+    """Adds the 0-based position and the size of the trajectory."""
+    counted = numbered(points, ["traj_id"], ["t"], "p", chunk).withColumn("p", F.col("p") - 1)
+    return group_size(counted, ["traj_id"], "n", chunk)
+
+
 def find_in_raw(sample: DataFrame, raw: DataFrame, decimals: int = 6) -> DataFrame:
     """Where each sample trajectory starts in the raw data: exact match of the first fix on
     (time, rounded coordinates), with its offset there and whether the whole trajectory is covered."""
@@ -180,10 +200,8 @@ def find_in_raw(sample: DataFrame, raw: DataFrame, decimals: int = 6) -> DataFra
                                           F.count(F.lit(1)).alias("n_sample"))
     first = first.select("traj_id", "n_sample", F.col("f.t").alias("t"), F.col("f.lat").alias("lat"),
                          F.col("f.lon").alias("lon")).select(F.col("traj_id").alias("sample_id"), "n_sample", *key)
-    places = numbered(raw, ["traj_id"], ["t"], "_i", by_day()).select(
-        F.col("traj_id").alias("raw_id"), (F.col("_i") - 1).alias("offset"), *key)
-    sizes = raw.groupBy(F.col("traj_id").alias("raw_id")).agg(F.count(F.lit(1)).alias("n_raw"))
-    hit = first.join(places, ["k_t", "k_lat", "k_lon"]).join(sizes, "raw_id")
+    places = _placed(raw).select(F.col("traj_id").alias("raw_id"), F.col("p").alias("offset"), F.col("n").alias("n_raw"), *key)
+    hit = first.join(places, ["k_t", "k_lat", "k_lon"])
     whole = (F.col("offset") == 0) & (F.col("n_sample") == F.col("n_raw"))
     return hit.select("sample_id", "raw_id", "offset", whole.alias("whole"))
 
@@ -224,18 +242,23 @@ def clip_to_bbox(features: DataFrame, box: tuple[float, float, float, float]) ->
     return features.filter(F.col("lat").between(lat_min, lat_max) & F.col("lon").between(lon_min, lon_max))
 
 
+@over_groups("user_id", chunk=lambda: by_day("_at"))
+def as_of(rows: DataFrame, order: list[str], column: str, name: str, chunk: Column | None) -> DataFrame:
+    """As-of fill per user along ``_at``."""
+    return last_known(rows, ["user_id"], order, column, name, chunk)
+
+
 def labels_by_interval(points: DataFrame, labels: DataFrame) -> DataFrame:
     """Mode of the interval that started last before each fix, if it still holds (end inclusive).
 
     ``labels``: user_id, start, end, mode. As-of join by union: no pair of a fix and an interval that
     is not its own is ever formed.
     """
-    from ..functions.ordered import last_known
     fixes = points.drop("mode").withColumns({"_at": F.col("t"), "_side": F.lit(1), "_label": F.lit(None).cast(
         "struct<start:double,end:double,mode:string>")})
     starts = labels.select("user_id", F.col("start").alias("_at"), F.lit(0).alias("_side"),
                            F.struct("start", "end", "mode").alias("_label"))
     both = fixes.unionByName(starts, allowMissingColumns=True)
-    filled = last_known(both, ["user_id"], ["_at", "_side"], "_label", "_known", F.floor(F.col("_at") / 86400))
+    filled = as_of(both, ["_at", "_side"], "_label", "_known")
     mode = F.when(F.col("t") <= F.col("_known.end"), F.col("_known.mode"))
     return filled.filter("_side = 1").withColumn("mode", mode).drop("_at", "_side", "_label", "_known")

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import haversine_m
-from ..functions.ordered import by_day, last_known, neighbour, numbered, range_chunks, row_blocks, running
+from ..functions.ordered import by_day, group_size, neighbour, numbered, over_groups, row_blocks, running
 from ..functions.scan import group_scan
-from .prep import _haversine, gap_segments
+from .prep import _haversine, as_of, gap_segments, per_trajectory
 
 
 # ------------------------------------------------------------------ windows
-def segment_positions(points: DataFrame, max_gap_s: float, chunk: Column | None = None) -> DataFrame:
-    """Adds ``seg``, the 0-based position ``p`` in the gap segment and its size ``seg_n``."""
-    chunk = by_day() if chunk is None else chunk
-    cut = gap_segments(points, max_gap_s, chunk)
+@per_trajectory
+def segment_positions(points: DataFrame, max_gap_s: float, chunk: Column | None) -> DataFrame:
+    """Adds ``seg``, the 0-based position ``p`` in the gap segment and its size ``seg_n``: one exchange
+    on the trajectory for all three."""
+    cut = gap_segments(points, max_gap_s, chunk=chunk)
     placed = numbered(cut, ["traj_id", "seg"], ["t"], "p", chunk).withColumn("p", F.col("p") - 1)
-    sizes = cut.groupBy("traj_id", "seg").agg(F.count(F.lit(1)).alias("seg_n"))
-    return placed.join(sizes, ["traj_id", "seg"])
+    return group_size(placed, ["traj_id", "seg"], "seg_n", chunk)
 
 
 def make_windows(points: DataFrame, length: int = 64, stride: int | None = None, max_gap_s: float = 300.0,
@@ -36,24 +36,23 @@ def make_windows(points: DataFrame, length: int = 64, stride: int | None = None,
     spread = p.withColumn("_w", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(
         F.array().cast("array<bigint>"))))
     spread = spread.filter(F.col("_w") * stride + length <= F.col("seg_n"))
+    if "mode" in points.columns:
+        spread = spread.withColumn("mode", window_label(["traj_id", "seg", "_w"], length, min_purity))
     wid = F.concat_ws("#", "traj_id", F.col("seg").cast("string"), F.col("_w").cast("string"))
-    out = spread.select(wid.alias("window_id"), "user_id", "traj_id",
-                        (F.col("p") - F.col("_w") * stride).cast("bigint").alias("pos"), "t", "lat", "lon",
-                        *(["mode"] if "mode" in points.columns else []))
-    if "mode" not in points.columns:
-        return out
-    labels = window_labels(out, length, min_purity)
-    return out.drop("mode").join(labels, "window_id", "left")
+    return spread.select(wid.alias("window_id"), "user_id", "traj_id",
+                         (F.col("p") - F.col("_w") * stride).cast("bigint").alias("pos"), "t", "lat", "lon",
+                         *(["mode"] if "mode" in points.columns else []))
 
 
-def window_labels(windows: DataFrame, length: int, min_purity: float = 0.8) -> DataFrame:
+def window_label(keys: list[str], length: int, min_purity: float = 0.8) -> Column:
     """Most common mode of a window if it holds ``min_purity`` of the labelled fixes and enough of
-    the window is labelled at all."""
-    votes = windows.filter(F.col("mode").isNotNull()).groupBy("window_id", "mode").agg(F.count(F.lit(1)).alias("_n"))
-    best = votes.groupBy("window_id").agg(F.sum("_n").alias("_all"), F.max("_n").alias("_top"),
-                                          F.min_by("mode", F.struct(-F.col("_n"), F.col("mode"))).alias("mode"))
-    pure = (F.col("_top") >= min_purity * F.col("_all")) & (F.col("_all") >= min_purity * length)
-    return best.filter(pure).select("window_id", "mode")
+    the window is labelled at all (ties by name). Windows are short: their modes are sorted in place."""
+    modes = F.array_sort(F.collect_list("mode").over(Window.partitionBy(*keys)))
+    votes = F.transform(F.array_distinct(modes), lambda m: F.struct(
+        F.size(F.filter(modes, lambda x: x == m)).alias("n"), m.alias("mode")))
+    best = F.reduce(votes, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("mode")),
+                    lambda a, v: F.when(v["n"] > a["n"], v).otherwise(a))
+    return F.when((best["n"] >= min_purity * F.size(modes)) & (F.size(modes) >= min_purity * length), best["mode"])
 
 
 def window_arrays(windows: DataFrame) -> DataFrame:
@@ -67,14 +66,12 @@ def odd_even_views(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return windows.filter("pos % 2 = 1"), windows.filter("pos % 2 = 0")
 
 
-def trajectories(points: DataFrame, max_gap_s: float, min_points: int = 2, max_points: int | None = None) -> DataFrame:
-    """Whole gap-free trips as ordered arrays; ``max_points`` cuts longer ones into pieces, which
-    also bounds the array."""
-    p = segment_positions(points, max_gap_s)
-    piece = F.floor(F.col("p") / max_points) if max_points else F.lit(0)
+def trajectories(points: DataFrame, max_gap_s: float, min_points: int = 36, max_points: int = 100_000) -> DataFrame:
+    """Gap-free trips of ``min_points`` to ``max_points`` fixes as ordered arrays. Sizes are known before
+    anything is gathered, so no array exceeds ``max_points``."""
+    p = segment_positions(points, max_gap_s).filter(F.col("seg_n").between(min_points, max_points))
     pts = F.sort_array(F.collect_list(F.struct("t", "lat", "lon"))).alias("pts")
-    out = p.withColumn("piece", piece.cast("bigint")).groupBy("user_id", "traj_id", "seg", "piece").agg(pts)
-    return out.filter(F.size("pts") >= min_points)
+    return p.groupBy("user_id", "traj_id", "seg").agg(pts)
 
 
 # ------------------------------------------------------------------ staypoints
@@ -129,8 +126,9 @@ class _StayScan:
         return [], rest
 
 
+@over_groups("user_id", chunk=by_day)
 def staypoints_from_fixes(points: DataFrame, dist_m: float = 200.0, time_s: float = 1200.0,
-                          by_trajectory: bool = False) -> DataFrame:
+                          by_trajectory: bool = False, *, chunk: Column | None) -> DataFrame:
     """Anchor scan per user in time order, across trips (or per trip with ``by_trajectory``).
 
     A run within ``dist_m`` of its anchor cannot cross a step longer than twice that, so sequences
@@ -138,15 +136,18 @@ def staypoints_from_fixes(points: DataFrame, dist_m: float = 200.0, time_s: floa
     """
     keys = ["user_id", "traj_id"] if by_trajectory else ["user_id"]
     order = ["t", "traj_id"]
-    near = neighbour(points, keys, order, ["lat", "lon"], "_p_", by_day())
+    near = neighbour(points, keys, order, ["lat", "lon"], "_p_", chunk)
     jump = haversine_m(F.col("_p_lat"), F.col("_p_lon"), F.col("lat"), F.col("lon")) > 2 * dist_m
     cut = F.when(jump, 1).otherwise(0).cast("bigint")
-    runs = running(near, keys, order, {"_run": cut}, by_day())
+    runs = running(near, keys, order, {"_run": cut}, chunk)
     piece = [*keys, "_run"]
-    spans = runs.groupBy(*piece).agg((F.max("t") - F.min("t")).alias("_span")).filter(F.col("_span") >= time_s)
-    work = runs.join(spans.select(*piece), piece, "left_semi").withColumn("_trip", F.col("traj_id"))
-    if by_trajectory:
-        work = work.withColumn("_trip", F.col("traj_id"))
+    if chunk is None:
+        w = Window.partitionBy(*piece)
+        work = runs.withColumn("_span", F.max("t").over(w) - F.min("t").over(w)).filter(F.col("_span") >= time_s)
+    else:
+        spans = runs.groupBy(*piece).agg((F.max("t") - F.min("t")).alias("_span")).filter(F.col("_span") >= time_s)
+        work = runs.join(spans.select(*piece), piece, "left_semi")
+    work = work.withColumn("_trip", F.col("traj_id"))
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("_run", T.LongType()),
                            T.StructField("stay_traj", T.StringType()),
                            *[T.StructField(n, T.DoubleType()) for n in ("lat", "lon", "t_arrive", "t_leave")]])
@@ -163,12 +164,15 @@ def trip_ends(points: DataFrame) -> DataFrame:
                        F.col("e.lat").alias("lat_e"), F.col("e.lon").alias("lon_e"))
 
 
+@over_groups("user_id", chunk=lambda: by_day("t_start", 7 * 86400))
+def _next_trip(ends: DataFrame, chunk: Column | None) -> DataFrame:
+    return neighbour(ends, ["user_id"], ["t_start", "traj_id"], ["t_start", "lat_s", "lon_s"], "n_", chunk, ahead=True)
+
+
 def staypoints_from_trips(points: DataFrame, min_stay_s: float = 1200.0, max_link_m: float = 500.0,
                           max_stay_s: float = 259200.0) -> DataFrame:
     """Stays as gaps between a user's consecutive trips."""
-    ends = trip_ends(points)
-    week = F.floor(F.col("t_start") / (7 * 86400))
-    near = neighbour(ends, ["user_id"], ["t_start", "traj_id"], ["t_start", "lat_s", "lon_s"], "n_", week, ahead=True)
+    near = _next_trip(trip_ends(points))
     gap = F.col("n_t_start") - F.col("t_end")
     linked = haversine_m(F.col("lat_e"), F.col("lon_e"), F.col("n_lat_s"), F.col("n_lon_s")) <= max_link_m
     middle = lambda a, b: F.when(linked, (F.col(a) + F.col(b)) / 2).otherwise(F.col(a))
@@ -181,21 +185,30 @@ def staypoints_from_trips(points: DataFrame, min_stay_s: float = 1200.0, max_lin
 VISIT = ("lat", "lon", "cell", "t_arrive", "t_leave", "split")
 
 
-def _indexed(stays: DataFrame) -> DataFrame:
-    month = F.floor(F.col("t_arrive") / (28 * 86400))
-    return numbered(stays, ["user_id"], ["t_arrive", "traj_id"], "idx", month).withColumn("idx", F.col("idx") - 1)
+per_user_month = over_groups("user_id", chunk=lambda: by_day("t_arrive", 28 * 86400))
 
 
-def visit_sequences(stays: DataFrame, context: int = 8, stride: int = 1, block: int = 4096) -> DataFrame:
+@per_user_month
+def _indexed(stays: DataFrame, chunk: Column | None) -> DataFrame:
+    return numbered(stays, ["user_id"], ["t_arrive", "traj_id"], "idx", chunk).withColumn("idx", F.col("idx") - 1)
+
+
+@per_user_month
+def visit_sequences(stays: DataFrame, context: int = 8, stride: int = 1, block: int = 4096, *, chunk: Column | None) -> DataFrame:
     """C context visits -> one target visit, as (sample_id, user_id, split, ctx ARRAY, tgt STRUCT).
 
-    ``split`` is the target's; each context visit says whether it lies in the same one. Rows frames
-    run in blocks of consecutive visits with a halo, so a user of any size is spread over tasks.
+    ``split`` is the target's; each context visit says whether it lies in the same one. For hot users
+    the rows frame runs in blocks of consecutive visits with a halo.
     """
     visit = F.struct(*VISIT)
-    spread = row_blocks(_indexed(stays), ["user_id"], "idx", block, context)
-    w = Window.partitionBy("user_id", "_block").orderBy("idx").rowsBetween(-context, -1)
-    seq = spread.withColumn("ctx", F.collect_list(visit).over(w))
+    rows = _indexed(stays, chunk=chunk)
+    keys = ["user_id"]
+    if chunk is None:
+        rows = rows.withColumn("_own", F.lit(True))
+    else:
+        rows, keys = row_blocks(rows, ["user_id"], "idx", block, context), ["user_id", "_block"]
+    w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(-context, -1)
+    seq = rows.withColumn("ctx", F.collect_list(visit).over(w))
     seq = seq.filter(F.col("_own") & (F.col("idx") >= context) & ((F.col("idx") - context) % stride == 0))
     ctx = F.transform("ctx", lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon"), v["cell"].alias("cell"),
                                                 v["t_arrive"].alias("t_arrive"), v["t_leave"].alias("t_leave"),
@@ -228,19 +241,22 @@ def hide_masked(windows: DataFrame, hidden: str = "hidden") -> DataFrame:
     return windows.withColumns({"lat": blank("lat"), "lon": blank("lon")})
 
 
+@over_groups("user_id", chunk=lambda: by_day("t_leave", 28 * 86400))
+def _by_end(stays: DataFrame, chunk: Column | None) -> DataFrame:
+    return numbered(stays, ["user_id"], ["t_leave", "traj_id"], "idx", chunk)
+
+
 def pair_windows_with_visits(windows: DataFrame, stays: DataFrame, context: int) -> DataFrame:
     """Per window the user's last ``context`` stays that ended before it starts, oldest first and
     padded on the right. As-of join on the index of the latest such stay, then an equi-join on
     (user, index): each window meets ``context`` stays at most."""
     starts = windows.groupBy("window_id").agg(F.min("user_id").alias("user_id"), F.min("t").alias("start"))
-    month = F.floor(F.col("t_leave") / (28 * 86400))
-    ended = numbered(stays, ["user_id"], ["t_leave", "traj_id"], "idx", month)
+    ended = _by_end(stays)
     left = starts.select("user_id", F.col("start").alias("_at"), F.lit(1).alias("_side"), "window_id",
                          F.lit(None).cast("bigint").alias("idx"))
     right = ended.select("user_id", F.col("t_leave").alias("_at"), F.lit(0).alias("_side"),
                          F.lit(None).cast("string").alias("window_id"), "idx")
-    known = last_known(left.unionByName(right), ["user_id"], ["_at", "_side", "window_id"], "idx", "_last",
-                       F.floor(F.col("_at") / 86400)).filter("_side = 1").select("window_id", "user_id", "_last")
+    known = as_of(left.unionByName(right), ["_at", "_side", "window_id"], "idx", "_last").filter("_side = 1").select("window_id", "user_id", "_last")
     wanted = known.withColumn("idx", F.explode(F.when(F.col("_last").isNotNull(), F.sequence(
         F.greatest(F.col("_last") - (context - 1), F.lit(1)), F.col("_last")))))
     rows = wanted.join(ended.select("user_id", "idx", "lat", "lon", "t_arrive", "t_leave"), ["user_id", "idx"])
@@ -252,13 +268,13 @@ def pair_windows_with_visits(windows: DataFrame, stays: DataFrame, context: int)
         F.coalesce(pad, F.array_repeat(F.lit(None), context)).alias("visits"))
 
 
-def long_instances(stays: DataFrame, split: str, seq_len: int, stride: int) -> DataFrame:
+@per_user_month
+def long_instances(stays: DataFrame, split: str, seq_len: int, stride: int, chunk: Column | None) -> DataFrame:
     """Per user runs of ``seq_len`` visits at starts 0, stride, ...: (user_id, start, end, pad), kept
     when a target of ``split`` lies inside. Counting by running totals, no visit list is built."""
-    v = _indexed(stays)
-    month = F.floor(F.col("t_arrive") / (28 * 86400))
+    v = _indexed(stays, chunk=chunk)
     own = F.when(F.col("split") == split, 1).otherwise(0).cast("bigint")
-    v = running(v, ["user_id"], ["t_arrive", "traj_id"], {"upto": own}, month)
+    v = running(v, ["user_id"], ["t_arrive", "traj_id"], {"upto": own}, chunk)
     sizes = v.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("owned")) \
         .filter("n >= 2 and owned > 0")
     top = F.greatest(F.col("n") - seq_len - 1, F.lit(0))

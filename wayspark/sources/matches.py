@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordered import by_day, global_rank, numbered
+from ..functions.ordered import global_rank
+from ..operators.prep import _placed
 
 
 def write_matches(matches: DataFrame, path: str) -> None:
@@ -45,5 +46,5 @@ def import_paths(points: DataFrame, path: str, edges: DataFrame) -> DataFrame:
     known = rows.join(trips, "id").join(sizes, "traj_id").withColumn("ok", F.size("op") == F.col("n"))
     steps = known.filter("ok").select("traj_id", F.posexplode("op").alias("i", "edge")).select("traj_id", (F.col("i") + 1).cast("bigint").alias("i"), F.col("edge").cast("bigint"))
     seg = steps.join(edges, "edge", "left").select("traj_id", "i", "seg")
-    fixes = numbered(points.select("traj_id", "t"), ["traj_id"], ["t"], "i", by_day()).join(known.select("traj_id"), "traj_id", "left_semi")
+    fixes = _placed(points.select("traj_id", "t")).withColumn("i", F.col("p") + 1).join(known.select("traj_id"), "traj_id", "left_semi")
     return fixes.join(seg, ["traj_id", "i"], "left").select("traj_id", "t", F.coalesce("seg", F.lit(-1)).cast("bigint").alias("seg"))
