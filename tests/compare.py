@@ -67,9 +67,10 @@ if __name__ == "__main__":
     from wayspark.session import build_session
     import __spark_entry__ as entry
     sf = sys.argv[1]
-    only = sys.argv[2:]
+    only = [a for a in sys.argv[2:] if not a.startswith("--")]
+    extra = {"wayspark.hotGroupRows": "4"} if "--hot" in sys.argv else {}       # every group takes the chunked way
     sf_dir = f"/root/testdata/{sf}"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", **extra})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = duck(sf_dir), entry.oracle_sql(), 0
     for name, build in entry.queries().items():
