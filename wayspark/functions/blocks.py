@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import partitions
+
 BLOCK_BYTES = 64 * 1024 * 1024
 
 
@@ -44,6 +46,7 @@ def stream_past(big: DataFrame, block, start: Callable, update: Callable, finish
     """``state = start(block)``; ``update(state, block, batch)`` per Arrow batch of ``big``;
     ``finish(state, block)`` gives the partial rows of the task as a dict of columns."""
     shared = big.sparkSession.sparkContext.broadcast(block)
+    spread = big.repartition(partitions(big.sparkSession))       # bound by work per row, not by bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, state = shared.value, None
@@ -55,7 +58,7 @@ def stream_past(big: DataFrame, block, start: Callable, update: Callable, finish
             out = finish(state, mine)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
 
-    return big.mapInArrow(run, schema)
+    return spread.mapInArrow(run, schema)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

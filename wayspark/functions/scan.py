@@ -2,7 +2,8 @@
 
 Rows are placed by key, sorted inside the partition and streamed through Arrow batches; only the
 state of the open group is held, so a group of any length needs constant memory. Callers first cut
-groups where the rule provably restarts, so that long groups spread over tasks.
+groups where the rule provably restarts, so that long groups spread over tasks. The number of
+partitions is given, as these tasks are bound by work and not by bytes.
 """
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import partitions
+
 
 def keep_scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
               keep: Callable[[tuple, tuple], bool]) -> DataFrame:
@@ -29,7 +32,7 @@ def keep_scan(df: DataFrame, keys: list[str], order: list[str], columns: list[st
                     flags[n], open_key, last = True, key, row
             yield batch.filter(pa.array(flags))
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    placed = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return placed.mapInArrow(run, df.schema)
 
 
@@ -65,7 +68,8 @@ def group_scan(df: DataFrame, keys: list[str], order: list[str], columns: list[s
             yield emit(out)
 
     placed = df.select(*keys, *[c for c in dict.fromkeys([*order, *columns]) if c not in keys])
-    return placed.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    placed = placed.repartition(partitions(df.sparkSession), *keys)
+    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _arrow(t: T.DataType) -> pa.DataType:

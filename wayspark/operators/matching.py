@@ -2,6 +2,7 @@
 best-path recursion runs per trip."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,39 +18,41 @@ from .roads import bounded_routes, directed_edges
 class _BestPath:
     """Max-sum recursion over one chain; ties go to the earlier state."""
 
-    def __init__(self):
-        self.steps, self.score = [], []
+    def __init__(self, beta_m: float):
+        self.beta_m, self.steps, self.score, self.last = beta_m, [], None, None
 
     def step(self, row):
-        t, segs, emit, pairs = row
-        back = None
-        if self.steps:
-            best, via = [float("-inf")] * len(segs), [-1] * len(segs)
-            for p in pairs or ():
-                i, j = p["i"], p["j"]
-                total = self.score[i] + p["s"]
-                if total > best[j] or (total == best[j] and total > float("-inf") and i < via[j]):
-                    best[j], via[j] = total, i
-            if max(best) > float("-inf"):
-                self.score = [b + e for b, e in zip(best, emit)]
-                back = via
-            else:
-                back = self._top()                       # nothing reachable: a new chain starts here
-                self.score = list(emit)
+        t, gc, seg, forward, along, length, emit, entry, leave, routes = row
+        now = (np.array(seg), np.array(forward), np.array(along, float), np.array(length, float), leave)
+        emit, back = np.array(emit, float), None
+        if self.score is not None:
+            total = self.score[:, None] + self._transitions(now, entry, gc, routes or ())
+            best = total.max(0)
+            if np.isfinite(best).any():
+                back, self.score = total.argmax(0), best + emit
+            else:                                        # nothing reachable: a new chain starts here
+                back, self.score = int(self.score.argmax()), emit
         else:
-            self.score = list(emit)
-        self.steps.append((t, segs, back))
+            self.score = emit
+        self.last = now
+        self.steps.append((t, seg, back))
         return ()
 
-    def _top(self):
-        return max(range(len(self.score)), key=lambda i: (self.score[i], -i))
+    def _transitions(self, now, entry, gc, routes):
+        seg, forward, along, length, leave = self.last
+        known = {(r["source"], r["node"]): r["d"] for r in routes}
+        gap = np.array([[known.get((a, b), np.inf) for b in entry] for a in leave])
+        route = (length - along)[:, None] + gap + now[2][None, :]
+        ahead = now[2][None, :] - along[:, None]
+        same = (seg[:, None] == now[0][None, :]) & (forward[:, None] == now[1][None, :]) & (ahead >= -1.0)
+        return -np.abs(np.where(same, ahead, route) - gc) / self.beta_m
 
     def close(self):
-        out, j = [], self._top() if self.steps else 0
+        out, j = [], int(self.score.argmax())
         for t, segs, back in reversed(self.steps):
             out.append((t, segs[j]))
             if back is not None:
-                j = back if isinstance(back, int) else back[j]
+                j = back if isinstance(back, int) else int(back[j])
         return reversed(out)
 
 
@@ -69,52 +72,52 @@ def match_states(points: DataFrame, segments: DataFrame, lat0: float, lon0: floa
 
 
 @per_trajectory
-def _previous_fix(fixes: DataFrame, chunk: Column | None) -> DataFrame:
-    return neighbour(fixes, ["traj_id"], ["t"], ["t", "x", "y"], "p_", chunk)
+def _after(fixes: DataFrame, chunk: Column | None) -> DataFrame:
+    return neighbour(fixes, ["traj_id"], ["t"], ["x", "y", "exits", "ways"], "p_", chunk)
 
 
 @per_trajectory
 def _chains(steps: DataFrame, chunk: Column | None) -> DataFrame:
-    opens = F.when(F.col("pairs").isNull(), 1).otherwise(0).cast("bigint")
-    return running(steps, ["traj_id"], ["t"], {"chain": opens}, chunk)
-
-
-def match_transitions(states: DataFrame, segments: DataFrame, lat0: float, lon0: float, radius_m: float = 60.0, margin_m: float = 1500.0, beta_m: float = 50.0) -> tuple[DataFrame, DataFrame]:
-    """(fixes in order with chain pieces, transition scores). A trip's routes are searched up to
-    3 x its longest step + 2 x radius + margin, each source node up to the largest limit it needs."""
-    fixes = states.select("traj_id", "t", "x", "y").distinct()
-    near = _previous_fix(fixes)
-    near = near.withColumn("gc", F.sqrt((F.col("x") - F.col("p_x")) ** 2 + (F.col("y") - F.col("p_y")) ** 2))
-    near = cut_lineage(near.select("traj_id", "t", "p_t", "gc"))
+    return running(steps, ["traj_id"], ["t"], {"chain": F.when(F.col("linked"), 0).otherwise(1).cast("bigint")}, chunk)
+
+
+def match_steps(states: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, radius_m: float = 60.0,
+                margin_m: float = 1500.0) -> DataFrame:
+    """One row per fix with its states, the distance from the previous fix and the routes that can
+    link the two: (traj_id, chain, t, gc, seg[], ..., routes[]).
+
+    Routes are looked up per *distinct pair of nodes* of a step, not per pair of states. A trip's
+    routes reach 3 x its longest step + 2 x radius + margin; each source node is searched up to the
+    largest limit it needs. Where nothing can link two fixes the trip is cut for certain (``chain``).
+    """
+    one = F.struct("state", "seg", "forward", "along", "seg_len", (-0.5 * (F.col("dist") / sigma_m) ** 2).alias("e"), "entry", "exit")
+    s = states.groupBy("traj_id", "t", "x", "y").agg(F.sort_array(F.collect_list(one)).alias("s"))      # 2 k states at most
+    ways = F.transform("s", lambda v: F.concat_ws("/", v["seg"].cast("string"), v["forward"].cast("string")))
+    s = s.withColumns({"exits": F.array_distinct("s.exit"), "entries": F.array_distinct("s.entry"), "ways": ways})
+    near = _after(s).withColumn("gc", F.sqrt((F.col("x") - F.col("p_x")) ** 2 + (F.col("y") - F.col("p_y")) ** 2))
+    near = cut_lineage(near.drop("x", "y", "p_x", "p_y", "exits"))
     limits = near.groupBy("traj_id").agg((3.0 * F.coalesce(F.max("gc"), F.lit(0.0)) + 2 * radius_m + margin_m).alias("limit_m"))
-    sources = states.join(limits, "traj_id").select(F.col("exit").alias("node"), "limit_m")
+    asked = near.filter("gc is not null").join(limits, "traj_id").select("traj_id", "t", "limit_m", "entries", F.explode("p_exits").alias("source"))
     sizes = road_pieces(segments, lat0, lon0).groupBy("seg_id").agg(F.sum("len").alias("len"))
     edges = cut_lineage(directed_edges(segments.join(sizes, "seg_id"), "len"))
-    routes = bounded_routes(edges, sources)
-    a = states.select("traj_id", F.col("t").alias("p_t"), F.col("seg").alias("a_seg"), F.col("forward").alias("a_fwd"), F.col("along").alias("a_along"),
-                      F.col("seg_len").alias("a_len"), F.col("exit").alias("source"), F.col("state").alias("i"))
-    b = states.select("traj_id", "t", "seg", "forward", "along", F.col("entry").alias("node"), F.col("state").alias("j"))
-    # at most (2 k)^2 pairs per step
-    pairs = near.filter("p_t is not null").join(a, ["traj_id", "p_t"]).join(b, ["traj_id", "t"]).join(limits, "traj_id")
-    pairs = pairs.join(routes, ["source", "node"], "left")
-    same = (F.col("a_seg") == F.col("seg")) & (F.col("a_fwd") == F.col("forward")) & (F.col("along") >= F.col("a_along") - 1.0)
-    route = F.when(same, F.col("along") - F.col("a_along")).when(F.col("d") <= F.col("limit_m"), F.col("a_len") - F.col("a_along") + F.col("d") + F.col("along"))
-    scored = pairs.withColumn("s", -F.abs(route - F.col("gc")) / beta_m).filter("s is not null")
-    steps = scored.groupBy("traj_id", "t").agg(F.sort_array(F.collect_list(F.struct("i", "j", "s"))).alias("pairs"))
-    # where no pair of states is connected the chain restarts for certain: trips are cut there
-    chain = near.join(steps, ["traj_id", "t"], "left")
-    return _chains(cut_lineage(chain.select("traj_id", "t", "pairs"))), scored
+    routes = bounded_routes(edges, asked.select(F.col("source").alias("node"), "limit_m"))
+    pairs = asked.withColumn("node", F.explode("entries")).join(routes, ["source", "node"]).filter(F.col("d") <= F.col("limit_m"))
+    found = pairs.groupBy("traj_id", "t").agg(F.collect_list(F.struct("source", "node", "d")).alias("routes"))
+    linked = F.col("routes").isNotNull() | F.coalesce(F.arrays_overlap("p_ways", "ways"), F.lit(False))
+    steps = near.join(found, ["traj_id", "t"], "left").withColumn("linked", linked)
+    part = lambda n: F.col(f"s.{n}").alias(n)
+    rows = steps.select("traj_id", "t", "gc", "linked", *[part(n) for n in ("seg", "forward", "along", "seg_len", "e", "entry", "exit")], "routes")
+    return _chains(cut_lineage(rows)).drop("linked")
 
 
 def match(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, beta_m: float = 50.0, radius_m: float = 60.0,
           k: int = 8, margin_m: float = 1500.0) -> DataFrame:
     """(traj_id, t, seg) for every fix; -1 without a road in reach."""
-    states = cut_lineage(match_states(points, segments, lat0, lon0, radius_m, k))
-    chains, _ = match_transitions(states, segments, lat0, lon0, radius_m, margin_m, beta_m)
-    own = states.withColumn("e", -0.5 * (F.col("dist") / sigma_m) ** 2).groupBy("traj_id", "t").agg(F.sort_array(F.collect_list(F.struct("state", "seg", "e"))).alias("s"))
-    rows = chains.join(own, ["traj_id", "t"]).select("traj_id", "chain", "t", F.col("s.seg").alias("segs"), F.col("s.e").alias("emit"), "pairs")
+    states = match_states(points, segments, lat0, lon0, radius_m, k)
+    rows = match_steps(states, segments, lat0, lon0, sigma_m, radius_m, margin_m)
     schema = T.StructType([T.StructField("traj_id", T.StringType()), T.StructField("chain", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("seg", T.LongType())])
-    found = group_scan(rows, ["traj_id", "chain"], ["t"], ["t", "segs", "emit", "pairs"], _BestPath, schema)
+    columns = ["t", "gc", "seg", "forward", "along", "seg_len", "e", "entry", "exit", "routes"]
+    found = group_scan(rows, ["traj_id", "chain"], ["t"], columns, lambda: _BestPath(beta_m), schema)
     return points.select("traj_id", "t").join(found.drop("chain"), ["traj_id", "t"], "left").withColumn("seg", F.coalesce("seg", F.lit(-1)).cast("bigint"))
 
 
