@@ -81,7 +81,7 @@ def g_cells(d):
     return rounded(G.jsd(G.visited_cells(_stays(d, "test"), d.grid()), G.visited_cells(_stays(d, "train"), d.grid())), jsd=6)
 
 
-@query("G_w1", sql("""SELECT round(sum(abs(ca::DOUBLE / na - cb::DOUBLE / nb) * (nx - value)), 4) AS w1 FROM (SELECT *, lead(value) OVER (ORDER BY value) AS nx, sum(a) OVER (ORDER BY value) AS ca, sum(b) OVER (ORDER BY value) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM
+@query("G_w1", sql("""SELECT round(sum(abs(ca::DOUBLE / nullif(na, 0) - cb::DOUBLE / nullif(nb, 0)) * (nx - value)), 4) AS w1 FROM (SELECT *, lead(value) OVER (ORDER BY value) AS nx, sum(a) OVER (ORDER BY value) AS ca, sum(b) OVER (ORDER BY value) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM
    (SELECT value, count(*) FILTER (WHERE split = 'test') AS a, count(*) FILTER (WHERE split = 'train') AS b FROM gs WHERE stat = 'jump_length' AND split IN ('train', 'test') GROUP BY value))""", "gs", extra=_ST))
 def g_w1(d):
     return rounded(G.wasserstein(_values(d, "test", "jump_length"), _values(d, "train", "jump_length")), w1=4)

@@ -264,7 +264,7 @@ def x2(d):
 
 @query("X4_paired_skill_ci", sql("""SELECT model, metric, round(quantile_cont(s, 0.025), 5) AS skill_ci_low, round(quantile_cont(s, 0.975), 5) AS skill_ci_high FROM
     (SELECT m.model, m.metric, CASE WHEN m.metric = 'acc_100m' THEN CASE WHEN b.v < 1 THEN (m.v - b.v) / (1 - b.v) END WHEN b.v > 0 THEN 1 - m.v / b.v END AS s
-     FROM bl m JOIN bl b ON b.rep = m.rep AND b.metric = m.metric AND b.model = 'baseline:linear_interp' WHERE m.model = 'shifted') WHERE s IS NOT NULL GROUP BY ALL""", "bl", extra=_BOOT))
+     FROM bl m JOIN bl b ON b.rep = m.rep AND b.metric = m.metric AND b.model = 'baseline:linear_interp' WHERE m.model = 'shifted') GROUP BY ALL""", "bl", extra=_BOOT))
 def x4(d):
     r = scores.emit_records(_boot_samples(d), ["task", "eval_seed"], ["linear_interp"], 40, 0)
     return rounded(r.filter("model = 'shifted'").select("model", "metric", "skill_ci_low", "skill_ci_high"), skill_ci_low=5, skill_ci_high=5)

@@ -40,7 +40,7 @@ def detection_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     # a tie group holds ranks n_all - cum_n + 1 .. n_all - before counted from the lowest score
     mean_rank = F.col("n_all") - before - (F.col("n") - 1) / 2.0
     auc = (F.sum(F.col("pos") * mean_rank) - F.max(p) * (F.max(p) + 1) / 2.0) / (F.max(p) * F.max(negatives))
-    steps = F.sum(F.col("pos") / p * (tp / n))
+    steps = F.sum(F.when(p > 0, F.col("pos") / p * (tp / n)))
     holds = (n >= p) & (before < p)
     at_k = F.max(F.when(holds, (tp - F.col("pos") + F.col("pos") * (p - before) / F.col("n")) / p))
     out = t.groupBy(*groups).agg(F.when((F.max(p) > 0) & (F.max(negatives) > 0), auc).alias("roc_auc"),

@@ -44,7 +44,9 @@ def visited_cells(stays: DataFrame, grid: SquareGrid) -> DataFrame:
 
 def bin_edges(real: DataFrame, stat: str, n_bins: int = 30) -> list[float]:
     """Edges fixed from real values: log-spaced between the 0.5 and 99.5 percentiles with open ends,
-    or half-integers for counts."""
+    or half-integers for counts. No values, no edges."""
+    if not real.take(1):
+        return []
     if stat == "daily_locations":
         top = real.agg(F.max("value")).first()[0]
         return [float(v) for v in np.arange(0.5, max(top, 1) + 6.5)]
@@ -59,6 +61,8 @@ def bin_edges(real: DataFrame, stat: str, n_bins: int = 30) -> list[float]:
 
 def histogram(values: DataFrame, edges: list[float]) -> DataFrame:
     """(bin, n): bins are closed on the left, the last one on both sides; outside values fall out."""
+    if not edges:
+        return values.select(F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("n")).filter(F.lit(False))
     e = F.array(*[F.lit(x) for x in edges])
     b = F.size(F.filter(e, lambda x: x <= F.col("value"))) - 1
     last = len(edges) - 2
@@ -87,7 +91,7 @@ def wasserstein(real: DataFrame, gen: DataFrame) -> DataFrame:
     r = running(chunks, ["_all"], ["value"], {"ca": F.col("a"), "cb": F.col("b")}, keep_chunk=True)
     r = neighbour(r, ["_all"], ["value"], ["value"], "next_", ahead=True)
     total = chunks.groupBy("_all").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    gap = F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")) * (F.col("next_value") - F.col("value"))
+    gap = F.abs(F.try_divide("ca", "ta") - F.try_divide("cb", "tb")) * (F.col("next_value") - F.col("value"))
     return r.join(total, "_all").agg(F.sum(gap).alias("w1"))
 
 

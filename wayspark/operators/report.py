@@ -53,13 +53,19 @@ def pareto_front(records: DataFrame) -> DataFrame:
     return q.join(free, "model", "left").withColumn("pareto_optimal", F.coalesce("_free", F.lit(False))).drop("_free")
 
 
+def _digits(n: int, v: Column) -> Column:
+    """``n`` significant digits without trailing zeros."""
+    text = F.regexp_replace(F.format_string(f"%.{n}g", v), r"(\.\d*?)0+(?=e|$)", "$1")
+    return F.regexp_replace(text, r"\.(?=e|$)", "")
+
+
 def _significant(v: Column) -> Column:
     """Three significant digits below 1000, else grouped whole numbers."""
-    return F.when(F.abs(v) < 1000, F.format_string("%.3g", v)).otherwise(F.format_number(v, 0))
+    return F.when(F.abs(v) < 1000, _digits(3, v)).otherwise(F.format_number(v, 0))
 
 
 def cell_text() -> Column:
-    spread = F.when(F.col("std") > 0, F.concat(F.lit(" ±"), F.format_string("%.2g", F.col("std")))).otherwise(F.lit(""))
+    spread = F.when(F.col("std") > 0, F.concat(F.lit(" ±"), _digits(2, F.col("std")))).otherwise(F.lit(""))
     return F.concat(F.when(F.col("value").isNull(), F.lit("-")).otherwise(_significant(F.col("value"))), spread)
 
 

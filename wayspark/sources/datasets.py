@@ -32,12 +32,12 @@ def read_geolife(spark: SparkSession, root: str, users: list[str] | None = None,
     fixes = lines.filter(F.col("value").rlike(r"^[^,]*(,[^,]*){4},\d{4}-\d{2}-\d{2},\s*\d{2}:\d{2}:\d{2}\s*$"))
     stamp = F.to_timestamp_ntz(F.concat_ws(" ", f[5], F.trim(f[6])), F.lit("yyyy-MM-dd HH:mm:ss"))
     points = fixes.select("user_id", F.concat_ws("_", "user_id", "trip").alias("traj_id"), stamp.alias("_s"),
-                          f[0].cast("double").alias("lat"), f[1].cast("double").alias("lon"))
+                          f[0].try_cast("double").alias("lat"), f[1].try_cast("double").alias("lon"))
     points = points.withColumn("t", to_seconds(points, "_s")).drop("_s")
     rows = spark.read.text(f"{root.rstrip('/')}/*", pathGlobFilter="labels.txt").select("value", _path_part(-2).alias("user_id"))
     g = F.split("value", "\t")
     at = lambda c: F.to_timestamp_ntz(F.trim(c), F.lit("yyyy/MM/dd HH:mm:ss"))
-    raw = rows.filter(F.col("value").rlike(r"^\d{4}/")).select("user_id", at(g[0]).alias("_a"), at(g[1]).alias("_b"), F.lower(F.trim(g[2])).alias("raw"))
+    raw = rows.filter(F.col("value").rlike(r"^\d{4}/")).select("user_id", at(F.get(g, 0)).alias("_a"), at(F.get(g, 1)).alias("_b"), F.lower(F.trim(F.get(g, 2))).alias("raw"))
     mode = F.create_map(*[F.lit(x) for kv in MODE_CLASSES.items() for x in kv])[F.col("raw")]
     labels = raw.select("user_id", to_seconds(raw, "_a").alias("start"), to_seconds(raw, "_b").alias("end"), mode.alias("mode")).dropna()
     if users is not None:
@@ -58,7 +58,7 @@ def read_worldtrace(spark: SparkSession, root: str, max_trajectories: int | None
     its own user. A cap draws whole files."""
     lat, lon = ("matched_latitude", "matched_longitude") if use_matched else ("latitude", "longitude")
     raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    rows = raw.select(_stem().alias("traj_id"), F.col("time"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    rows = raw.select(_stem().alias("traj_id"), F.col("time"), F.col(lat).try_cast("double").alias("lat"), F.col(lon).try_cast("double").alias("lon"))
     out = rows.select("traj_id", to_seconds(rows, "time").alias("t"), "lat", "lon").dropna()
     if max_trajectories:
         out = out.join(drawn_keys(out, "traj_id", max_trajectories, seed, "file"), "traj_id", "left_semi")

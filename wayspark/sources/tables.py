@@ -61,7 +61,7 @@ def read_points(spark: SparkSession, path: str | None = None, train_path: str |
             raise ValueError(f"no column for {lacking}; name one, e.g. columns={{'user_id': 'uid'}}")
         user = F.col(source("user_id")).cast("string")
         picked = [user.alias("user_id"), F.concat(user, F.lit(":"), F.col(source("traj_id")).cast("string")).alias("traj_id"),
-                  to_seconds(df, time_column).alias("t"), *[F.col(source(c)).cast("double").alias(c) for c in ("lat", "lon")]]
+                  to_seconds(df, time_column).alias("t"), *[F.col(source(c)).try_cast("double").alias(c) for c in ("lat", "lon")]]
         picked += [F.col(source(c)).alias(c) for c in ("mode", "split") if source(c) in df.columns and not (c == "split" and split != "all")]
         picked += [F.col(source(c)).alias(c) for c in keep]
         part = df.select(*picked)
