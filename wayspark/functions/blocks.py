@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions
+from ..session import cut_lineage, partitions
 
 BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -27,16 +27,10 @@ def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else np.zeros((0, 1))
 
 
-def row_bytes(df: DataFrame, vector: str) -> int:
-    first = df.select(F.size(vector)).first()
-    return 8 * max(first[0] if first else 1, 1)
-
-
 def in_blocks(df: DataFrame, key: str, columns: list[str], bytes_per_row: int, limit: int = BLOCK_BYTES):
     """Yields the rows of ``df`` as Arrow tables of at most ``limit`` bytes, split by key hash."""
-    n = df.count()
-    parts = max(1, -(-n * bytes_per_row // limit))
-    placed = df.select(key, *columns)
+    placed = cut_lineage(df.select(key, *columns))
+    parts = max(1, -(-placed.count() * bytes_per_row // limit))
     for part in range(parts):
         chosen = placed if parts == 1 else placed.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
         yield chosen.toArrow()

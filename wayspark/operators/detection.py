@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import in_blocks, matrix, stream_past, union_all
 from ..functions.moments import mean_and_cov
 from ..functions.ordered import range_chunks, running
+from ..session import cut_lineage
 from .scores import finite
 
 
@@ -115,4 +116,4 @@ def kinematic_knn(train_features: DataFrame, test_features: DataFrame, key: str,
     train = train_features.filter(ok).withColumn("vector", F.array(*[F.col(n).cast("double") for n in names]))
     clean = lambda n: F.when(finite(F.col(n).cast("double")), F.col(n).cast("double")).otherwise(0.0)
     test = test_features.withColumn("vector", F.array(*[clean(n) for n in names]))
-    return knn_distance(train, test, key, "vector", k)
+    return knn_distance(cut_lineage(train.select("vector")), test, key, "vector", k)

@@ -11,6 +11,7 @@ from ..functions.blocks import in_blocks, matrix, stream_past, union_all
 from ..functions.draws import draw_int, normal, uniform
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.ordered import exact_percentiles, global_rank, neighbour, range_chunks, running
+from ..session import cut_lineage
 from .features import radius_of_gyration
 from .grid import SquareGrid
 from .prep import _placed
@@ -105,7 +106,6 @@ def compare_stat(real: DataFrame, gen: DataFrame, edges: list[float]) -> tuple[f
 def paired_spearman(real: DataFrame, gen: DataFrame, min_users: int = 5) -> DataFrame:
     """Rank correlation of per-user medians over the users present in both (null below ``min_users``)."""
     m = exact_percentiles(real, ["user_id"], "value", {"r": 0.5}).join(exact_percentiles(gen, ["user_id"], "value", {"g": 0.5}), "user_id")
-    from ..session import cut_lineage
     m = cut_lineage(m).withColumn("_all", F.lit(0))
     for c in ("r", "g"):
         counts = m.groupBy("_all", c).agg(F.count(F.lit(1)).alias("_n"))
@@ -143,11 +143,11 @@ def nearest_train_distance(query: DataFrame, train: DataFrame, k: int = 16) -> D
         return {"row": np.arange(len(best)), "d": best}
 
     spark, parts = query.sparkSession, []
-    shapes = _shapes(train, k).select("lat", "lon")
+    shapes = cut_lineage(_shapes(train, k).select("lat", "lon"))
     for table in in_blocks(_shapes(query, k), "traj_id", ["lat", "lon"], 16 * k):
         names = table.column(0).to_pylist()
         block = (np.radians(matrix(table.column(1), len(names))), np.radians(matrix(table.column(2), len(names))))
-        d = stream_past(shapes, block, start, lambda b, m, batch: update(b, m, batch), finish, "row bigint, d double")
+        d = stream_past(shapes, block, start, update, finish, "row bigint, d double")
         ids = spark.createDataFrame(list(enumerate(names)), "row bigint, traj_id string")
         parts.append(d.groupBy("row").agg(F.min("d").alias("dist_m")).join(ids, "row").select("traj_id", "dist_m"))
     return union_all(parts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import in_blocks, matrix, stream_past, union_all
 from ..functions.draws import draw_int
 from ..functions.geo import to_xy
+from ..session import cut_lineage
 from .scores import melt
 
 DECIMALS = 9
@@ -115,7 +116,7 @@ def hausdorff_ranks(queries: DataFrame, database: DataFrame, lat0: float, lon0:
     the exact distance is computed for the remaining ones only. Points in long form; the database
     windows have equal lengths.
     """
-    q, db = _xy_arrays(queries, key, lat0, lon0), _xy_arrays(database, key, lat0, lon0)
+    q, db = _xy_arrays(queries, key, lat0, lon0), cut_lineage(_xy_arrays(database, key, lat0, lon0))
     own = q.join(db.withColumnsRenamed({"x": "ox", "y": "oy"}), key)
 
     def start(block):

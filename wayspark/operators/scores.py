@@ -33,10 +33,11 @@ def _how(metric: Column) -> Column:
     return out
 
 
-def aggregate_values(samples: DataFrame, keys: list[str]) -> DataFrame:
+def aggregate_values(samples: DataFrame, keys: list[str], written: bool = False) -> DataFrame:
     """(keys, metric, value, n) from finite per-sample values; means combine map-side, medians and
-    90th percentiles go through ranked counts."""
-    rows = samples.filter(finite(F.col("value"))).withColumn("_how", _how(F.col("metric")))
+    90th percentiles go through ranked counts. ``written``: the samples are already a table."""
+    rows = samples if written else cut_lineage(samples.select(*keys, "metric", "value"))
+    rows = rows.filter(finite(F.col("value"))).withColumn("_how", _how(F.col("metric")))
     groups = [*keys, "metric"]
     mean = F.avg("value")
     value = F.when(F.first("_how") == "rmse", F.sqrt(mean)).otherwise(mean)
@@ -96,6 +97,7 @@ def interval(reps: DataFrame, keys: list[str], value: str, prefix: str, alpha: f
 
 
 def bootstrap_ci(samples: DataFrame, keys: list[str], n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    samples = cut_lineage(samples.select(*keys, "sample_id", "metric", "value"))
     return interval(bootstrap_values(samples, keys, n_boot, seed), [*keys, "metric"], "value", "ci_")
 
 
@@ -117,7 +119,7 @@ def emit_records(samples: DataFrame, keys: list[str], preferred: list[str], n_bo
     """
     groups = [*keys, "model"]
     samples = cut_lineage(samples.select(*groups, "sample_id", "metric", "value"))      # read by every branch below
-    values = cut_lineage(aggregate_values(samples, groups))
+    values = cut_lineage(aggregate_values(samples, groups, written=True))
     base = preferred_baseline(values, keys, preferred)
     is_base = F.col("model").startswith("baseline:")
     out = values.join(base, [*keys, "metric"], "left")
