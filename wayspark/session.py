@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import pathlib
 import shutil
+import sys
 import tempfile
 from collections.abc import Callable
 from functools import lru_cache
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps day buckets (floor(t / 86400)) and parsed timestamps consistent.
@@ -64,9 +66,11 @@ _shipped: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, once per application."""
+    """Make the package available in Python workers, once per application: as a file, and by value for
+    the runners of stateful streams, which do not see added files."""
     application = spark.sparkContext.applicationId
     if application not in _shipped:
+        cloudpickle.register_pickle_by_value(sys.modules[__package__])
         spark.sparkContext.addPyFile(_archive(application))
         _shipped.add(application)
 
