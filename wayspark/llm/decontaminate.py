@@ -214,6 +214,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RA
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark passage. Rows are told apart by (doc_id, text), so equal ids do not matter."""
-    mark = F.xxhash64("doc_id", "text")
-    found = leaks(docs.select(mark.alias("doc_id"), "text"), benchmark, **options)
-    return docs.withColumn("_mark", mark).join(found.select(F.col("doc_id").alias("_mark")).distinct(), "_mark", "left_anti").drop("_mark")
+    names = docs.columns
+    rows = docs.withColumnsRenamed({c: f"_c{n}" for n, c in enumerate(names)})
+    own = [F.col(f"_c{names.index(c)}") for c in ("doc_id", "text")]
+    rows = rows.withColumn("_mark", F.xxhash64(*own))
+    found = leaks(rows.select(F.col("_mark").alias("doc_id"), own[1].alias("text")), benchmark, **options)
+    clean = rows.join(found.select(F.col("doc_id").alias("_mark")).distinct(), "_mark", "left_anti")
+    return clean.select(*(F.col(f"_c{n}").alias(c) for n, c in enumerate(names)))

@@ -307,11 +307,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, r
             .select("row", F.coalesce("class_id", "row").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
-def named(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with ``row``: the id where ids are unique and not null, else a hash of all columns, one of each equal row."""
-    if not docs.filter("doc_id is null").take(1) and not docs.groupBy("doc_id").count().filter("count > 1").take(1):
-        return docs.withColumn("row", F.col("doc_id").cast("long")), True
-    return docs.withColumn("row", F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))), False
+def named(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, bool]:
+    """``docs`` with ``row``: the id where ids are unique and not null, else a hash of all columns."""
+    if not docs.filter(F.col(key).isNull()).take(1) and not docs.groupBy(key).count().filter("count > 1").take(1):
+        return docs.withColumn("row", F.col(key).cast("long")), True
+    return docs.withColumn("row", F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))), False
 
 
 def document_classes(docs: DataFrame, **options) -> DataFrame:
@@ -326,16 +326,18 @@ def document_classes(docs: DataFrame, **options) -> DataFrame:
 
 def first_of_class(docs: DataFrame, **options) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id, columns unchanged."""
-    rows, plain = named(docs)
+    names = docs.columns
+    key, text = (f"_c{names.index(c)}" for c in ("doc_id", "text"))
+    rows, plain = named(docs.withColumnsRenamed({c: f"_c{n}" for n, c in enumerate(names)}), key)
     if not plain:
         rows = rows.dropDuplicates(["row"])
-    found = near_duplicates(rows.select("row", "text"), **options)
+    found = near_duplicates(rows.select("row", F.col(text).alias("text")), **options)
     if plain:
         kept = found.filter("row = class_id").select("row")
     else:
-        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+        order = F.struct(F.col(key).isNull(), F.col(key), F.col("row"))
         kept = rows.select("row", order.alias("_order")).join(found, "row").groupBy("class_id").agg(F.min_by("row", "_order").alias("row")).select("row")
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row", "left_semi").select(*(F.col(f"_c{n}").alias(c) for n, c in enumerate(names)))
 
 
 def brute_force(texts: list[tuple[int, str | None]], size: int = 5, threshold: float = 0.8) -> dict[int, tuple[int, int]]:

@@ -88,7 +88,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", *, fre
                     if len(misses) + len(unknown) > cache:
                         misses = {}
                         unknown = list({t for t in cut if t not in near})
-                    misses.update(zip(unknown, map(len, model.encode([t[1:] for t in unknown], num_threads=1))))
+                    # the library puts the first space back, but not before nothing: a last space alone is one token
+                    misses.update((t, len(ids) or 1) for t, ids in zip(unknown, model.encode([t[1:] for t in unknown], num_threads=1)))
                 counts[row] = sum([near[t] if t in near else misses[t] for t in cut])
             misses = {t: n for t, n in misses.items() if len(t) <= LONGEST} if any(len(t) > LONGEST for t in misses) else misses
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(counts)], schema=COUNTS)
