@@ -63,7 +63,8 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, frequent: int = 8192) -> d
     # one sketch per task and group of tasks, then one of all groups
     rows = docs.select((F.spark_partition_id() % 64).alias("part"), token).filter(F.length("token").between(1, LONGEST - 1))
     parts = rows.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(token, {4 * frequent})").alias("sketch"))
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {4 * frequent}), {frequent})").alias("top")).first()[0] or []
+    merged = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {4 * frequent})").alias("sketch"))       # no row where there are no texts
+    top = [item for row in merged.select(F.expr(f"approx_top_k_estimate(sketch, {frequent})").alias("top")).collect() for item in row["top"]]
     model = load(tokenizer)
     found = [r["item"] for r in top if SPACE not in r["item"]]
     return dict(zip((" " + t for t in found), map(len, model.encode(found, num_threads=1))))
