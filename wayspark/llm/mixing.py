@@ -112,7 +112,7 @@ def takes(plan: DataFrame, sources: int, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, *, block: int = 1024, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document: the words that the schedule takes of it, repeats counted."""
-    own = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
+    own = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")), "sizes")      # texts are read once
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = keep(planned(sizes, block, **options), "sources")
     sources = plan.count()
