@@ -68,7 +68,7 @@ ROW = pa.schema([("shard", pa.int32()), ("draw", pa.int64()), ("label", pa.float
 WEIGHT = pa.schema([("slot", pa.int64()), ("weight", pa.float64())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", *, bits: int = 20, max_rows: int = 24_000,
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", *, bits: int = 20, max_rows: int = 16_000,
         least_rows: int = 3, shards: int = 1, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.0) -> DataFrame:
     """(slot, weight) of the non-zero averaged weights; slot 2^bits is the bias."""
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_label"))
