@@ -282,7 +282,7 @@ def d7(d):
 @query("D7_region_vocab_capped", sql(""", tv AS (SELECT region, row_number() OVER (ORDER BY n DESC, region) AS idx FROM (SELECT region, count(*) AS n FROM rid GROUP BY region ORDER BY n DESC, region LIMIT 20))
     SELECT event_id, coalesce(idx, 21) AS region FROM rid LEFT JOIN tv ON tv.region = rid.region""", "rid", extra=_REGION))
 def d7b(d):
-    return G.RegionGrid.fit(d.points()).ids(d.fixes(), d.fixes(), max_cells=20).select("event_id", "region")
+    return G.RegionGrid.fit(d.points()).ids(d.fixes(), d.fixes(), vocabulary=20).select("event_id", "region")
 
 
 @query("D9_cap_samples", sql(f"""SELECT window_id, pos, t FROM win WHERE window_id IN (SELECT window_id FROM (SELECT DISTINCT window_id FROM win WHERE split = 'test')

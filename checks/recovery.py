@@ -291,7 +291,7 @@ _ARR = {"arr": (["segs"], "SELECT traj_id, seg, list(lat ORDER BY t) AS y, count
 
 @query("T2_resample_pchip", sql("""SELECT traj_id, CAST(j AS BIGINT) AS j, round(y[i+1]*(1 + 2*u)*pow(1-u, 2) + m[i+1]*u*pow(1-u, 2) + y[i+2]*u*u*(3 - 2*u) - m[i+2]*u*u*(1-u), 7) AS lat FROM q""", "q", extra=_ARR))
 def t2(d):
-    t = resample.resample_curve(views.trajectories(d.points(), 300.0, 3, 512), 20)
+    t = resample.resample_curve(views.trajectories(d.points(), 300.0, 3), 20)
     return t.select("traj_id", F.posexplode("curve.lat").alias("j", "lat")).select("traj_id", F.col("j").cast("bigint"), F.round("lat", 7).alias("lat"))
 
 

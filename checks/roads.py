@@ -394,7 +394,7 @@ def d8(d):
 def t8(d):
     roads_ = d.fixes().select("traj_id", "t", F.when(F.col("event_id") % 11 == 0, -1).otherwise((F.col("event_id") * 7) % 50).alias("seg"))
     vocab = G.road_vocabulary(roads_, 200_000)
-    trips = views.trajectories(d.points(), 300.0, 3, 512)
+    trips = views.trajectories(d.points(), 300.0, 3)
     r = d.points().agg(*[f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first().asDict()
     s = resample.training_samples(trips, G.RegionGrid.fit(d.points()), r, roads_, vocab)
     n = F.aggregate("road_mask", F.lit(0.0), lambda a, x: a + x).cast("int")

@@ -184,10 +184,12 @@ def uniform_bbox(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return r.select("user_id", F.concat(F.lit("gen"), F.col("gen").cast("string")).alias("traj_id"), "t", at("lat", a0, a1).alias("lat"), at("lon", o0, o1).alias("lon"))
 
 
-def seed_only(points: DataFrame, n: int, seed: int = 0, seed_points: int = 5, max_len: int = 512) -> DataFrame:
+def seed_only(points: DataFrame, n: int, seed: int = 0, seed_points: int = 5, max_len: int | None = None) -> DataFrame:
     """Control: the real prefix of ``seed_points`` fixes, then standing still with the real timing."""
     drawn = _drawn_trips(points, n, seed, "trip", seed_points + 1)
-    counted = _placed(points).withColumn("p", F.col("p") + 1).filter(F.col("p") <= max_len)
+    counted = _placed(points).withColumn("p", F.col("p") + 1)
+    if max_len is not None:
+        counted = counted.filter(F.col("p") <= max_len)
     last = counted.filter(F.col("p") == seed_points).select("traj_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     rows = counted.join(last, "traj_id").join(drawn, "traj_id")
     hold = lambda c: F.when(F.col("p") > seed_points, F.col(f"_{c}")).otherwise(F.col(c))

@@ -179,21 +179,22 @@ class RegionGrid:
         iy = _clip(F.floor((lat - self.lat0) / self.dlat), self.ny - 1)
         return (1 + ix * self.ny + iy).cast("bigint")
 
-    def ids(self, df: DataFrame, train: DataFrame, max_cells: int = 20_000, name: str = "region") -> DataFrame:
-        """Region id per row; with more cells than ``max_cells``, the most frequent training cells get
-        1..V and every other one shares V + 1 (the cap is the size of the vocabulary)."""
+    def ids(self, df: DataFrame, train: DataFrame | None = None, vocabulary: int | None = None, name: str = "region") -> DataFrame:
+        """Region id per row: the cell's own number, or, where the caller asks for a ``vocabulary``, 1..V for the most
+        frequent training cells and V + 1 for every other one."""
         out = df.withColumn(name, self.raw_id(F.col("lat"), F.col("lon")))
-        if self.nx * self.ny <= max_cells:
+        if vocabulary is None:
             return out
-        vocab = frequency_vocabulary(train.withColumn(name, self.raw_id(F.col("lat"), F.col("lon"))), name, max_cells)
+        vocab = frequency_vocabulary(train.withColumn(name, self.raw_id(F.col("lat"), F.col("lon"))), name, vocabulary)
         return encode(out, vocab, name, vocab.count() + 1)
 
 
-def frequency_vocabulary(df: DataFrame, column: str, size: int) -> DataFrame:
-    """The ``size`` most frequent values, numbered from 1 (ties by value)."""
-    top = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")) \
-        .orderBy(F.desc("n"), column).limit(size)
-    return global_rank(top.withColumn("_neg", -F.col("n")), ["_neg", column], "index").drop("_neg")
+def frequency_vocabulary(df: DataFrame, column: str, size: int | None = None) -> DataFrame:
+    """Values by frequency, numbered from 1 (ties by value): all, or the ``size`` most frequent. The rank is the distributed
+    one, so no task sorts the vocabulary."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    ranked = global_rank(counts.withColumn("_neg", -F.col("n")), ["_neg", column], "index").drop("_neg")
+    return ranked if size is None else ranked.filter(F.col("index") <= size)
 
 
 def encode(df: DataFrame, vocabulary: DataFrame, column: str, unknown: int) -> DataFrame:
@@ -201,7 +202,7 @@ def encode(df: DataFrame, vocabulary: DataFrame, column: str, unknown: int) -> D
     return df.join(codes, column, "left").withColumn(column, F.coalesce("_code", F.lit(unknown)).cast("bigint")).drop("_code")
 
 
-def road_vocabulary(matched: DataFrame, max_roads: int = 200_000) -> DataFrame:
+def road_vocabulary(matched: DataFrame, max_roads: int | None = None) -> DataFrame:
     """Segments matched in training by frequency, 1..R; -1 (unmatched) is no road."""
     return frequency_vocabulary(matched.filter("seg >= 0"), "seg", max_roads)
 

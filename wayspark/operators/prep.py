@@ -249,16 +249,17 @@ def as_of(rows: DataFrame, order: list[str], column: str, name: str, chunk: Colu
 
 
 def labels_by_interval(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mode of the interval that started last before each fix, if it still holds (end inclusive).
+    """Mode of the interval that started last before each fix, if it still holds (end inclusive); of two with one start, the
+    one that ends later.
 
     ``labels``: user_id, start, end, mode. As-of join by union: no pair of a fix and an interval that
     is not its own is ever formed.
     """
     fixes = points.drop("mode").withColumns({"_at": F.col("t"), "_side": F.lit(1), "_label": F.lit(None).cast(
-        "struct<start:double,end:double,mode:string>")})
+        "struct<start:double,end:double,mode:string>"), "_end": F.lit(None).cast("double")})
     starts = labels.select("user_id", F.col("start").alias("_at"), F.lit(0).alias("_side"),
-                           F.struct("start", "end", "mode").alias("_label"))
+                           F.struct("start", "end", "mode").alias("_label"), F.col("end").cast("double").alias("_end"))
     both = fixes.unionByName(starts, allowMissingColumns=True)
-    filled = as_of(both, ["_at", "_side"], "_label", "_known")
+    filled = as_of(both, ["_at", "_side", "_end"], "_label", "_known")
     mode = F.when(F.col("t") <= F.col("_known.end"), F.col("_known.mode"))
-    return filled.filter("_side = 1").withColumn("mode", mode).drop("_at", "_side", "_label", "_known")
+    return filled.filter("_side = 1").withColumn("mode", mode).drop("_at", "_side", "_end", "_label", "_known")

@@ -62,7 +62,7 @@ def directed_edges(segments: DataFrame, length: str = "length_m") -> DataFrame:
     return ahead.unionByName(back).groupBy("a", "b").agg((F.min("w") + 1e-6).alias("w"))
 
 
-def bounded_routes(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def bounded_routes(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Shortest distances (source, node, d) up to each source's own limit: ``sources`` (node, limit_m).
 
     Relaxation by joins: each round extends only the pairs improved in the last one by one edge and
@@ -71,7 +71,7 @@ def bounded_routes(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_00
     start = sources.groupBy("node").agg(F.max("limit_m").alias("limit_m"))
     best = cut_lineage(start.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"), "limit_m"))
     front = best
-    for _ in range(max_rounds):
+    while True:                                           # ends: every round shortens a distance, and there are finitely many paths
         step = front.join(edges, front["node"] == edges["a"]).select("source", F.col("b").alias("node"), (F.col("d") + F.col("w")).alias("d"), "limit_m") \
             .filter("d <= limit_m").groupBy("source", "node", "limit_m").agg(F.min("d").alias("d"))
         known = best.select("source", "node", F.col("d").alias("_known"))

@@ -66,10 +66,12 @@ def odd_even_views(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return windows.filter("pos % 2 = 1"), windows.filter("pos % 2 = 0")
 
 
-def trajectories(points: DataFrame, max_gap_s: float, min_points: int = 36, max_points: int = 100_000) -> DataFrame:
-    """Gap-free trips of ``min_points`` to ``max_points`` fixes as ordered arrays. Sizes are known before
-    anything is gathered, so no array exceeds ``max_points``."""
-    p = segment_positions(points, max_gap_s).filter(F.col("seg_n").between(min_points, max_points))
+def trajectories(points: DataFrame, max_gap_s: float, min_points: int = 36, max_points: int | None = None) -> DataFrame:
+    """Gap-free trips of at least ``min_points`` fixes (and at most ``max_points``, where that is asked for) as ordered
+    arrays. An array holds one trip; ``resample_index`` works on trips of any length without one."""
+    p = segment_positions(points, max_gap_s).filter(F.col("seg_n") >= min_points)
+    if max_points is not None:
+        p = p.filter(F.col("seg_n") <= max_points)
     pts = F.sort_array(F.collect_list(F.struct("t", "lat", "lon"))).alias("pts")
     return p.groupBy("user_id", "traj_id", "seg").agg(pts)
 

@@ -8,13 +8,13 @@ from ..functions.blocks import union_all
 from ..operators import features, retrieval, scores, splits, views
 
 
-def retrieval_sample(windows: DataFrame, db_size: int = 5000, n_queries: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Database windows and, among them, the query windows (sizes are the protocol's)."""
-    db = splits.seeded_subset(windows, "window_id", db_size, seed, "db")
-    return db, splits.seeded_subset(db, "window_id", n_queries, seed, "query")
+def retrieval_sample(windows: DataFrame, db_size: int | None = None, n_queries: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Database windows and, among them, the query windows: all of them, or seeded draws where sizes are given."""
+    db = windows if db_size is None else splits.seeded_subset(windows, "window_id", db_size, seed, "db")
+    return db, db if n_queries is None else splits.seeded_subset(db, "window_id", n_queries, seed, "query")
 
 
-def odd_even_eval(windows: DataFrame, lat0: float, lon0: float, db_size: int = 5000, n_queries: int = 1000, seed: int = 0,
+def odd_even_eval(windows: DataFrame, lat0: float, lon0: float, db_size: int | None = None, n_queries: int | None = None, seed: int = 0,
                   ks=(1, 5, 10), embed=None) -> DataFrame:
     """Records of an embedding (``embed``: long windows -> (window_id, vector); position statistics by
     default) against Hausdorff and random ranking."""
