@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._scratch import keep
 from .toxicity import held_out
 
 SIZES = (3, 4, 5)
 PROBES = 2
+MOST_LANGUAGES = 10_000
 COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
@@ -116,8 +118,10 @@ class Filters:
 
 def fit(docs: DataFrame, *, per_language: int = 2000, grams_kept: int = 20_000, ratio: float = 3.0, slot_bits: int = 20) -> Filters:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 11).alias("draw"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    chosen = known.join(sizes, "lang").filter(F.col("draw") < F.lit(float(1 << 53)) * F.lit(per_language) / F.col("rows"))
+    sizes = keep(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    # one row a language: broadcast up to a checked number, so that no text is dealt out by its language
+    few = sizes.count() <= MOST_LANGUAGES
+    chosen = known.join(F.broadcast(sizes) if few else sizes, "lang").filter(F.col("draw") < F.lit(float(1 << 53)) * F.lit(per_language) / F.col("rows"))
     counted = count_grams(chosen.select("lang", "text"))
     shares = counted.join(counted.groupBy("lang").agg(F.sum("n").alias("own")), "lang").withColumn("share", F.col("n") / F.col("own"))
     everywhere = shares.groupBy("gram").agg(F.sum("share").alias("all_shares"))
