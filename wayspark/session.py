@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import shutil
 import sys
 import tempfile
@@ -36,9 +37,11 @@ def _local_folder(application: str) -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The cluster's shared folder; a local one only for a session of one machine that names none (tests)."""
     application = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = shared if shared else _local_folder(application)
     return f"{base.rstrip('/')}/wayspark-{application}"
 
