@@ -5,66 +5,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Name, family, higher is better, unit, skill, low, high, plausible maximum, aggregate.
-# A blank bound is unbounded; skill is ratio, bounded, difference, floor or none.
-_TABLE = """
-ade_m                  recovery        no   m         ratio       0   .   20000  mean
-median_ade_m           recovery        no   m         ratio       0   .   20000  median
-p90_ade_m              recovery        no   m         ratio       0   .   50000  p90
-rmse_m                 recovery        no   m         ratio       0   .   50000  rmse
-fde_m                  recovery        no   m         ratio       0   .   20000  mean
-dtw_m                  recovery        no   m         ratio       0   .   20000  mean
-acc_100m               recovery        yes  fraction  bounded     0   1   .      mean
-acc_500m               recovery        yes  fraction  bounded     0   1   .      mean
-grid_acc               recovery        yes  fraction  bounded     0   1   .      mean
-acc@1                  location        yes  fraction  bounded     0   1   .      mean
-acc@5                  location        yes  fraction  bounded     0   1   .      mean
-acc@10                 location        yes  fraction  bounded     0   1   .      mean
-acc@20                 location        yes  fraction  bounded     0   1   .      mean
-mrr@20                 location        yes  fraction  bounded     0   1   .      mean
-loc_nll                location        no   nats      difference  0   .   .      mean
-dist_err_m             location        no   m         ratio       0   .   50000  mean
-median_dist_err_m      location        no   m         ratio       0   .   50000  median
-acc_1km                location        yes  fraction  bounded     0   1   .      mean
-probe_coverage         location        yes  fraction  none        0   1   .      mean
-mae_min                continuous      no   min       ratio       0   .   1440   mean
-rmse_min               continuous      no   min       ratio       0   .   1440   rmse
-crps_min               continuous      no   min       ratio       0   .   1440   mean
-nll                    continuous      no   nats      difference  .   .   .      mean
-pseudo_nll             continuous      no   nats      difference  .   .   .      mean
-mape                   continuous      no   fraction  ratio       0   .   10     mean
-p_within_5min          continuous      yes  fraction  bounded     0   1   .      mean
-p_within_10min         continuous      yes  fraction  bounded     0   1   .      mean
-p_within_20min         continuous      yes  fraction  bounded     0   1   .      mean
-coverage80             continuous      yes  fraction  none        0   1   .      mean
-pit_ks                 continuous      no   stat      none        0   1   .      mean
-accuracy               classification  yes  fraction  bounded     0   1   .      mean
-balanced_accuracy      classification  yes  fraction  bounded     0   1   .      mean
-macro_f1               classification  yes  fraction  bounded     0   1   .      mean
-cls_nll                classification  no   nats      difference  0   .   .      mean
-ece                    classification  no   fraction  ratio       0   1   .      mean
-jsd                    generation      no   bits      floor       0   1   .      mean
-w1                     generation      no   native    floor       0   .   .      mean
-copy_rate              generation      no   fraction  none        0   1   .      mean
-nn_train_dist_m        generation      yes  m         none        0   .   .      median
-spearman_paired        generation      yes  rho       none        -1  1   .      mean
-user_acc@1             identity        yes  fraction  bounded     0   1   .      mean
-user_acc@5             identity        yes  fraction  bounded     0   1   .      mean
-user_mrr@20            identity        yes  fraction  bounded     0   1   .      mean
-user_macro_f1          identity        yes  fraction  bounded     0   1   .      mean
-user_nll               identity        no   nats      difference  0   .   .      mean
-roc_auc                anomaly         yes  auc       bounded     0   1   .      mean
-pr_auc                 anomaly         yes  auc       bounded     0   1   .      mean
-precision@k            anomaly         yes  fraction  bounded     0   1   .      mean
-mean_rank              retrieval       no   rank      ratio       1   .   .      mean
-mrr                    retrieval       yes  fraction  bounded     0   1   .      mean
-hr@1                   retrieval       yes  fraction  bounded     0   1   .      mean
-hr@5                   retrieval       yes  fraction  bounded     0   1   .      mean
-hr@10                  retrieval       yes  fraction  bounded     0   1   .      mean
-cr@1                   retrieval       yes  fraction  bounded     0   1   .      mean
-cr@5                   retrieval       yes  fraction  bounded     0   1   .      mean
-n_parameters           efficiency      no   count     none        0   .   .      mean
-latency_ms_per_sample  efficiency      no   ms        none        0   .   .      mean
-"""
+# None is unbounded; skill is ratio, bounded, difference, floor or none.
+METRICS = (
+    ("ade_m", "recovery", False, "m", "ratio", 0, None, 20000, "mean"),
+    ("median_ade_m", "recovery", False, "m", "ratio", 0, None, 20000, "median"),
+    ("p90_ade_m", "recovery", False, "m", "ratio", 0, None, 50000, "p90"),
+    ("rmse_m", "recovery", False, "m", "ratio", 0, None, 50000, "rmse"),
+    ("fde_m", "recovery", False, "m", "ratio", 0, None, 20000, "mean"),
+    ("dtw_m", "recovery", False, "m", "ratio", 0, None, 20000, "mean"),
+    ("acc_100m", "recovery", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("acc_500m", "recovery", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("grid_acc", "recovery", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("acc@1", "location", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("acc@5", "location", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("acc@10", "location", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("acc@20", "location", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("mrr@20", "location", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("loc_nll", "location", False, "nats", "difference", 0, None, None, "mean"),
+    ("dist_err_m", "location", False, "m", "ratio", 0, None, 50000, "mean"),
+    ("median_dist_err_m", "location", False, "m", "ratio", 0, None, 50000, "median"),
+    ("acc_1km", "location", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("probe_coverage", "location", True, "fraction", "none", 0, 1, None, "mean"),
+    ("mae_min", "continuous", False, "min", "ratio", 0, None, 1440, "mean"),
+    ("rmse_min", "continuous", False, "min", "ratio", 0, None, 1440, "rmse"),
+    ("crps_min", "continuous", False, "min", "ratio", 0, None, 1440, "mean"),
+    ("nll", "continuous", False, "nats", "difference", None, None, None, "mean"),
+    ("pseudo_nll", "continuous", False, "nats", "difference", None, None, None, "mean"),
+    ("mape", "continuous", False, "fraction", "ratio", 0, None, 10, "mean"),
+    ("p_within_5min", "continuous", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("p_within_10min", "continuous", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("p_within_20min", "continuous", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("coverage80", "continuous", True, "fraction", "none", 0, 1, None, "mean"),
+    ("pit_ks", "continuous", False, "stat", "none", 0, 1, None, "mean"),
+    ("accuracy", "classification", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("balanced_accuracy", "classification", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("macro_f1", "classification", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("cls_nll", "classification", False, "nats", "difference", 0, None, None, "mean"),
+    ("ece", "classification", False, "fraction", "ratio", 0, 1, None, "mean"),
+    ("jsd", "generation", False, "bits", "floor", 0, 1, None, "mean"),
+    ("w1", "generation", False, "native", "floor", 0, None, None, "mean"),
+    ("copy_rate", "generation", False, "fraction", "none", 0, 1, None, "mean"),
+    ("nn_train_dist_m", "generation", True, "m", "none", 0, None, None, "median"),
+    ("spearman_paired", "generation", True, "rho", "none", -1, 1, None, "mean"),
+    ("user_acc@1", "identity", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("user_acc@5", "identity", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("user_mrr@20", "identity", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("user_macro_f1", "identity", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("user_nll", "identity", False, "nats", "difference", 0, None, None, "mean"),
+    ("roc_auc", "anomaly", True, "auc", "bounded", 0, 1, None, "mean"),
+    ("pr_auc", "anomaly", True, "auc", "bounded", 0, 1, None, "mean"),
+    ("precision@k", "anomaly", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("mean_rank", "retrieval", False, "rank", "ratio", 1, None, None, "mean"),
+    ("mrr", "retrieval", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("hr@1", "retrieval", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("hr@5", "retrieval", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("hr@10", "retrieval", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("cr@1", "retrieval", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("cr@5", "retrieval", True, "fraction", "bounded", 0, 1, None, "mean"),
+    ("n_parameters", "efficiency", False, "count", "none", 0, None, None, "mean"),
+    ("latency_ms_per_sample", "efficiency", False, "ms", "none", 0, None, None, "mean"),
+)
 
 # Metrics that enter the cross-family summary.
 HEADLINE = ("ade_m", "fde_m", "dtw_m", "acc_100m", "acc@1", "acc@5", "dist_err_m", "crps_min", "mae_min", "macro_f1",
@@ -72,12 +72,8 @@ HEADLINE = ("ade_m", "fde_m", "dtw_m", "acc_100m", "acc@1", "acc@5", "dist_err_m
 
 
 def metric_rows() -> list[tuple]:
-    number = lambda v: None if v == "." else float(v)
-    rows = []
-    for line in _TABLE.strip().splitlines():
-        name, family, higher, unit, skill, low, high, plausible, aggregate = line.split()
-        rows.append((name, family, higher == "yes", unit, skill, number(low), number(high), number(plausible), aggregate))
-    return rows
+    number = lambda v: None if v is None else float(v)
+    return [(*row[:5], *map(number, row[5:8]), row[8]) for row in METRICS]
 
 
 def metric_registry(spark: SparkSession) -> DataFrame:

@@ -74,14 +74,15 @@ def speed_filter_lag(points: DataFrame, max_speed_mps: float, chunk: Column | No
     return near.filter(~F.coalesce(_fast(max_speed_mps), F.lit(False))).select(*points.columns)
 
 
-def long_enough(points: DataFrame, min_points: int | None = None, max_points: int | None = None) -> DataFrame:
-    """Trajectories with a number of fixes in the given range."""
-    sizes = points.groupBy("traj_id").agg(F.count(F.lit(1)).alias("_n"))
+@per_trajectory
+def long_enough(points: DataFrame, min_points: int | None = None, max_points: int | None = None, *, chunk: Column | None) -> DataFrame:
+    """Trajectories with a number of fixes in the given range; the sizes come with the rows, so nothing upstream runs twice."""
+    sized = group_size(points, ["traj_id"], "_n", chunk)
     if min_points:
-        sizes = sizes.filter(F.col("_n") >= min_points)
+        sized = sized.filter(F.col("_n") >= min_points)
     if max_points:
-        sizes = sizes.filter(F.col("_n") <= max_points)
-    return points.join(sizes.select("traj_id"), "traj_id", "left_semi")
+        sized = sized.filter(F.col("_n") <= max_points)
+    return sized.select(*points.columns)
 
 
 @per_trajectory
@@ -91,7 +92,7 @@ def clean_points(points: DataFrame, max_speed_mps: float = 70.0, min_points: int
     p = valid_fixes(points)
     if drop_duplicate_times:
         p = first_per_time(p, tie or ["lat", "lon"])
-    return long_enough(speed_filter(p, max_speed_mps, chunk=chunk), min_points)
+    return long_enough(speed_filter(p, max_speed_mps, chunk=chunk), min_points, chunk=chunk)
 
 
 # ------------------------------------------------------------------ prepare steps
