@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import in_blocks, matrix, stream_past, union_all
+from ..functions.blocks import best_rows, compare_blocks, matrix
 from ..functions.moments import mean_and_cov
 from ..functions.ordered import range_chunks, running
 from ..session import cut_lineage
@@ -51,42 +51,32 @@ def detection_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def knn_distance(train: DataFrame, test: DataFrame, key: str, vector: str = "vector", k: int = 10,
                  standardise: bool = True) -> DataFrame:
-    """Mean Euclidean distance to the ``k`` nearest training vectors, standardised by training.
+    """Mean Euclidean distance to the ``k`` nearest training vectors, standardised by training: (key, score), keys unique.
 
-    Test rows go in broadcast blocks of bounded size; training streams past once per block and keeps
-    k candidates per test row and task, merged by a small aggregate. Exact for any sizes.
+    Blocks of test rows meet blocks of training rows; each pair keeps k candidates per test row. Exact for any sizes.
     """
     mu, cov, n = mean_and_cov(train, vector)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     mu, sd = (mu, np.where(sd > 1e-12, sd, 1.0)) if standardise else (np.zeros_like(mu), np.ones_like(sd))
     k = max(1, min(k, n))
 
-    def start(block):
-        return {"best": np.full((len(block[0]), k), np.inf)}
-
-    def update(state, block, batch):
-        x = (matrix(batch.column(0), batch.num_rows) - mu) / sd
-        for lo in range(0, len(x), 2048):
-            part = x[lo:lo + 2048]
-            d2 = (block[1] ** 2).sum(1)[:, None] + (part ** 2).sum(1)[None, :] - 2.0 * block[1] @ part.T
-            both = np.concatenate([state["best"], np.maximum(d2, 0.0)], axis=1)
-            state["best"] = np.partition(both, k - 1, axis=1)[:, :k]
-
-    def finish(state, block):
-        return {"row": np.arange(len(block[0])), "best": list(np.sort(state["best"], axis=1))}
-
-    parts = []
-    vectors = train.select(F.col(vector).cast("array<double>").alias("v"))
-    spark = test.sparkSession
-    for table in in_blocks(test.select(key, F.col(vector).cast("array<double>").alias("v")), key, ["v"], 8 * (len(mu) + k)):
-        names = table.column(0).to_pylist()
-        z = (matrix(table.column(1), len(names)) - mu) / sd
-        partial = stream_past(vectors, (names, z), start, update, finish, "row bigint, best array<double>")
-        merged = partial.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("b"))
-        score = F.aggregate(F.slice("b", 1, k), F.lit(0.0), lambda a, d2: a + F.sqrt(d2)) / k
-        ids = spark.createDataFrame(list(enumerate(names)), f"row bigint, {key} {test.schema[key].dataType.simpleString()}")
-        parts.append(merged.join(ids, "row").select(key, score.alias("score")))
-    return union_all(parts)
+    def nearest(tests, trains):
+        z = (matrix(tests.column(1), tests.num_rows) - mu) / sd
+        x = (matrix(trains.column(0), trains.num_rows) - mu) / sd
+        best = np.full((len(z), 0), np.inf)
+        step = max(1, 4_000_000 // len(z))
+        for lo in range(0, len(x), step):
+            part = x[lo:lo + step]
+            d2 = (z ** 2).sum(1)[:, None] + (part ** 2).sum(1)[None, :] - 2.0 * z @ part.T
+            best = np.concatenate([best, np.maximum(d2, 0.0)], axis=1)
+            if best.shape[1] > k:
+                best = np.partition(best, k - 1, axis=1)[:, :k]
+        return {key: tests.column(0).combine_chunks().take(np.repeat(np.arange(len(z)), best.shape[1])), "d2": best.ravel()}
+
+    doubles = F.col(vector).cast("array<double>").alias("v")
+    partial = compare_blocks(test.select(key, doubles), train.select(doubles), nearest,
+                             f"{key} {test.schema[key].dataType.simpleString()}, d2 double", 8 * (len(mu) + k), 8 * len(mu))
+    return best_rows(partial, key, ["d2"], k, "_place").groupBy(key).agg((F.sum(F.sqrt("d2")) / k).alias("score"))
 
 
 def mahalanobis_distance(train: DataFrame, test: DataFrame, key: str, vector: str = "vector", shrinkage: float = 0.1) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import in_blocks, matrix, stream_past, union_all
+from ..functions.blocks import compare_blocks, matrix
 from ..functions.draws import draw_int, normal, uniform
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.ordered import exact_percentiles, global_rank, neighbour, range_chunks, running
@@ -124,33 +124,21 @@ def _shapes(points: DataFrame, k: int) -> DataFrame:
 def nearest_train_distance(query: DataFrame, train: DataFrame, k: int = 16) -> DataFrame:
     """Mean point-wise distance of every query trip to its closest training trip: (traj_id, dist_m).
 
-    Both sides are resampled to ``k`` points; query blocks are broadcast, training streams past and
-    tasks return one minimum per query. Cap the sides beforehand with ``trajectory_cap`` if wanted.
+    Both sides are resampled to ``k`` points; pairs of blocks return one minimum per query. Cap the sides beforehand with
+    ``trajectory_cap`` if wanted.
     """
-    def start(block):
-        return np.full(len(block[0]), np.inf)
-
-    def update(best, block, batch):
-        la, lo = np.radians(matrix(batch.column(0), batch.num_rows)), np.radians(matrix(batch.column(1), batch.num_rows))
-        step = max(1, 4_000_000 // max(block[0].size, 1))
+    def closest(asked, rows):
+        lat, lon = (np.radians(matrix(asked.column(c), asked.num_rows)) for c in ("lat", "lon"))
+        la, lo = (np.radians(matrix(rows.column(c), rows.num_rows)) for c in ("lat", "lon"))
+        best, step = np.full(len(lat), np.inf), max(1, 4_000_000 // max(lat.size, 1))
         for s in range(0, len(la), step):
             a, o = la[s:s + step], lo[s:s + step]
-            h = np.sin((a[None] - block[0][:, None]) / 2) ** 2 + np.cos(a[None]) * np.cos(block[0][:, None]) * np.sin((o[None] - block[1][:, None]) / 2) ** 2
-            d = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1))).mean(-1)
-            np.minimum(best, d.min(1), out=best)
-
-    def finish(best, block):
-        return {"row": np.arange(len(best)), "d": best}
-
-    spark, parts = query.sparkSession, []
-    shapes = cut_lineage(_shapes(train, k).select("lat", "lon"))
-    for table in in_blocks(_shapes(query, k), "traj_id", ["lat", "lon"], 16 * k):
-        names = table.column(0).to_pylist()
-        block = (np.radians(matrix(table.column(1), len(names))), np.radians(matrix(table.column(2), len(names))))
-        d = stream_past(shapes, block, start, update, finish, "row bigint, d double")
-        ids = spark.createDataFrame(list(enumerate(names)), "row bigint, traj_id string")
-        parts.append(d.groupBy("row").agg(F.min("d").alias("dist_m")).join(ids, "row").select("traj_id", "dist_m"))
-    return union_all(parts)
+            h = np.sin((a[None] - lat[:, None]) / 2) ** 2 + np.cos(a[None]) * np.cos(lat[:, None]) * np.sin((o[None] - lon[:, None]) / 2) ** 2
+            np.minimum(best, (2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))).mean(-1).min(1), out=best)
+        return {"traj_id": asked.column("traj_id"), "d": best}
+
+    found = compare_blocks(_shapes(query, k), _shapes(train, k).select("lat", "lon"), closest, "traj_id string, d double", 16 * k, 16 * k)
+    return found.groupBy("traj_id").agg(F.min("d").alias("dist_m"))
 
 
 def copy_metrics(distances: DataFrame, threshold: float) -> DataFrame:

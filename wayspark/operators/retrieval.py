@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import in_blocks, matrix, stream_past, union_all
+from ..functions.blocks import best_rows, compare_blocks, matrix
 from ..functions.draws import draw_int
 from ..functions.geo import to_xy
 from ..session import cut_lineage
@@ -22,67 +23,64 @@ def _doubles(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, F.col(vector).cast("array<double>").alias("v"))
 
 
+def _field(df: DataFrame, key: str) -> str:
+    return f"{key} {df.schema[key].dataType.simpleString()}"
+
+
+def _row_bytes(df: DataFrame, vector: str) -> int:
+    """Bytes of a row with its vector; all vectors have the length of the first."""
+    first = df.select(F.size(vector)).first()
+    return 8 * max(first[0] if first else 1, 1)
+
+
+def _parts(rows: np.ndarray, against: int):
+    """Slices of ``rows`` whose comparison with ``against`` rows stays small."""
+    step = max(1, 4_000_000 // max(against, 1))
+    return (rows[lo:lo + step] for lo in range(0, len(rows), step))
+
+
 def cosine_ranks(queries: DataFrame, database: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """Rank of each query's own database row by cosine similarity, ties against the query.
 
     (key, rank): number of rows at least as similar as the true one, itself included. Similarities
-    are compared after rounding, so that equal vectors tie on every machine. Queries go in broadcast
-    blocks with their true similarity; the database streams past, and tasks return counts.
+    are compared after rounding, so that equal vectors tie on every machine. Keys are unique; pairs of blocks return counts.
     """
     q = _doubles(queries, key, vector).join(_doubles(database, key, vector).withColumnRenamed("v", "own"), key)
 
-    def start(block):
-        return {"n": np.zeros(len(block["true"]), np.int64)}
+    def at_least(asked, rows):
+        a, own = (_unit(matrix(asked.column(c), asked.num_rows)) for c in ("v", "own"))
+        true = np.round((a * own).sum(1), DECIMALS)
+        b, n = _unit(matrix(rows.column("v"), rows.num_rows)), np.zeros(len(a), np.int64)
+        for part in _parts(b, len(a)):
+            n += (np.round(a @ part.T, DECIMALS) >= true[:, None]).sum(1)
+        return {key: asked.column(key), "n": n}
 
-    def update(state, block, batch):
-        sim = np.round(block["q"] @ _unit(matrix(batch.column(0), batch.num_rows)).T, DECIMALS)
-        state["n"] += (sim >= block["true"][:, None]).sum(1)
-
-    def finish(state, block):
-        return {"row": np.arange(len(state["n"])), "n": state["n"]}
-
-    db = _doubles(database, key, vector).select("v")
-    kind = queries.schema[key].dataType.simpleString()
-    spark, parts = queries.sparkSession, []
-    for table in in_blocks(q, key, ["v", "own"], 16 * 64):
-        names = table.column(0).to_pylist()
-        a, b = _unit(matrix(table.column(1), len(names))), _unit(matrix(table.column(2), len(names)))
-        # the same product as for the other rows, on a copy of its shape
-        true = np.round(np.einsum("ij,ij->i", a, b), DECIMALS)
-        n = stream_past(db, {"q": a, "true": true}, start, update, finish, "row bigint, n bigint")
-        ids = spark.createDataFrame(list(enumerate(names)), f"row bigint, {key} {kind}")
-        parts.append(n.groupBy("row").agg(F.sum("n").alias("rank")).join(ids, "row").select(key, "rank"))
-    return union_all(parts)
+    width = _row_bytes(queries, vector)
+    counts = compare_blocks(q, _doubles(database, key, vector).select("v"), at_least, f"{_field(queries, key)}, n bigint", 2 * width, width)
+    return counts.groupBy(key).agg(F.sum("n").alias("rank"))
 
 
 def cosine_top(queries: DataFrame, database: DataFrame, key: str, vector: str = "vector", k: int = 5) -> DataFrame:
-    """The ``k`` most similar database rows of each query: (key, place, match), ties by name."""
-    def start(block):
-        return [[] for _ in range(len(block))]
-
-    def update(state, block, batch):
-        names = batch.column(0).to_pylist()
-        sim = np.round(block @ _unit(matrix(batch.column(1), batch.num_rows)).T, DECIMALS)
-        for i, row in enumerate(sim):
-            edge = np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)]
-            near = state[i] + [(-row[j], names[j]) for j in np.flatnonzero(row >= edge)]
-            state[i] = sorted(near)[:k]
-
-    def finish(state, block):
-        flat = [(i, -s, n) for i, best in enumerate(state) for s, n in best]
-        return {"row": [f[0] for f in flat], "sim": [float(f[1]) for f in flat], "match": [f[2] for f in flat]}
-
-    kind = queries.schema[key].dataType.simpleString()
-    spark, parts, db = queries.sparkSession, [], _doubles(database, key, vector)
-    for table in in_blocks(_doubles(queries, key, vector), key, ["v"], 8 * 64):
-        names = table.column(0).to_pylist()
-        found = stream_past(db, _unit(matrix(table.column(1), len(names))), start, update, finish,
-                            f"row bigint, sim double, match {kind}")
-        ids = spark.createDataFrame(list(enumerate(names)), f"row bigint, {key} {kind}")
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "match"))), 1, k)
-        parts.append(found.groupBy("row").agg(best.alias("b")).join(ids, "row").select(key, F.posexplode("b").alias("place", "b"))
-                     .select(key, F.col("place").cast("bigint"), F.col("b.match").alias("match")))
-    return union_all(parts)
+    """The ``k`` most similar database rows of each query: (key, place, match), ties by name; keys are unique."""
+    def nearest(asked, rows):
+        rows = rows.sort_by(key)                                    # a stable sort by similarity then leaves ties by name
+        a, b = (_unit(matrix(t.column("v"), t.num_rows)) for t in (asked, rows))
+        best, at = np.zeros((len(a), 0)), np.zeros((len(a), 0), np.int64)
+        first = 0
+        for part in _parts(b, len(a)):
+            best = np.concatenate([best, -np.round(a @ part.T, DECIMALS)], axis=1)
+            at = np.concatenate([at, np.broadcast_to(np.arange(first, first + len(part)), (len(a), len(part)))], axis=1)
+            keep = np.argsort(best, axis=1, kind="stable")[:, :k]
+            best, at = np.take_along_axis(best, keep, 1), np.take_along_axis(at, keep, 1)
+            first += len(part)
+        take = lambda t, rows_of: t.column(key).combine_chunks().take(pa.array(rows_of))
+        return {key: take(asked, np.repeat(np.arange(len(a)), at.shape[1])), "down": best.ravel() + 0.0, "match": take(rows, at.ravel())}
+
+    width = _row_bytes(queries, vector)
+    kind = database.schema[key].dataType.simpleString()
+    found = compare_blocks(_doubles(queries, key, vector), _doubles(database, key, vector), nearest,
+                           f"{_field(queries, key)}, down double, match {kind}", width, width)
+    return best_rows(found, key, ["down", "match"], k, "place").select(key, F.col("place").cast("bigint"), "match")
 
 
 def random_ranks(queries: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -103,49 +101,46 @@ def _xy_arrays(points: DataFrame, key: str, lat0: float, lon0: float) -> DataFra
     return points.groupBy(key).agg(pts.alias("p")).select(key, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
-def _hausdorff(ax, ay, bx, by):
-    """Symmetric distance of one point set to each of (n, m) point sets."""
-    d = np.hypot(ax[None, :, None] - bx[:, None, :], ay[None, :, None] - by[:, None, :])
-    return np.maximum(d.min(2).max(1), d.min(1).max(1))
+def _points(table, x: str, y: str) -> np.ndarray:
+    """Windows of equal length as complex numbers, (rows, points)."""
+    return matrix(table.column(x), table.num_rows) + 1j * matrix(table.column(y), table.num_rows)
+
+
+def _reach(windows: np.ndarray) -> np.ndarray:
+    """How far each window reaches west, east, south and north. No reach of two sets differs by more than their Hausdorff distance."""
+    return np.stack([windows.real.min(-1), windows.real.max(-1), windows.imag.min(-1), windows.imag.max(-1)], axis=-1)
+
+
+def _set_distance(one: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The largest way from a point of either set to the nearest point of the other, for each of ``windows``."""
+    gaps = np.abs(windows[:, :, None] - one)
+    to_one, from_one = gaps.min(axis=2), gaps.min(axis=1)
+    return np.concatenate([to_one, from_one], axis=1).max(axis=1)
 
 
 def hausdorff_ranks(queries: DataFrame, database: DataFrame, lat0: float, lon0: float, key: str = "window_id") -> DataFrame:
     """Rank of each query's own database window by symmetric Hausdorff distance, ties against it.
 
-    A window whose bounding box is already farther than the true distance cannot rank before it, so
-    the exact distance is computed for the remaining ones only. Points in long form; the database
-    windows have equal lengths.
+    Sets whose reach to one side differs by more than the true distance are farther apart than it, so the exact distance is
+    computed for the remaining ones only. Points in long form; the database windows have equal lengths, keys are unique.
     """
     q, db = _xy_arrays(queries, key, lat0, lon0), cut_lineage(_xy_arrays(database, key, lat0, lon0))
     own = q.join(db.withColumnsRenamed({"x": "ox", "y": "oy"}), key)
 
-    def start(block):
-        return {"n": np.zeros(len(block["q"]), np.int64)}
-
-    def update(state, block, batch):
-        bx, by = matrix(batch.column(0), batch.num_rows), matrix(batch.column(1), batch.num_rows)
-        lox, hix, loy, hiy = bx.min(1), bx.max(1), by.min(1), by.max(1)
-        for i, (ax, ay) in enumerate(block["q"]):
-            gx = np.maximum(np.maximum(lox[:, None] - ax, ax - hix[:, None]), 0)
-            gy = np.maximum(np.maximum(loy[:, None] - ay, ay - hiy[:, None]), 0)
-            near = np.flatnonzero(np.hypot(gx, gy).max(1) <= block["true"][i] + 1e-6)
-            if len(near):
-                h = np.round(_hausdorff(ax, ay, bx[near], by[near]), 6)
-                state["n"][i] += int((h <= block["true"][i]).sum())
-
-    def finish(state, block):
-        return {"row": np.arange(len(state["n"])), "n": state["n"]}
-
-    kind = queries.schema[key].dataType.simpleString()
-    spark, parts = queries.sparkSession, []
-    for table in in_blocks(own, key, ["x", "y", "ox", "oy"], 32 * 64):
-        names = table.column(0).to_pylist()
-        rows = [tuple(np.asarray(table.column(c)[i].as_py(), float) for c in range(1, 5)) for i in range(len(names))]
-        true = np.array([round(float(_hausdorff(x, y, ox[None], oy[None])[0]), 6) for x, y, ox, oy in rows])
-        n = stream_past(db.select("x", "y"), {"q": [(r[0], r[1]) for r in rows], "true": true}, start, update, finish, "row bigint, n bigint")
-        ids = spark.createDataFrame(list(enumerate(names)), f"row bigint, {key} {kind}")
-        parts.append(n.groupBy("row").agg(F.sum("n").alias("rank")).join(ids, "row").select(key, "rank"))
-    return union_all(parts)
+    def at_least(asked, rows):
+        windows, targets = _points(rows, "x", "y"), _points(asked, "ox", "oy")
+        reach, n = _reach(windows), np.zeros(asked.num_rows, np.int64)
+        for i in range(asked.num_rows):
+            one = np.asarray(asked.column("x")[i].as_py(), float) + 1j * np.asarray(asked.column("y")[i].as_py(), float)
+            true = np.round(_set_distance(one, targets[i:i + 1])[0], 6)
+            near = np.flatnonzero((np.abs(reach - _reach(one)) <= true + 1e-6).all(axis=1))
+            for lo in range(0, len(near), 1024):
+                n[i] += int((np.round(_set_distance(one, windows[near[lo:lo + 1024]]), 6) <= true).sum())
+        return {key: asked.column(key), "n": n}
+
+    width = 16 * 64
+    counts = compare_blocks(own, db.select("x", "y"), at_least, f"{_field(queries, key)}, n bigint", 2 * width, width)
+    return counts.groupBy(key).agg(F.sum("n").alias("rank"))
 
 
 # ------------------------------------------------------------------ conditions
