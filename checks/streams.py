@@ -25,15 +25,23 @@ def query(name, oracle=None):
     return register
 
 
+SLICES, LATE_S = 4, 3000        # fixes arrive up to this late, within the watermark of an hour
+
+
 def _run(d, name, build):
-    """Feeds all fixes, then one far-off closing fix that lets the watermark pass everything."""
+    """Feeds the fixes in slices of their arrival, shuffled within the allowed lateness, then one far-off closing fix that lets the
+    watermark pass everything."""
     base = f"{work_dir(d.spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
     p = d.points().select("user_id", "traj_id", "t", "lat", "lon")
-    p.write.parquet(base + "/in/a")
     stream = lambda: build(S.read_fixes(d.spark, base + "/in/*"))
-    S.run_available(stream(), base + "/out", base + "/state")
+    arrival = F.col("t") + F.pmod(F.xxhash64("traj_id", "t"), F.lit(LATE_S))
+    first, last = p.agg(F.min(arrival), F.max(arrival)).first()
+    width = (last - first) / SLICES + 1
+    for n in range(SLICES):
+        p.filter(F.floor((arrival - first) / width) == n).write.parquet(f"{base}/in/{n}")
+        S.run_available(stream(), base + "/out", base + "/state")
     end = p.limit(1).select(F.lit("_end").alias("user_id"), F.lit("_end").alias("traj_id"), F.lit(4102444800.0).alias("t"), "lat", "lon")
-    end.write.parquet(base + "/in/b")
+    end.write.parquet(base + "/in/end")
     S.run_available(stream(), base + "/out", base + "/state")
     return d.spark.read.parquet(base + "/out")
 

@@ -6,6 +6,7 @@ Fixes later than the watermark are dropped by the engine and show in the progres
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,96 +42,150 @@ def window_counts(fixes: DataFrame, cell, width: str = "1 hour", slide: str | No
     return g.select(F.unix_seconds("w.start").alias("start_s"), "cell", "n")
 
 
-def _in_time_order(rows: Iterator[pd.DataFrame], *ties: str) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["t", *ties], kind="stable")
+class _Ordered(StatefulProcessor):
+    """Holds fixes back until the watermark has passed them, then hands them on in order of time, so that the order of arrival
+    does not matter. A key silent for ``idle_s`` of event time is finished and its state freed; a later fix starts anew.
 
+    Subclasses say what they keep (``KEPT``) and give ``begin``, ``step`` and ``finish``.
+    """
 
-class _KeepFilter(StatefulProcessor):
-    """State: the last kept fix of the trajectory."""
+    KEPT: str
+    FIX = "t double, lat double, lon double, user_id string, traj_id string"
 
-    def __init__(self, min_interval_s: float | None, max_speed_mps: float | None):
-        self.min_interval_s, self.max_speed_mps = min_interval_s, max_speed_mps
+    def __init__(self, idle_s: float):
+        self.idle_s = idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double, lat double, lon double")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.FIX)
+        self.kept = handle.getValueState("kept", self.KEPT)
+        self.last = handle.getValueState("last", "t double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        batch, keep = _in_time_order(rows), []
-        for t, lat, lon in zip(batch["t"], batch["lat"], batch["lon"]):
-            ok = last is None or self._follows(tuple(last), (t, lat, lon))
-            keep.append(ok)
-            if ok:
-                last = (float(t), float(lat), float(lon))
-        if last is not None:
-            self.last.update(tuple(last))
-        yield batch.loc[keep, ["user_id", "traj_id", "t", "lat", "lon"]]
+        earliest = None
+        for part in rows:
+            part = part[["t", "lat", "lon", "user_id", "traj_id"]]
+            self.waiting.appendList([(float(t), float(lat), float(lon), user, traj) for t, lat, lon, user, traj in part.itertuples(index=False, name=None)])
+            first = float(part["t"].min())
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(_millis(earliest))
+        yield self.table([])
 
-    def _follows(self, last, row) -> bool:
-        if self.min_interval_s is not None and row[0] - last[0] < self.min_interval_s:
-            return False
-        return self.max_speed_mps is None or _haversine(last, row) / max(row[0] - last[0], 1.0) <= self.max_speed_mps
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(r) for r in rows if _millis(r[0]) <= passed), key=lambda r: (r[0], r[4], r[1], r[2]))
+        left = [tuple(r) for r in rows if _millis(r[0]) > passed]
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+        last = self.last.get()[0] if self.last.exists() else None
+        work, out = self.begin(tuple(self.kept.get()) if self.kept.exists() else None), []
+        for r in due:
+            if last is not None and r[0] - last > self.idle_s:
+                out.extend(self.finish(work))
+                work = self.begin(None)
+            out.extend(self.step(work, r))
+            last = r[0]
+        over = None if last is None else _millis(last + self.idle_s) + 1
+        if over is not None and over <= passed:
+            out.extend(self.finish(work))
+            self.kept.clear()
+            self.last.clear()
+        elif last is not None:
+            self.kept.update(self.keep(work))
+            self.last.update((last,))
+            self.handle.registerTimer(over)
+        if left:
+            self.handle.registerTimer(min(_millis(r[0]) for r in left))
+        yield self.table(out)
 
     def close(self) -> None:
         pass
 
 
-def keep_filter(fixes: DataFrame, min_interval_s: float | None = None, max_speed_mps: float | None = None) -> DataFrame:
-    """Online minimum-interval and speed filter against the last kept fix."""
+def _millis(t: float) -> int:
+    """The millisecond at which the watermark has passed a fix."""
+    return math.ceil(t * 1000)
+
+
+class _KeepFilter(_Ordered):
+    """Keeps the last kept fix of the trajectory."""
+
+    KEPT = "t double, lat double, lon double"
+
+    def __init__(self, min_interval_s: float | None, max_speed_mps: float | None, idle_s: float):
+        super().__init__(idle_s)
+        self.min_interval_s, self.max_speed_mps = min_interval_s, max_speed_mps
+
+    def begin(self, kept):
+        return {"last": kept}
+
+    def step(self, work, row):
+        if work["last"] is not None and not self._follows(work["last"], row):
+            return []
+        work["last"] = row[:3]
+        return [(row[3], row[4], *row[:3])]
+
+    def keep(self, work):
+        return work["last"]
+
+    def finish(self, work):
+        return []
+
+    def table(self, out) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["user_id", "traj_id", "t", "lat", "lon"])
+
+    def _follows(self, last, row) -> bool:
+        if self.min_interval_s is not None and row[0] - last[0] < self.min_interval_s:
+            return False
+        return self.max_speed_mps is None or _haversine(last, row[:3]) / max(row[0] - last[0], 1.0) <= self.max_speed_mps
+
+
+def keep_filter(fixes: DataFrame, min_interval_s: float | None = None, max_speed_mps: float | None = None,
+                idle_s: float = 7 * 86400.0) -> DataFrame:
+    """Minimum-interval and speed filter against the last kept fix, once the watermark has passed the fix."""
     fixes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return fixes.groupBy("traj_id").transformWithStateInPandas(
-        statefulProcessor=_KeepFilter(min_interval_s, max_speed_mps), outputStructType=FIX_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=_KeepFilter(min_interval_s, max_speed_mps, idle_s), outputStructType=FIX_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
-class _OnlineStays(StatefulProcessor):
-    """State: the open anchor with the fixes that may still be scanned again, or their running sums
-    once the stay is long enough. A timer closes it when the watermark has passed the user by."""
+class _OnlineStays(_Ordered):
+    """Keeps the open anchor with the fixes that may still be scanned again, or their running sums once the stay is long enough."""
 
-    def __init__(self, dist_m: float, time_s: float, idle_s: float):
-        self.dist_m, self.time_s, self.idle_s = dist_m, time_s, idle_s
+    KEPT = ("t array<double>, lat array<double>, lon array<double>, traj array<string>, n bigint, sum_lat double, sum_lon double, "
+            "last_t double, last_lat double, last_lon double, last_traj string, user string")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", "t array<double>, lat array<double>, lon array<double>, traj array<string>, "
-                                          "n bigint, sum_lat double, sum_lon double, last_t double, last_lat double, last_lon double, last_traj string")
+    def __init__(self, dist_m: float, time_s: float, idle_s: float):
+        super().__init__(idle_s)
+        self.dist_m, self.time_s = dist_m, time_s
 
-    def _load(self) -> _StayScan:
+    def begin(self, kept):
         scan = _StayScan(self.dist_m, self.time_s)
-        if self.state.exists():
-            s = self.state.get()
-            scan.open = list(zip(s[0], s[1], s[2], s[3]))
-            scan.n, scan.lat, scan.lon, scan.last = s[4], s[5], s[6], (s[7], s[8], s[9], s[10])
-        return scan
-
-    def _save(self, scan: _StayScan) -> None:
-        t, lat, lon, traj = (list(c) for c in zip(*scan.open))
-        self.state.update((t, lat, lon, traj, scan.n, scan.lat, scan.lon, *scan.last))
+        if kept is not None:
+            scan.open = list(zip(kept[0], kept[1], kept[2], kept[3]))
+            scan.n, scan.lat, scan.lon, scan.last = kept[4], kept[5], kept[6], tuple(kept[7:11])
+        return {"scan": scan, "user": kept[11] if kept is not None else None}
 
-    def _rows(self, user, stays) -> pd.DataFrame:
-        return pd.DataFrame([(user, *s) for s in stays], columns=["user_id", "traj_id", "lat", "lon", "t_arrive", "t_leave"])
+    def step(self, work, row):
+        work["user"] = row[3]
+        return [(row[3], *s) for s in work["scan"].step((row[0], row[1], row[2], row[4]))]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        scan, out = self._load(), []
-        batch = _in_time_order(rows, "traj_id")
-        for r in zip(batch["t"], batch["lat"], batch["lon"], batch["traj_id"]):
-            out.extend(scan.step((float(r[0]), float(r[1]), float(r[2]), r[3])))
-        self._save(scan)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int((scan.last[0] + self.idle_s) * 1000))
-        yield self._rows(key[0], out)
+    def keep(self, work):
+        scan = work["scan"]
+        t, lat, lon, traj = (list(c) for c in zip(*scan.open))
+        return (t, lat, lon, traj, scan.n, scan.lat, scan.lon, *scan.last, work["user"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._load().close()
-        self.state.clear()
-        yield self._rows(key[0], out)
+    def finish(self, work):
+        return [(work["user"], *s) for s in work["scan"].close()]
 
-    def close(self) -> None:
-        pass
+    def table(self, out) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["user_id", "traj_id", "lat", "lon", "t_arrive", "t_leave"])
 
 
 def online_staypoints(fixes: DataFrame, dist_m: float = 200.0, time_s: float = 1200.0, idle_s: float = 7 * 86400.0) -> DataFrame:
-    """Staypoints as they end; a user silent for ``idle_s`` of event time is closed."""
+    """Staypoints as they end, once the watermark has passed them; a user silent for ``idle_s`` of event time is closed."""
     fixes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return fixes.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_OnlineStays(dist_m, time_s, idle_s), outputMode="Append", timeMode="EventTime",
