@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import compare_blocks, matrix
+from ..functions.blocks import compare_blocks, matrix, union_all
 from ..functions.draws import draw_int, normal, uniform
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.ordered import exact_percentiles, global_rank, neighbour, range_chunks, running
