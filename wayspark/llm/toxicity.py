@@ -122,22 +122,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "score double"
     names = docs.columns
-    out = docs.withColumn("_score_text", F.col(text))
+    place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, bias = shared.value
         for batch in batches:
             scores = np.full(batch.num_rows, 0.0)
-            for lo, hi, data, at in T.runs(batch.column(batch.num_columns - 1)):
+            for lo, hi, data, at in T.runs(batch.column(place)):
                 row, slot = features(data, at, bits)
                 hit = np.flatnonzero(dense[slot])
                 pairs = np.unique(row[hit] * (1 << bits) + slot[hit])
                 scores[lo:hi] = bias + np.bincount(pairs >> bits, dense[pairs & ((1 << bits) - 1)], hi - lo)
             scores = 1.0 / (1.0 + np.exp(-np.clip(scores, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return out.mapInArrow(run, f"{fields}, {schema}")
+    return docs.mapInArrow(run, f"{fields}, {schema}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
