@@ -343,7 +343,26 @@ def _network(d):
         w.join(keep, "way", "left_semi").withColumns({"highway": F.lit("residential"), "oneway": F.lit(None).cast("string"), "junction": F.lit(None).cast("string")})))
 
 
-@query("J6_candidate_roads")
+# the network of _network with its pieces, and every road within 60 m of a position by comparing all
+_NET = {
+    **_WAYS,
+    "dn": (["wn"], """SELECT way, seq, node, lat, lon, FALSE AS oneway FROM wn WHERE way IN (SELECT min(way) FROM (SELECT way, arg_min(node, seq) AS a, arg_max(node, seq) AS b
+        FROM wn GROUP BY way) WHERE a <> b GROUP BY a, b)"""),
+    "rp": (["sg"], f"""SELECT seg_id, x0, y0, x1, y1, len, coalesce(sum(len) OVER (PARTITION BY seg_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM (
+        SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM (SELECT g.seg_id, r.seq, {_XY[0].format(lon='r.lon')} AS x0, {_XY[1].format(lat='r.lat')} AS y0,
+            {_XY[0].format(lon='lead(r.lon) OVER w')} AS x1, {_XY[1].format(lat='lead(r.lat) OVER w')} AS y1 FROM sr r JOIN sg g ON g.way = r.way AND g.piece = r.piece
+            WINDOW w AS (PARTITION BY g.seg_id ORDER BY r.seq)) WHERE x1 IS NOT NULL)"""),
+    "cr": (["rp", "fixes"], f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY round(dist, 6), seg_id) AS r FROM (
+        SELECT lat, lon, seg_id, min(dist) AS dist, min(struct_pack(d := dist, o := off + u * len)).o AS off FROM (
+            SELECT *, sqrt(pow(x - x0 - u * (x1 - x0), 2) + pow(y - y0 - u * (y1 - y0), 2)) AS dist FROM (
+                SELECT *, least(greatest(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / greatest((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0), 1e-12::DOUBLE), 0), 1) AS u
+                FROM (SELECT DISTINCT lat, lon, {_XY[0].format(lon='lon')} AS x, {_XY[1].format(lat='lat')} AS y FROM fixes) f
+                JOIN rp ON x BETWEEN least(x0, x1) - 61 AND greatest(x0, x1) + 61 AND y BETWEEN least(y0, y1) - 61 AND greatest(y0, y1) + 61)) WHERE dist <= 60
+        GROUP BY lat, lon, seg_id)) WHERE r <= 8"""),
+}
+
+
+@query("J6_candidate_roads", sql("SELECT f.traj_id, f.t, c.seg_id, round(c.dist, 4) AS dist, round(c.off, 4) AS off FROM fixes f JOIN cr c ON c.lat = f.lat AND c.lon = f.lon", "cr", extra=_NET))
 def j6(d):
     pieces = proximity.road_pieces(_network(d), 55.62, 12.52)
     return rounded(proximity.candidate_roads(d.points(), pieces, 60.0, 8, 55.62, 12.52).select("traj_id", "t", "seg_id", "dist", "off"), dist=4, off=4)
@@ -365,7 +384,8 @@ def _matching(d):
     return d.store.view("matched", lambda: matching.match(d.points(), _network(d), 55.62, 12.52))
 
 
-@query("N5_match_candidates")
+@query("N5_match_candidates", sql("""SELECT f.traj_id, f.t, c.seg_id AS seg, w.forward, round(CASE WHEN w.forward THEN c.off ELSE l.len - c.off END, 4) AS along, round(c.dist, 4) AS dist
+    FROM fixes f JOIN cr c ON c.lat = f.lat AND c.lon = f.lon JOIN (SELECT seg_id, sum(len) AS len FROM rp GROUP BY seg_id) l ON l.seg_id = c.seg_id, (VALUES (TRUE), (FALSE)) w(forward)""", "cr", extra=_NET))
 def n5(d):
     s = matching.match_states(d.points(), _network(d), 55.62, 12.52)
     return rounded(s.select("traj_id", "t", "seg", "forward", "along", "dist"), along=4, dist=4)
@@ -376,7 +396,8 @@ def n6(d):
     return matching.match(d.points(), _network(d), 55.62, 12.52)
 
 
-@query("N7_match_rate")
+@query("N7_match_rate", sql("""SELECT round(avg((c.lat IS NOT NULL)::INT::DOUBLE), 6) AS match_rate, count(*) AS n FROM fixes f
+    LEFT JOIN (SELECT DISTINCT lat, lon FROM cr) c ON c.lat = f.lat AND c.lon = f.lon""", "cr", extra=_NET))
 def n7(d):
     return rounded(matching.match_rate(_matching(d)), match_rate=6)
 

@@ -64,7 +64,8 @@ def road_pieces(segments: DataFrame, lat0: float, lon0: float) -> DataFrame:
 
 def candidate_roads(points: DataFrame, pieces: DataFrame, radius_m: float, k: int, lat0: float, lon0: float, tile_m: float | None = None) -> DataFrame:
     """Nearest piece of every segment within ``radius_m`` of a fix, the ``k`` nearest segments:
-    (traj_id, t, x, y, seg_id, dist, off). Equal positions are searched once.
+    (traj_id, t, x, y, seg_id, dist, off). Equal positions are searched once. Roads that meet in a node are as near as
+    each other up to rounding: distances equal to a micrometre are ties, and the smaller seg_id goes first.
 
     A piece is copied to the tiles that its box, grown by the radius, touches; a fix lies in one tile.
     """
@@ -83,6 +84,6 @@ def candidate_roads(points: DataFrame, pieces: DataFrame, radius_m: float, k: in
     near = j.withColumns({"dist": dist, "off": F.col("off") + F.col("_s") * F.col("len")}).filter(F.col("dist") <= radius_m)
     per = near.groupBy("lat", "lon", "x", "y", "seg_id").agg(F.min(F.struct("dist", "off")).alias("b"))
     best = per.select("lat", "lon", "x", "y", "seg_id", F.col("b.dist").alias("dist"), F.col("b.off").alias("off"))
-    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("dist", "seg_id"))
+    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(F.round("dist", 6), "seg_id"))
     top = best.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
     return points.select("traj_id", "t", "lat", "lon").join(top, ["lat", "lon"]).select("traj_id", "t", "x", "y", "seg_id", "dist", "off")
