@@ -181,6 +181,23 @@ def test_licences(spark, docs, hard, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_many_notices(spark):
+    """Every key phrase that stands is found, however many notices a file holds."""
+    texts = {label: text for label, text, _ in licences.TEMPLATES}
+    sets = [tuple(texts), *([a, b] for a in texts for b in texts if a < b), ("mit", "bsd", "lgpl"), ("isc", "cc-by-nc", "reserved")]
+    rows = [(n, ". ".join(texts[x] for x in own)) for n, own in enumerate(sets)] + [(-1, " ".join(licences.vocabulary()))]
+    rows += [(1000 + n, k) for n, k in enumerate(k for _, _, keys in licences.TEMPLATES for k in keys)]
+
+    def want(text):
+        words = text.replace(".", "").split()
+        holds = lambda p: any(words[i:i + len(p)] == p for i in range(len(words)))
+        return ",".join(sorted({x for x, _, keys in licences.TEMPLATES if any(holds(k.split()) for k in keys)} | licences.brute_force(text)[2]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (frame, frame.filter("doc_id = 0")):
+        got = {r.doc_id: r.labels for r in licences.scan(part).collect()}
+        assert got == {i: want(t) for i, t in rows if i in got} and got[0] == ",".join(sorted(texts))
+
+
 def test_language(spark, docs, hard, empty):
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in out)

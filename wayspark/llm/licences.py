@@ -1,7 +1,8 @@
 """Licence scans with built-in functions only: a positional index of rare licence words.
 
-The index holds, for every word of the licence templates, the templates and the positions where it stands. A file looks up its
-``LOOKED_UP`` licence words of highest inverse document frequency (counted over all files); each place where such a word
+The index holds, for every word of the licence templates, the templates and the positions where it stands. A file looks up the
+rarest word of each mandatory key phrase (``anchors``), so that every key phrase that stands has a posting, and of its other
+licence words the ``LOOKED_UP`` of highest inverse document frequency (counted over all files); each place where such a word
 stands, less the word's position in a template, is the place where that template would begin. Places of different words that
 agree are one hit. A hit counts when one of the template's mandatory key phrases stands just where the template says.
 
@@ -50,6 +51,11 @@ def openers() -> list[str]:
     return sorted({max(p.split(), key=len) for p in phrases})
 
 
+def anchors(frequency: dict[str, int]) -> list[str]:
+    """The rarest word of each mandatory key phrase; where a phrase stands, its word does."""
+    return sorted({min(k.split(), key=lambda w: (frequency.get(w, 0), w)) for _, _, keys in TEMPLATES for k in keys})
+
+
 def lowered(text: str = "text") -> Column:
     # beyond A-Z this changes letters of wider alphabets only, which are word characters before and after
     return F.lower(F.coalesce(F.col(text), F.lit("")))
@@ -78,7 +84,9 @@ def hits(named: DataFrame) -> DataFrame:
     rare_first = sorted(frequency, key=lambda w: (frequency[w], w))
     if not rare_first:
         rare_first = vocabulary()
-    looked = F.slice(F.array_intersect(F.array(*map(F.lit, rare_first)), F.col("words")), 1, LOOKED_UP)
+    always = anchors(frequency)
+    others = F.array(*map(F.lit, [w for w in rare_first if w not in always])).cast("array<string>")
+    looked = F.concat(F.array(*map(F.lit, always)), F.slice(F.array_intersect(others, F.col("words")), 1, LOOKED_UP))
     placed = named.withColumn("looked", looked).select("mark", F.explode(F.filter(F.transform(
         "words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda p: F.array_contains("looked", p["word"]))).alias("p")).select("mark", "p.*")
     starts = (placed.join(F.broadcast(templates_table(spark)), "word").groupBy("mark", "template", (F.col("pos") - F.col("at")).alias("start"))
