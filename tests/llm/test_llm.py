@@ -158,6 +158,36 @@ def test_chat(spark):
     assert rewrites == 1 and text == trims([("u", "a "), ("u", "b"), ("u", "c ")])
 
 
+def test_chat_looks_back():
+    """Templates that look back further than any window give the text of the whole conversation, its spans and its rewrites."""
+    def numbers(turns):
+        return "<s>" + "".join(f"[{n} {r}: {t}]" for n, (r, t) in enumerate(turns))
+
+    def opens(turns):
+        if turns and turns[0][0] != "user":
+            raise ValueError("the user speaks first")
+        return "".join(f"[{r}: {t}]" for r, t in turns)
+
+    def system_last(turns):                              # the first turn is put into the last one
+        return "".join(f"[{t}]" for _, t in turns[:-1]) + "".join(f"[{turns[0][1]} {t}]" for _, t in turns[-1:])
+
+    def late(turns):                                     # shows only where a window has slid already
+        return "".join(f"[{turns[n - 90][1]} {t}]" if n >= 90 else f"[{t}]" for n, (_, t) in enumerate(turns))
+
+    def early(turns):                                    # turn 0 is rewritten once, at turn 80
+        return "".join("[cut]" if n == 0 and len(turns) > 80 else f"[{t}]" for n, (_, t) in enumerate(turns))
+    said = [("system" if n % 3 else "user", f"t{n}") for n in range(110)]
+    for render, times in ((numbers, 0), (opens, 0), (system_last, 109), (late, 0), (early, 1)):
+        text, starts, ends, rewrites = chat.spans(iter(said), render)
+        assert text == render(said) and rewrites == times and len(starts) == len(ends) == 110
+    for render in (numbers, opens, system_last):
+        assert chat.spans(iter(said), render, 16) == chat.spans(iter(said), render)
+        text, starts, ends, _ = chat.spans(iter(said), render)
+        assert render is system_last or all(text[a:b].endswith(f" t{n}]") for n, (a, b) in enumerate(zip(starts, ends)))
+    calls = []
+    assert chat.spans(iter(said), lambda turns: calls.append(len(turns)) or chat.chatml(turns), 16) == chat.spans(iter(said), chat.chatml) and max(calls) == 16
+
+
 def test_tokens(spark, docs, hard, empty):
     model = tokens.load("piece_bpe_32k.model")
     for df in (docs, hard, spark.createDataFrame([(1, "  a  b ▁c▁ "), (2, "<s> </s> <unk>"), (3, "日本語 　 \x00 é\t\n x" + "z" * 500), (4, " "), (5, "\n")], "doc_id long, text string")):

@@ -6,9 +6,11 @@ what it wrote before (it rewrites history) shows as a prefix that is no continua
 flagged and its spans are taken from the first character that changed.
 
 Conversations are dealt out by a hash of their id and sorted inside the partitions, and each task streams its
-rows. A conversation's text is held by one task while it is rendered. To keep long conversations linear the prefixes
-slide: a new turn is rendered behind the last ``memory`` turns, and what all but the new turn give must be how the
-text before it ended; for conversations of at most ``memory`` turns these are all prefixes.
+rows. A conversation's turns and text are held by one task while it is rendered. By default every prefix is rendered from
+turn 0, so that a template may look back as far as it likes; the work grows with the square of a conversation's turns.
+For a template known to look back fewer than ``memory // 2`` turns the prefixes can slide instead: a new turn is rendered
+behind the last ``memory`` turns at most. Each time the window slides, what it gives must be how the text before it ended;
+where it is not, or the template refuses the window, that conversation is rendered again by whole prefixes.
 
 The template marks turns by control strings and escapes those inside texts reversibly: a backslash precedes every
 backslash and every ``<|`` of a text, so no control string occurs unescaped in a text.
@@ -62,19 +64,42 @@ def common(a: str, b: str) -> int:
     return lo
 
 
-def spans(turns: Iterator[Turn], render: Callable[[Sequence[Turn]], str], memory: int = 64) -> tuple[str, list[int], list[int], int]:
+def ends_with(parts: list[str], tail: str) -> bool:
+    """Whether the joined parts end with ``tail``; joins no more of them than it needs."""
+    first, held = len(parts), 0
+    while first and held < len(tail):
+        first -= 1
+        held += len(parts[first])
+    return "".join(parts[first:]).endswith(tail)
+
+
+def slide(parts: list[str], window: Sequence[Turn], render: Callable[[Sequence[Turn]], str]) -> str | None:
+    """The window's rendering if the text so far ends with it; None where the template needs the turns before the window."""
+    try:
+        tail = render(window)
+    except Exception:                                    # whole prefixes raise it again if it is not the window's fault
+        return None
+    return tail if ends_with(parts, tail) else None
+
+
+def spans(turns: Iterator[Turn], render: Callable[[Sequence[Turn]], str], memory: int | None = None) -> tuple[str, list[int], list[int], int]:
     """(text, starts, ends, rewrites) of a conversation from renderings of its prefixes."""
     parts, starts, ends, rewrites, total = [], [], [], 0, 0
-    window: list[Turn] = []
+    said: list[Turn] = []
+    first = 0                                           # the turn where the rendered window begins
     before = render([])
     parts.append(before)
     total = len(before)
+    turns = iter(turns)
     for turn in turns:
-        if len(window) >= memory:                        # slide by half, so that the renderings stay amortised
-            window = window[-(memory // 2):]
-            before = render(window)
-        window.append(turn)
-        now = render(window)
+        if memory is not None and len(said) - first >= memory:    # slide by half, so that the renderings stay amortised
+            first = len(said) - memory // 2
+            tail = slide(parts, said[first:], render)
+            if tail is None:
+                return spans(itertools.chain(said, [turn], turns), render)
+            before = tail
+        said.append(turn)
+        now = render(said[first:])
         same = common(before, now)
         back = len(before) - same
         if back:                                        # history was rewritten: take back what changed
@@ -92,7 +117,7 @@ def spans(turns: Iterator[Turn], render: Callable[[Sequence[Turn]], str], memory
     return "".join(parts), starts, ends, rewrites
 
 
-def format_chats(rows: DataFrame, render: Callable[[Sequence[Turn]], str] = chatml, *, train_roles: Sequence[str] = ("assistant",), memory: int = 64) -> DataFrame:
+def format_chats(rows: DataFrame, render: Callable[[Sequence[Turn]], str] = chatml, *, train_roles: Sequence[str] = ("assistant",), memory: int | None = None) -> DataFrame:
     """(conv_id, formatted, starts, ends, mask, rewrites), one row per conversation; the mask marks turns to learn from."""
     placed = (rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
               .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))
