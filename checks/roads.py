@@ -334,6 +334,15 @@ def n4(d):
     return rounded(roads.bounded_routes(edges, sources), d=3)
 
 
+@query("N4_bounded_routes_all")
+def n4_all(d):
+    """From every node of the edges. No SQL: the recursion keeps every length of every path."""
+    from wayspark.session import cut_lineage
+    edges = cut_lineage(roads.directed_edges(roads.segment_ways(_way_nodes(d))))
+    sources = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("limit_m", F.lit(900.0))
+    return rounded(roads.bounded_routes(edges, sources), d=3)
+
+
 def _network(d):
     """Roads for matching: one way per distinct pair of end nodes, driven in both directions."""
     w = _way_nodes(d)
