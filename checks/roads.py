@@ -276,6 +276,26 @@ def j5b(d):
     return rounded(proximity.coverage_summary(proximity.within_radius(d.fixes(), poi, "event_id", 150.0, 55.62, 12.52)), share_any=6, mean_near=6)
 
 
+# over all stays and all fixes; no SQL: every pair of rows would be compared
+@query("J4_nearest_place_all")
+def j4_all(d):
+    return rounded(G.nearest(d.fixes().select("event_id", "lat", "lon"), d.stays().select("traj_id", "lat", "lon"), "event_id", "traj_id", 55.62, 12.52).select("event_id", "dist_m"), dist_m=4)
+
+
+def _near_all(d):
+    return proximity.within_radius(d.fixes(), d.fixes().select("lat", "lon"), "event_id", 150.0, 55.62, 12.52)
+
+
+@query("J5_features_within_radius_all")
+def j5_all(d):
+    return longs(_near_all(d).select("event_id", "n_near"), "n_near")
+
+
+@query("J5_radius_summary_all")
+def j5b_all(d):
+    return rounded(proximity.coverage_summary(_near_all(d)), share_any=6, mean_near=6)
+
+
 # ------------------------------------------------------------------ N
 _WAYS = {
     "wn0": (["fixes"], """SELECT traj_id AS way, i AS seq, concat(CAST(CAST(floor(lat * 1000) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lon * 1000) AS BIGINT) AS VARCHAR)) AS node, mode, trip FROM fixes"""),
