@@ -270,6 +270,23 @@ def x4(d):
     return rounded(r.filter("model = 'shifted'").select("model", "metric", "skill_ci_low", "skill_ci_high"), skill_ci_low=5, skill_ci_high=5)
 
 
+# all tasks, seeds and metrics with the reference's default of replicates
+def _all_samples(d):
+    return recovery.error_samples(recovery.window_errors(_pred(d), plan.KEYS, d.grid()), plan.KEYS)
+
+
+@query("X2_bootstrap_ci_all")
+def x2_all(d):
+    return longs(rounded(scores.bootstrap_ci(_all_samples(d), ["task", "eval_seed", "model"], 1000, 0), ci_low=4, ci_high=4), "eval_seed")
+
+
+@query("X4_paired_skill_ci_all")
+def x4_all(d):
+    r = scores.emit_records(_all_samples(d), ["task", "eval_seed"], ["linear_interp"], 1000, 0)
+    r = r.filter("baseline is not null").select("task", "eval_seed", "model", "metric", "skill_ci_low", "skill_ci_high")
+    return longs(rounded(r, skill_ci_low=5, skill_ci_high=5), "eval_seed")
+
+
 # ------------------------------------------------------------------ T
 @query("T1_resample_index", sql("""SELECT traj_id, CAST(j AS BIGINT) AS j, round(sum(greatest(1 - abs(j * (n - 1) / 15.0::DOUBLE - p), 0.0::DOUBLE) * lat), 7) AS lat,
      round(sum(greatest(1 - abs(j * (n - 1) / 15.0::DOUBLE - p), 0.0::DOUBLE) * lon), 7) AS lon FROM
