@@ -160,7 +160,7 @@ def s11(d):
 @query("H18_generation_eval")
 def h18(d):
     train = _points(d, "train")
-    n = 60
+    n = d.trips().filter("split = 'test'").count()        # every side has as many trips as the test data
     floor = splits.trajectory_cap(train, n, 0)
     floor_stays = _stays(d, "train").join(floor.select("traj_id").distinct(), "traj_id", "left_semi")
     return plan.generation_eval(_points(d, "test"), _stays(d, "test"), floor, floor_stays, G.uniform_bbox(train, n, 0), G.jitter_copy(train, n, 0), train, d.grid())
@@ -168,10 +168,9 @@ def h18(d):
 
 @query("H19_train_eval")
 def h19(d):
-    from .recovery import _shifted
-    runs = masks.recovery_runs(("random",), (0.5,), (0,))
-    models = lambda w: {"shifted": _noisy(w, runs)}
-    return train_eval.recovery_train_eval(d.windows(), runs, LENGTH, d.grid(), 100, models)
+    # all recovery runs; the train sample is capped at the reference's default of evaluated samples
+    models = lambda w: {"shifted": _noisy(w, RUNS)}
+    return train_eval.recovery_train_eval(d.windows(), RUNS, LENGTH, d.grid(), 2000, models)
 
 
 def _noisy(windows, runs):
