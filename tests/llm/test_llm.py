@@ -1,6 +1,7 @@
 """The training-text operators against brute force, round trips, held-out accuracy and hard cases."""
 import collections
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -250,6 +251,11 @@ def test_toxicity(spark, hard, empty):
     assert kept.columns == hard.columns and kept.count() == hard.count()
 
 
+def test_toxicity_bound():
+    """The fit's sample was once lowered for memory; the documented bound holds."""
+    assert inspect.signature(toxicity.fit).parameters["max_rows"].default == 24_000
+
+
 def test_mixing(spark, docs, hard, empty):
     for frame, block in ((docs, 1024), (docs, 64), (hard, 16)):
         out = mixing.mix(frame, block=block).collect()
