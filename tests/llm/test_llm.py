@@ -51,7 +51,7 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_repeats(spark, docs, hard, empty):

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from . import chat, decontaminate, jaccard, language, licences, mixing, quality, repeats, tokens, toxicity
+from . import chat, decontaminate, divergence, jaccard, language, licences, mixing, quality, repeats, sharding, tokens, toxicity, whitening
 from ._scratch import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -56,6 +56,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_code(spark)
@@ -66,7 +78,7 @@ def _shipped(query):
 
 QUERIES = {q.__name__: _shipped(q) for q in (
     op1_decontaminate, op2_chat_format, op3_toxicity, op4_token_counts, op5_license_scan, op6_language_id, op7_source_mix, op8_quality_rules,
-    op9_ngram_jaccard, op10_substring_dedup)}
+    op9_ngram_jaccard, op10_substring_dedup, op11_source_divergence, op12_whitening, op13_sharding)}
 
 OP2_SQL = """
 WITH rows AS (
@@ -92,4 +104,4 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM tokens t LEFT JOIN gone USING (doc_id)
 """
 
-ORACLES = {"op2_chat_format": OP2_SQL, "op7_source_mix": mixing.SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op7_source_mix": mixing.SQL, "op10_substring_dedup": OP10_SQL, "op11_source_divergence": divergence.SQL}
