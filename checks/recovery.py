@@ -238,50 +238,39 @@ def x6(d):
     return h1(d).select("task", "eval_seed", "model", "metric", "baseline")
 
 
-_POIS = ("CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3"
-         " WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.9999167588507119 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END")
+# weights of every sample in 1,000 replicates: SplitMix64 from a hash of the sample, then the Poisson(1) distribution function
+_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
+        0.9999988747974020, 0.9999998885745217, 0.9999999899522336)
+_64 = "% 18446744073709551616::UHUGEINT"
 _BOOT = {**_MASK,
-    "bs": (["err"], "SELECT window_id, ade_m, rmse_m, acc_100m, model FROM err WHERE task = 'recovery/block@0.5' AND eval_seed = 0"),
-    "bw": (["bs"], f"SELECT bs.*, rep, ({_POIS})::DOUBLE AS w FROM (SELECT bs.*, rep, {sql_uniform(0, 'boot', 'rep', 'window_id')} AS u FROM bs, range(0, 40) r(rep)) bs WHERE w > 0"),
-    "bv": (["bw"], "SELECT model, rep, sum(w * ade_m) / sum(w) AS ade, sqrt(sum(w * rmse_m) / sum(w)) AS rmse, sum(w * acc_100m) / sum(w) AS acc FROM bw GROUP BY ALL"),
-    # the weighted median is the median of the sample with every row repeated w times
-    "bm": (["bw"], "SELECT model, rep, quantile_cont(ade_m, 0.5) AS med FROM (SELECT model, rep, ade_m, unnest(range(0, CAST(w AS BIGINT))) FROM bw) GROUP BY ALL"),
-    "bl": (["bv", "bm"], """SELECT model, rep, 'ade_m' AS metric, ade AS v FROM bv UNION ALL SELECT model, rep, 'rmse_m', rmse FROM bv UNION ALL SELECT model, rep, 'acc_100m', acc FROM bv
-        UNION ALL SELECT model, rep, 'median_ade_m', med FROM bm"""),
+    "bi": (["err"], "SELECT window_id, CAST('0x' || substr(md5(concat_ws('|', '0', 'boot', CAST(window_id AS VARCHAR))), 1, 16) AS UBIGINT)::UHUGEINT AS s FROM (SELECT DISTINCT window_id FROM err)"),
+    "b0": (["bi"], f"SELECT window_id, rep, CAST((s + (rep + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) {_64} AS UBIGINT) AS z FROM bi, range(0, 1000) r(rep)"),
+    "b1": (["b0"], f"SELECT window_id, rep, CAST((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) {_64} AS UBIGINT) AS z FROM b0"),
+    "b2": (["b1"], f"SELECT window_id, rep, CAST((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) {_64} AS UBIGINT) AS z FROM b1"),
+    "b3": (["b2"], "SELECT window_id, rep, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992.0::DOUBLE AS u FROM b2"),
+    "bw": (["b3"], "SELECT * FROM (SELECT window_id, rep, (CASE " + " ".join(f"WHEN u < {c}::DOUBLE THEN {k}" for k, c in enumerate(_CDF)) + " ELSE 11 END) AS w FROM b3) WHERE w > 0"),
+    "bl": (["bw", "err"], """SELECT task, eval_seed, model, rep, metric, v FROM (SELECT task, eval_seed, model, rep, sum(w * ade_m) / sum(w) AS ade_m, sum(w * fde_m) / sum(w) AS fde_m, sqrt(sum(w * rmse_m) / sum(w)) AS rmse_m,
+            sum(w * acc_100m) / sum(w) AS acc_100m, sum(w * acc_500m) / sum(w) AS acc_500m, sum(w * grid_acc) / sum(w) AS grid_acc FROM err JOIN bw USING (window_id) GROUP BY ALL)
+        UNPIVOT (v FOR metric IN (ade_m, fde_m, rmse_m, acc_100m, acc_500m, grid_acc))
+        UNION ALL SELECT task, eval_seed, model, rep, unnest(['median_ade_m', 'p90_ade_m']), unnest(q) FROM (SELECT task, eval_seed, model, rep, quantile_cont(ade_m, [0.5, 0.9]) AS q
+            FROM (SELECT task, eval_seed, model, rep, ade_m, unnest(range(0, w)) FROM err JOIN bw USING (window_id)) GROUP BY task, eval_seed, model, rep)"""),
 }
 
 
-def _boot_samples(d):
-    s = recovery.error_samples(recovery.window_errors(_pred(d), plan.KEYS, d.grid()), plan.KEYS)
-    keep = F.col("metric").isin("ade_m", "rmse_m", "acc_100m", "median_ade_m")
-    return s.filter(keep & (F.col("task") == "recovery/block@0.5") & (F.col("eval_seed") == 0))
-
-
-@query("X2_bootstrap_ci", sql("""SELECT model, metric, round(quantile_cont(v, 0.025), 4) AS ci_low, round(quantile_cont(v, 0.975), 4) AS ci_high FROM bl GROUP BY ALL""", "bl", extra=_BOOT))
-def x2(d):
-    return rounded(scores.bootstrap_ci(_boot_samples(d), ["model"], 40, 0), ci_low=4, ci_high=4)
-
-
-@query("X4_paired_skill_ci", sql("""SELECT model, metric, round(quantile_cont(s, 0.025), 5) AS skill_ci_low, round(quantile_cont(s, 0.975), 5) AS skill_ci_high FROM
-    (SELECT m.model, m.metric, CASE WHEN m.metric = 'acc_100m' THEN CASE WHEN b.v < 1 THEN (m.v - b.v) / (1 - b.v) END WHEN b.v > 0 THEN 1 - m.v / b.v END AS s
-     FROM bl m JOIN bl b ON b.rep = m.rep AND b.metric = m.metric AND b.model = 'baseline:linear_interp' WHERE m.model = 'shifted') GROUP BY ALL""", "bl", extra=_BOOT))
-def x4(d):
-    r = scores.emit_records(_boot_samples(d), ["task", "eval_seed"], ["linear_interp"], 40, 0)
-    return rounded(r.filter("model = 'shifted'").select("model", "metric", "skill_ci_low", "skill_ci_high"), skill_ci_low=5, skill_ci_high=5)
-
-
-# all tasks, seeds and metrics with the reference's default of replicates
 def _all_samples(d):
     return recovery.error_samples(recovery.window_errors(_pred(d), plan.KEYS, d.grid()), plan.KEYS)
 
 
-@query("X2_bootstrap_ci_all")
-def x2_all(d):
+@query("X2_bootstrap_ci", sql("""SELECT task, CAST(eval_seed AS BIGINT) AS eval_seed, model, metric, round(quantile_cont(v, 0.025), 4) AS ci_low, round(quantile_cont(v, 0.975), 4) AS ci_high FROM bl GROUP BY ALL""", "bl", extra=_BOOT))
+def x2(d):
+    """All tasks, seeds and metrics with the reference's default of replicates."""
     return longs(rounded(scores.bootstrap_ci(_all_samples(d), ["task", "eval_seed", "model"], 1000, 0), ci_low=4, ci_high=4), "eval_seed")
 
 
-@query("X4_paired_skill_ci_all")
-def x4_all(d):
+@query("X4_paired_skill_ci", sql("""SELECT task, CAST(eval_seed AS BIGINT) AS eval_seed, model, metric, round(quantile_cont(s, 0.025), 5) AS skill_ci_low, round(quantile_cont(s, 0.975), 5) AS skill_ci_high FROM
+    (SELECT m.task, m.eval_seed, m.model, m.metric, CASE WHEN m.metric IN ('acc_100m', 'acc_500m', 'grid_acc') THEN CASE WHEN b.v < 1 THEN (m.v - b.v) / (1 - b.v) END WHEN b.v > 0 THEN 1 - m.v / b.v END AS s
+     FROM bl m JOIN bl b ON b.task = m.task AND b.eval_seed = m.eval_seed AND b.rep = m.rep AND b.metric = m.metric AND b.model = 'baseline:linear_interp' WHERE m.model NOT LIKE 'baseline:%') GROUP BY ALL""", "bl", extra=_BOOT))
+def x4(d):
     r = scores.emit_records(_all_samples(d), ["task", "eval_seed"], ["linear_interp"], 1000, 0)
     r = r.filter("baseline is not null").select("task", "eval_seed", "model", "metric", "skill_ci_low", "skill_ci_high")
     return longs(rounded(r, skill_ci_low=5, skill_ci_high=5), "eval_seed")

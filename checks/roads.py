@@ -343,22 +343,17 @@ def n3(d):
     return rounded(roads.directed_edges(roads.segment_ways(_way_nodes(d))), w=4)
 
 
-@query("N4_bounded_routes", sql("""SELECT source, node, round(min(d), 3) AS d FROM rt GROUP BY source, node""", "rt", extra={**_WAYS,
-    "rt": (["ed"], """SELECT a AS source, a AS node, 0.0::DOUBLE AS d FROM (SELECT DISTINCT a FROM ed WHERE a LIKE '%5_12%') UNION
-        SELECT r.source, e.b, round(r.d + e.w, 6) FROM rt r JOIN ed e ON e.a = r.node WHERE r.d + e.w <= 900""")}))
-def n4(d):
-    edges = roads.directed_edges(roads.segment_ways(_way_nodes(d)))
-    from wayspark.session import cut_lineage
-    edges = cut_lineage(edges)
-    sources = edges.filter("a like '%5_12%'").select(F.col("a").alias("node"), F.lit(900.0).alias("limit_m")).distinct()
-    return rounded(roads.bounded_routes(edges, sources), d=3)
+# shortest lengths by relaxation in rounds: a table of the best length of each pair, replaced where a step is shorter
+_ROUTES = "rt(source, node, d) USING KEY (source, node)"
 
 
-@query("N4_bounded_routes_all")
-def n4_all(d):
-    """From every node of the edges. No SQL: the recursion keeps every length of every path."""
+@query("N4_bounded_routes", sql("SELECT source, node, round(d, 3) AS d FROM rt", _ROUTES, extra={**_WAYS, _ROUTES: (["ed"], """SELECT DISTINCT n, n, 0.0::DOUBLE FROM (SELECT unnest([a, b]) AS n FROM ed) UNION
+        SELECT r.source, e.b, min(r.d + e.w) FROM rt r JOIN ed e ON e.a = r.node LEFT JOIN recurring.rt k ON k.source = r.source AND k.node = e.b
+        WHERE r.d + e.w <= 900 AND (k.d IS NULL OR r.d + e.w < k.d) GROUP BY r.source, e.b""")}))
+def n4(d):
+    """From every node of the edges."""
     from wayspark.session import cut_lineage
-    edges = cut_lineage(roads.directed_edges(roads.segment_ways(_way_nodes(d))))
+    edges = cut_lineage(roads.located_edges(roads.segment_ways(_way_nodes(d))))
     sources = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("limit_m", F.lit(900.0))
     return rounded(roads.bounded_routes(edges, sources), d=3)
 

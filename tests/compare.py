@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import os
 import pathlib
 import sys
 import time
@@ -70,7 +71,7 @@ if __name__ == "__main__":
     only = [a for a in sys.argv[2:] if not a.startswith("--")]
     extra = {"wayspark.hotGroupRows": "4"} if "--hot" in sys.argv else {}       # every group takes the chunked way
     sf_dir = f"/root/testdata/{sf}"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", **extra})
+    spark = build_session(master=os.environ.get("TEST_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **extra})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = duck(sf_dir), entry.oracle_sql(), 0
     for name, build in entry.queries().items():

@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 
@@ -11,7 +12,7 @@ sys.path.insert(0, str(ROOT / "tests"))
 @pytest.fixture(scope="session")
 def spark():
     from wayspark.session import build_session, ship_code
-    session = build_session("wayspark-tests", "local[8]", **{
+    session = build_session("wayspark-tests", os.environ.get("TEST_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
     ship_code(session)

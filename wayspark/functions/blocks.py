@@ -1,23 +1,12 @@
-"""All-against-all comparisons of a query table with a second table, in pairs of blocks.
-
-Both sides are cut into blocks of bounded bytes and copied to the blocks of the other side, as tables: block numbers are
-columns, Spark shuffles and schedules the pairs, and no row passes the driver. A task holds two blocks at a time and returns
-what is left of them (k best, a minimum or a count per query row); a small aggregate merges these. Nothing is capped: more rows
-mean more pairs of blocks.
-"""
+"""Matrices of list columns, the first rows of keys, unions."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, partitions
-
 BLOCK_BYTES = 32 * 1024 * 1024
-MOST_TASKS = 50_000            # of one shuffle; more pairs of blocks than that share tasks, one after another
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -28,39 +17,6 @@ def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else np.zeros((0, 1))
 
 
-def _stored(df: DataFrame, bytes_per_row: int) -> tuple[DataFrame, int, int]:
-    """The written rows, their number and the number of blocks that holds them."""
-    rows = cut_lineage(df)
-    n = rows.count()
-    return rows, n, max(1, -(-n * bytes_per_row // BLOCK_BYTES))
-
-
-def compare_blocks(queries: DataFrame, others: DataFrame, compare: Callable[[pa.Table, pa.Table], dict], schema: str,
-                   query_bytes: int, other_bytes: int) -> DataFrame:
-    """``compare(block of queries, block of others)`` for every pair of blocks, as one table of partial results.
-
-    ``query_bytes`` and ``other_bytes`` are the sizes of a row. Blocks are dealt by row number of the written tables, so that equal
-    rows spread and a lost task finds the same blocks again. An empty side gives no rows.
-    """
-    q, nq, lefts = _stored(queries, query_bytes)
-    o, no, rights = _stored(others, other_bytes)
-    wanted = partitions(queries.sparkSession)
-    rights = max(rights, min(-(-wanted // lefts), no))          # enough pairs for all cores
-    tasks = max(1, min(lefts * rights, MOST_TASKS))
-    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select("*", deal(lefts).alias("_q")).select("*", every(rights).alias("_o")).repartition(tasks, "_q", "_o")
-    o = o.select("*", deal(rights).alias("_o")).select("*", every(lefts).alias("_q")).repartition(tasks, "_q", "_o")
-    names = queries.columns, others.columns
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = compare(left.select(names[0]), right.select(names[1])) if left.num_rows and right.num_rows else {}
-        return pa.table(found) if found else empty
-
-    empty = queries.sparkSession.createDataFrame([], schema).toArrow()
-    return q.groupBy("_q", "_o").cogroup(o.groupBy("_q", "_o")).applyInArrow(pair, schema)
-
-
 def best_rows(partial: DataFrame, key: str, order: list, k: int, place: str) -> DataFrame:
     """The ``k`` first rows of each key in ``order``, numbered from 0; tasks cut their own rows to ``k`` before the exchange."""
     w = Window.partitionBy(key).orderBy(*order)

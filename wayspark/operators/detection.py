@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import best_rows, compare_blocks, matrix
+from ..functions.blocks import best_rows, matrix
 from ..functions.moments import mean_and_cov
 from ..functions.ordered import range_chunks, running
+from ..functions.pivots import PivotIndex, euclidean
 from ..session import cut_lineage
 from .scores import finite
 
@@ -53,7 +55,8 @@ def knn_distance(train: DataFrame, test: DataFrame, key: str, vector: str = "vec
                  standardise: bool = True) -> DataFrame:
     """Mean Euclidean distance to the ``k`` nearest training vectors, standardised by training: (key, score), keys unique.
 
-    Blocks of test rows meet blocks of training rows; each pair keeps k candidates per test row. Exact for any sizes.
+    The k-th distance within the cells around a test row bounds its true one; only cells that may hold nearer rows are
+    searched after that (``functions/pivots.py``). Exact for any sizes.
     """
     mu, cov, n = mean_and_cov(train, vector)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
@@ -61,8 +64,7 @@ def knn_distance(train: DataFrame, test: DataFrame, key: str, vector: str = "vec
     k = max(1, min(k, n))
 
     def nearest(tests, trains):
-        z = (matrix(tests.column(1), tests.num_rows) - mu) / sd
-        x = (matrix(trains.column(0), trains.num_rows) - mu) / sd
+        z, x = (matrix(t.column("v"), t.num_rows) for t in (tests, trains))
         best = np.full((len(z), 0), np.inf)
         step = max(1, 4_000_000 // len(z))
         for lo in range(0, len(x), step):
@@ -71,12 +73,26 @@ def knn_distance(train: DataFrame, test: DataFrame, key: str, vector: str = "vec
             best = np.concatenate([best, np.maximum(d2, 0.0)], axis=1)
             if best.shape[1] > k:
                 best = np.partition(best, k - 1, axis=1)[:, :k]
-        return {key: tests.column(0).combine_chunks().take(np.repeat(np.arange(len(z)), best.shape[1])), "d2": best.ravel()}
-
-    doubles = F.col(vector).cast("array<double>").alias("v")
-    partial = compare_blocks(test.select(key, doubles), train.select(doubles), nearest,
-                             f"{key} {test.schema[key].dataType.simpleString()}, d2 double", 8 * (len(mu) + k), 8 * len(mu))
-    return best_rows(partial, key, ["d2"], k, "_place").groupBy(key).agg((F.sum(F.sqrt("d2")) / k).alias("score"))
+        return {key: tests.column(key).combine_chunks().take(np.repeat(np.arange(len(z)), best.shape[1])), "d2": best.ravel()}
+
+    def scaled(df, *columns):
+        kinds = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in columns], "v array<double>"])
+
+        def run(batches):
+            for batch in batches:
+                z = (matrix(batch.column(len(columns)), batch.num_rows) - mu) / sd if batch.num_rows else np.zeros((0, len(mu)))
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * len(mu), pa.int32()), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], v], names=[*columns, "v"])
+        return df.select(*columns, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, kinds)
+
+    index = PivotIndex(scaled(train), "v", euclidean, 8 * len(mu))
+    size, schema = 8 * (len(mu) + k), f"{key} {test.schema[key].dataType.simpleString()}, d2 double"
+    home = cut_lineage(index.home(scaled(test, key), k))
+    first = cut_lineage(best_rows(index.compare(home, nearest, schema, size), key, ["d2"], k, "_place").drop("_place"))
+    bound = first.groupBy(key).agg(F.sqrt(F.max("d2")).alias("_bound"))
+    rest = cut_lineage(index.around(home.withColumnRenamed("_cells", "_home").join(bound, key), "_bound", skip="_home").drop("_home", "_bound"))
+    found = first.unionByName(index.compare(rest, nearest, schema, size))
+    return best_rows(found, key, ["d2"], k, "_place").groupBy(key).agg((F.sum(F.sqrt("d2")) / k).alias("score"))
 
 
 def mahalanobis_distance(train: DataFrame, test: DataFrame, key: str, vector: str = "vector", shrinkage: float = 0.1) -> DataFrame:

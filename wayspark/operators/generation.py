@@ -7,10 +7,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import compare_blocks, matrix, union_all
+from ..functions.blocks import matrix, union_all
 from ..functions.draws import draw_int, normal, uniform
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.ordered import exact_percentiles, global_rank, neighbour, range_chunks, running
+from ..functions.pivots import PivotIndex
 from ..session import cut_lineage
 from .features import radius_of_gyration
 from .grid import SquareGrid
@@ -121,24 +122,38 @@ def _shapes(points: DataFrame, k: int) -> DataFrame:
     return r.groupBy("traj_id").agg(pts).select("traj_id", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
+def _mean_way(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean distance of corresponding points; rows hold latitudes, then longitudes, in radians."""
+    k = a.shape[1] // 2
+    out = np.zeros((len(a), len(b)))
+    for j in range(k):
+        h = np.sin((b[None, :, j] - a[:, None, j]) / 2) ** 2 + np.cos(b[None, :, j]) * np.cos(a[:, None, j]) * np.sin((b[None, :, k + j] - a[:, None, k + j]) / 2) ** 2
+        out += 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+    return out / k
+
+
 def nearest_train_distance(query: DataFrame, train: DataFrame, k: int = 16) -> DataFrame:
     """Mean point-wise distance of every query trip to its closest training trip: (traj_id, dist_m).
 
-    Both sides are resampled to ``k`` points; pairs of blocks return one minimum per query. Cap the sides beforehand with
-    ``trajectory_cap`` if wanted.
+    Both sides are resampled to ``k`` points. The mean of distances is itself one, so trips lie in cells of pivot trips, and a query meets only the cells
+    that may hold a closer trip than the cell around it (``functions/pivots.py``). Without training trips there are no rows.
     """
+    radians = lambda df: df.select("traj_id", F.transform(F.concat("lat", "lon"), lambda c: F.radians(c)).alias("v"))
+
     def closest(asked, rows):
-        lat, lon = (np.radians(matrix(asked.column(c), asked.num_rows)) for c in ("lat", "lon"))
-        la, lo = (np.radians(matrix(rows.column(c), rows.num_rows)) for c in ("lat", "lon"))
-        best, step = np.full(len(lat), np.inf), max(1, 4_000_000 // max(lat.size, 1))
-        for s in range(0, len(la), step):
-            a, o = la[s:s + step], lo[s:s + step]
-            h = np.sin((a[None] - lat[:, None]) / 2) ** 2 + np.cos(a[None]) * np.cos(lat[:, None]) * np.sin((o[None] - lon[:, None]) / 2) ** 2
-            np.minimum(best, (2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))).mean(-1).min(1), out=best)
+        a, b = (matrix(t.column("v"), t.num_rows) for t in (asked, rows))
+        best, step = np.full(len(a), np.inf), max(1, 1_000_000 // max(len(a), 1))
+        for s in range(0, len(b), step):
+            np.minimum(best, _mean_way(a, b[s:s + step]).min(1), out=best)
         return {"traj_id": asked.column("traj_id"), "d": best}
 
-    found = compare_blocks(_shapes(query, k), _shapes(train, k).select("lat", "lon"), closest, "traj_id string, d double", 16 * k, 16 * k)
-    return found.groupBy("traj_id").agg(F.min("d").alias("dist_m"))
+    schema, size = "traj_id string, d double", 16 * k
+    index = PivotIndex(radians(_shapes(train, k)).select("v"), "v", _mean_way, size)
+    home = cut_lineage(index.home(radians(_shapes(query, k)), 1))
+    first = cut_lineage(index.compare(home, closest, schema, size))
+    bound = first.groupBy("traj_id").agg(F.min("d").alias("u"))
+    rest = cut_lineage(index.around(home.withColumnRenamed("_cells", "_home").join(bound, "traj_id"), "u", skip="_home").drop("_home", "u"))
+    return first.unionByName(index.compare(rest, closest, schema, size)).groupBy("traj_id").agg(F.min("d").alias("dist_m"))
 
 
 def copy_metrics(distances: DataFrame, threshold: float) -> DataFrame:

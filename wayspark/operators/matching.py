@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geo import to_xy
 from ..functions.ordered import neighbour, running
 from ..functions.scan import group_scan
+from ..functions.tiles import tile_routes
 from ..session import cut_lineage
 from .prep import per_trajectory
 from .proximity import candidate_roads, road_pieces
-from .roads import bounded_routes, directed_edges
 
 
 class _BestPath:
@@ -22,11 +23,11 @@ class _BestPath:
         self.beta_m, self.steps, self.score, self.last = beta_m, [], None, None
 
     def step(self, row):
-        t, gc, seg, forward, along, length, emit, entry, leave, routes = row
-        now = (np.array(seg), np.array(forward), np.array(along, float), np.array(length, float), leave)
+        t, gc, seg, forward, along, length, emit, entry, leave, entries, routes = row
+        now = (np.array(seg), np.array(forward), np.array(along, float), np.array(length, float), np.array(leave))
         emit, back = np.array(emit, float), None
         if self.score is not None:
-            total = self.score[:, None] + self._transitions(now, entry, gc, routes or ())
+            total = self.score[:, None] + self._transitions(now, np.array(entry), gc, entries, routes)
             best = total.max(0)
             if np.isfinite(best).any():
                 back, self.score = total.argmax(0), best + emit
@@ -38,11 +39,13 @@ class _BestPath:
         self.steps.append((t, seg, back))
         return ()
 
-    def _transitions(self, now, entry, gc, routes):
+    def _transitions(self, now, entry, gc, entries, routes):
+        """``routes``: (number of the exit, number of the entry, distance) as parallel lists; states name both by number."""
         seg, forward, along, length, leave = self.last
-        known = {(r["source"], r["node"]): r["d"] for r in routes}
-        gap = np.array([[known.get((a, b), np.inf) for b in entry] for a in leave])
-        route = (length - along)[:, None] + gap + now[2][None, :]
+        gap = np.full((int(leave.max()) + 1, entries), np.inf)
+        if routes:
+            gap[np.array(routes["i"]), np.array(routes["j"])] = routes["d"]
+        route = (length - along)[:, None] + gap[np.ix_(leave, entry)] + now[2][None, :]
         ahead = now[2][None, :] - along[:, None]
         same = (seg[:, None] == now[0][None, :]) & (forward[:, None] == now[1][None, :]) & (ahead >= -1.0)
         return -np.abs(np.where(same, ahead, route) - gc) / self.beta_m
@@ -81,32 +84,53 @@ def _chains(steps: DataFrame, chunk: Column | None) -> DataFrame:
     return running(steps, ["traj_id"], ["t"], {"chain": F.when(F.col("linked"), 0).otherwise(1).cast("bigint")}, chunk)
 
 
-def match_steps(states: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, radius_m: float = 60.0,
+def _road_edges(segments: DataFrame, lat0: float, lon0: float) -> DataFrame:
+    """Travel edges (a, b, w) in planar metres with the places of their ends and the boxes of their pieces; parallel segments stay apart."""
+    pieces = road_pieces(segments, lat0, lon0)
+    one = F.struct(F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
+    whole = pieces.groupBy("seg_id").agg((F.sum("len") + 1e-6).alias("w"), F.collect_list(one).alias("pieces"), F.min_by(F.struct("x0", "y0"), "k").alias("s"),
+                                         F.max_by(F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0")), "k").alias("e"))
+    rows = segments.select("seg_id", "u", "v", "oneway").join(whole, "seg_id")
+    way = lambda r, a, b, s, e: r.select(F.col(a).alias("a"), F.col(b).alias("b"), "w", "pieces", *[F.col(f"{p}.{c}0").alias(f"{n}_{c}") for p, n in ((s, "a"), (e, "b")) for c in "xy"])
+    return way(rows, "u", "v", "s", "e").unionByName(way(rows.filter("not oneway"), "v", "u", "e", "s"))
+
+
+def match_steps(points: DataFrame, states: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, radius_m: float = 60.0,
                 margin_m: float = 1500.0) -> DataFrame:
     """One row per fix with its states, the distance from the previous fix and the routes that can
-    link the two: (traj_id, chain, t, gc, seg[], ..., routes[]).
+    link the two: (traj_id, chain, t, gc, seg[], ..., routes).
 
-    Routes are looked up per *distinct pair of nodes* of a step, not per pair of states. A trip's
-    routes reach 3 x its longest step + 2 x radius + margin; each source node is searched up to the
-    largest limit it needs. Where nothing can link two fixes the trip is cut for certain (``chain``).
+    Routes are looked up per *distinct pair of nodes* of a step, not per pair of states. A trip's routes reach 3 x its longest step + 2 x radius + margin, on
+    segments that touch the trip's box, wider by the margin. Steps that ask the same (node, reach, box) are searched once,
+    tile by tile, until the nodes asked for are found. Where nothing can link two fixes the trip is cut for certain (``chain``).
     """
     one = F.struct("state", "seg", "forward", "along", "seg_len", (-0.5 * (F.col("dist") / sigma_m) ** 2).alias("e"), "entry", "exit")
     s = states.groupBy("traj_id", "t", "x", "y").agg(F.sort_array(F.collect_list(one)).alias("s"))      # 2 k states at most
     ways = F.transform("s", lambda v: F.concat_ws("/", v["seg"].cast("string"), v["forward"].cast("string")))
     s = s.withColumns({"exits": F.array_distinct("s.exit"), "entries": F.array_distinct("s.entry"), "ways": ways})
     near = _after(s).withColumn("gc", F.sqrt((F.col("x") - F.col("p_x")) ** 2 + (F.col("y") - F.col("p_y")) ** 2))
-    near = cut_lineage(near.drop("x", "y", "p_x", "p_y", "exits"))
+    near = cut_lineage(near.drop("x", "y", "p_x", "p_y"))
+    x, y = to_xy(F.col("lat"), F.col("lon"), lat0, lon0)
+    boxes = points.select("traj_id", x.alias("x"), y.alias("y")).groupBy("traj_id").agg(
+        *[(f(c) + d).alias(c + n) for f, d, n in ((F.min, -margin_m, "0"), (F.max, margin_m, "1")) for c in "xy"])
     limits = near.groupBy("traj_id").agg((3.0 * F.coalesce(F.max("gc"), F.lit(0.0)) + 2 * radius_m + margin_m).alias("limit_m"))
-    asked = near.filter("gc is not null").join(limits, "traj_id").select("traj_id", "t", "limit_m", "entries", F.explode("p_exits").alias("source"))
-    sizes = road_pieces(segments, lat0, lon0).groupBy("seg_id").agg(F.sum("len").alias("len"))
-    edges = cut_lineage(directed_edges(segments.join(sizes, "seg_id"), "len"))
-    routes = bounded_routes(edges, asked.select(F.col("source").alias("node"), "limit_m"))
-    pairs = asked.withColumn("node", F.explode("entries")).join(routes, ["source", "node"]).filter(F.col("d") <= F.col("limit_m"))
-    found = pairs.groupBy("traj_id", "t").agg(F.collect_list(F.struct("source", "node", "d")).alias("routes"))
-    linked = F.col("routes").isNotNull() | F.coalesce(F.arrays_overlap("p_ways", "ways"), F.lit(False))
+    job = ["source", "limit_m", "x0", "y0", "x1", "y1"]
+    asked = near.filter("gc is not null").select("traj_id", "t", "entries", "p_exits", F.explode("p_exits").alias("source")).join(limits.join(boxes, "traj_id"), "traj_id")
+    edges = cut_lineage(_road_edges(segments, lat0, lon0))
+    places = edges.select(F.explode(F.array(*[F.struct(F.col(n).alias("source"), F.col(f"{n}_x").alias("s_x"), F.col(f"{n}_y").alias("s_y")) for n in "ab"])).alias("p")) \
+        .select("p.*").groupBy("source").agg(F.first("s_x").alias("s_x"), F.first("s_y").alias("s_y"))
+    searches = asked.select(*job, F.explode("entries").alias("target")).groupBy(*job).agg(F.collect_set("target").alias("targets")).join(places, "source")
+    routes = tile_routes(edges, cut_lineage(searches), ["x", "y"], box=True)
+    pairs = asked.withColumn("node", F.explode("entries")).join(routes, [*job, "node"])
+    place = lambda where, node: (F.array_position(where, F.col(node)) - 1).cast("int")
+    found = pairs.groupBy("traj_id", "t").agg(F.collect_list(F.struct(place("p_exits", "source").alias("i"), place("entries", "node").alias("j"), "d")).alias("r"))
+    linked = F.col("r").isNotNull() | F.coalesce(F.arrays_overlap("p_ways", "ways"), F.lit(False))
     steps = near.join(found, ["traj_id", "t"], "left").withColumn("linked", linked)
     part = lambda n: F.col(f"s.{n}").alias(n)
-    rows = steps.select("traj_id", "t", "gc", "linked", *[part(n) for n in ("seg", "forward", "along", "seg_len", "e", "entry", "exit")], "routes")
+    number = lambda nodes, where: F.transform(nodes, lambda e: (F.array_position(F.col(where), e) - 1).cast("int"))
+    rows = steps.select("traj_id", "t", "gc", "linked", *[part(n) for n in ("seg", "forward", "along", "seg_len", "e")], number(F.col("s.entry"), "entries").alias("entry"),
+                        number(F.col("s.exit"), "exits").alias("exit"), F.size("entries").alias("n_entries"),
+                        F.when(F.col("r").isNotNull(), F.struct(*[F.col(f"r.{c}").alias(c) for c in "ijd"])).alias("routes"))
     return _chains(cut_lineage(rows)).drop("linked")
 
 
@@ -114,9 +138,9 @@ def match(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigm
           k: int = 8, margin_m: float = 1500.0) -> DataFrame:
     """(traj_id, t, seg) for every fix; -1 without a road in reach."""
     states = match_states(points, segments, lat0, lon0, radius_m, k)
-    rows = match_steps(states, segments, lat0, lon0, sigma_m, radius_m, margin_m)
+    rows = match_steps(points, states, segments, lat0, lon0, sigma_m, radius_m, margin_m)
     schema = T.StructType([T.StructField("traj_id", T.StringType()), T.StructField("chain", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("seg", T.LongType())])
-    columns = ["t", "gc", "seg", "forward", "along", "seg_len", "e", "entry", "exit", "routes"]
+    columns = ["t", "gc", "seg", "forward", "along", "seg_len", "e", "entry", "exit", "n_entries", "routes"]
     found = group_scan(rows, ["traj_id", "chain"], ["t"], columns, lambda: _BestPath(beta_m), schema)
     return points.select("traj_id", "t").join(found.drop("chain"), ["traj_id", "t"], "left").withColumn("seg", F.coalesce("seg", F.lit(-1)).cast("bigint"))
 

@@ -6,13 +6,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import best_rows, compare_blocks, matrix
+from ..functions.blocks import best_rows, matrix
 from ..functions.draws import draw_int
 from ..functions.geo import to_xy
+from ..functions.pivots import PivotIndex, angle, largest_difference
 from ..session import cut_lineage
 from .scores import melt
 
 DECIMALS = 9
+ROUNDING = 1e-4         # rad: similarities equal after rounding differ by less
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -43,21 +45,30 @@ def cosine_ranks(queries: DataFrame, database: DataFrame, key: str, vector: str
     """Rank of each query's own database row by cosine similarity, ties against the query.
 
     (key, rank): number of rows at least as similar as the true one, itself included. Similarities
-    are compared after rounding, so that equal vectors tie on every machine. Keys are unique; pairs of blocks return counts.
+    are compared after rounding, so that equal vectors tie on every machine. Keys are unique. Cones around pivots (centre and
+    widest angle) that lie nearer than the true row are counted whole, farther ones skipped, and the rest compared.
     """
-    q = _doubles(queries, key, vector).join(_doubles(database, key, vector).withColumnRenamed("v", "own"), key)
-
-    def at_least(asked, rows):
-        a, own = (_unit(matrix(asked.column(c), asked.num_rows)) for c in ("v", "own"))
-        true = np.round((a * own).sum(1), DECIMALS)
+    width = _row_bytes(database, vector)
+    index = PivotIndex(_doubles(database, key, vector).select("v"), "v", angle, width, slack=ROUNDING)
+    own = _doubles(queries, key, vector).join(_doubles(database, key, vector).withColumnRenamed("v", "own"), key)
+
+    def true_angle(batches):
+        for batch in batches:
+            a, b = (_unit(matrix(batch.column(c), batch.num_rows)) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arccos(np.clip((a * b).sum(1), -1.0, 1.0)))], names=[*batch.schema.names, "u"])
+    asked = own.mapInArrow(true_angle, f"{_field(queries, key)}, v array<double>, own array<double>, u double")
+
+    def at_least(some, rows):
+        a, mine = (_unit(matrix(some.column(c), some.num_rows)) for c in ("v", "own"))
+        true = np.round((a * mine).sum(1), DECIMALS)
         b, n = _unit(matrix(rows.column("v"), rows.num_rows)), np.zeros(len(a), np.int64)
         for part in _parts(b, len(a)):
             n += (np.round(a @ part.T, DECIMALS) >= true[:, None]).sum(1)
-        return {key: asked.column(key), "n": n}
+        return {key: some.column(key), "n": n}
 
-    width = _row_bytes(queries, vector)
-    counts = compare_blocks(q, _doubles(database, key, vector).select("v"), at_least, f"{_field(queries, key)}, n bigint", 2 * width, width)
-    return counts.groupBy(key).agg(F.sum("n").alias("rank"))
+    around = cut_lineage(index.around(asked, "u", whole=True).drop("u"))
+    counts = index.compare(around, at_least, f"{_field(queries, key)}, n bigint", 2 * width)
+    return counts.unionByName(around.select(key, F.col("_sure").alias("n"))).groupBy(key).agg(F.sum("n").alias("rank"))
 
 
 def cosine_top(queries: DataFrame, database: DataFrame, key: str, vector: str = "vector", k: int = 5) -> DataFrame:
@@ -76,11 +87,16 @@ def cosine_top(queries: DataFrame, database: DataFrame, key: str, vector: str =
         take = lambda t, rows_of: t.column(key).combine_chunks().take(pa.array(rows_of))
         return {key: take(asked, np.repeat(np.arange(len(a)), at.shape[1])), "down": best.ravel() + 0.0, "match": take(rows, at.ravel())}
 
-    width = _row_bytes(queries, vector)
-    kind = database.schema[key].dataType.simpleString()
-    found = compare_blocks(_doubles(queries, key, vector), _doubles(database, key, vector), nearest,
-                           f"{_field(queries, key)}, down double, match {kind}", width, width)
-    return best_rows(found, key, ["down", "match"], k, "place").select(key, F.col("place").cast("bigint"), "match")
+    width = _row_bytes(database, vector)
+    index = PivotIndex(_doubles(database, key, vector), "v", angle, width, slack=ROUNDING)
+    schema = f"{_field(queries, key)}, down double, match {database.schema[key].dataType.simpleString()}"
+    best = lambda rows: best_rows(rows, key, ["down", "match"], k, "place")
+    home = cut_lineage(index.home(_doubles(queries, key, vector), k))
+    first = cut_lineage(best(index.compare(home, nearest, schema, width)).drop("place"))
+    bound = first.groupBy(key).agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.max("down")))).alias("u"))
+    rest = cut_lineage(index.around(home.withColumnRenamed("_cells", "_home").join(bound, key), "u", skip="_home").drop("_home", "u"))
+    found = best(first.unionByName(index.compare(rest, nearest, schema, width)))
+    return found.select(key, F.col("place").cast("bigint"), "match")
 
 
 def random_ranks(queries: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -106,11 +122,6 @@ def _points(table, x: str, y: str) -> np.ndarray:
     return matrix(table.column(x), table.num_rows) + 1j * matrix(table.column(y), table.num_rows)
 
 
-def _reach(windows: np.ndarray) -> np.ndarray:
-    """How far each window reaches west, east, south and north. No reach of two sets differs by more than their Hausdorff distance."""
-    return np.stack([windows.real.min(-1), windows.real.max(-1), windows.imag.min(-1), windows.imag.max(-1)], axis=-1)
-
-
 def _set_distance(one: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """The largest way from a point of either set to the nearest point of the other, for each of ``windows``."""
     gaps = np.abs(windows[:, :, None] - one)
@@ -121,26 +132,36 @@ def _set_distance(one: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def hausdorff_ranks(queries: DataFrame, database: DataFrame, lat0: float, lon0: float, key: str = "window_id") -> DataFrame:
     """Rank of each query's own database window by symmetric Hausdorff distance, ties against it.
 
-    Sets whose reach to one side differs by more than the true distance are farther apart than it, so the exact distance is
-    computed for the remaining ones only. Points in long form; the database windows have equal lengths, keys are unique.
+    Sets whose reach to one side differs by more than the true distance are farther apart than it. So windows are looked up by
+    their four reaches (``functions/pivots.py``), and the exact distance is computed for those within the true distance on all sides
+    only. Points in long form; the database windows have equal lengths, keys are unique.
     """
-    q, db = _xy_arrays(queries, key, lat0, lon0), cut_lineage(_xy_arrays(database, key, lat0, lon0))
-    own = q.join(db.withColumnsRenamed({"x": "ox", "y": "oy"}), key)
-
-    def at_least(asked, rows):
-        windows, targets = _points(rows, "x", "y"), _points(asked, "ox", "oy")
-        reach, n = _reach(windows), np.zeros(asked.num_rows, np.int64)
-        for i in range(asked.num_rows):
-            one = np.asarray(asked.column("x")[i].as_py(), float) + 1j * np.asarray(asked.column("y")[i].as_py(), float)
-            true = np.round(_set_distance(one, targets[i:i + 1])[0], 6)
-            near = np.flatnonzero((np.abs(reach - _reach(one)) <= true + 1e-6).all(axis=1))
+    q, db = _xy_arrays(queries, key, lat0, lon0), _xy_arrays(database, key, lat0, lon0)
+    reach = F.array(F.array_min("x"), F.array_max("x"), F.array_min("y"), F.array_max("y")).alias("reach")
+    width = 2 * _row_bytes(db, "x")
+    index = PivotIndex(db.select("x", "y", reach), "reach", largest_difference, width)
+    own = q.select("*", reach).join(db.withColumnsRenamed({"x": "ox", "y": "oy"}), key)
+
+    def true_distance(batches):
+        for batch in batches:
+            rows = [[np.asarray(v, float) for v in batch.column(c).to_pylist()] for c in ("x", "y", "ox", "oy")]
+            u = [np.round(_set_distance(x + 1j * y, (ox + 1j * oy)[None])[0], 6) for x, y, ox, oy in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u, pa.float64())], names=[*batch.schema.names, "u"])
+    arrays = "x array<double>, y array<double>, reach array<double>"
+    asked = own.select(key, "x", "y", "reach", "ox", "oy").mapInArrow(true_distance, f"{_field(queries, key)}, {arrays}, ox array<double>, oy array<double>, u double").drop("ox", "oy")
+
+    def at_least(some, rows):
+        windows, n = _points(rows, "x", "y"), np.zeros(some.num_rows, np.int64)
+        reaches, mine, true = (matrix(rows.column("reach"), rows.num_rows), matrix(some.column("reach"), some.num_rows), some.column("u").to_numpy())
+        sets = list(zip(*([np.asarray(v, float) for v in some.column(c).to_pylist()] for c in "xy")))
+        for i, (x, y) in enumerate(sets):
+            near = np.flatnonzero((np.abs(reaches - mine[i]) <= true[i] + 1e-6).all(axis=1))
             for lo in range(0, len(near), 1024):
-                n[i] += int((np.round(_set_distance(one, windows[near[lo:lo + 1024]]), 6) <= true).sum())
-        return {key: asked.column(key), "n": n}
+                n[i] += int((np.round(_set_distance(x + 1j * y, windows[near[lo:lo + 1024]]), 6) <= true[i]).sum())
+        return {key: some.column(key), "n": n}
 
-    width = 16 * 64
-    counts = compare_blocks(own, db.select("x", "y"), at_least, f"{_field(queries, key)}, n bigint", 2 * width, width)
-    return counts.groupBy(key).agg(F.sum("n").alias("rank"))
+    around = cut_lineage(index.around(asked, "u"))
+    return index.compare(around, at_least, f"{_field(queries, key)}, n bigint", width).groupBy(key).agg(F.sum("n").alias("rank"))
 
 
 # ------------------------------------------------------------------ conditions

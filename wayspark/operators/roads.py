@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.ordered import global_rank
+from ..functions.tiles import tile_routes
 from ..session import cut_lineage
 
 # Road classes open to cars.
@@ -62,21 +63,24 @@ def directed_edges(segments: DataFrame, length: str = "length_m") -> DataFrame:
     return ahead.unionByName(back).groupBy("a", "b").agg((F.min("w") + 1e-6).alias("w"))
 
 
+def located_edges(segments: DataFrame, length: str = "length_m") -> DataFrame:
+    """``directed_edges`` with the positions of both ends: (a, b, w, a_lat, a_lon, b_lat, b_lon)."""
+    ends = segments.select("u", "v", "oneway", F.col(length).alias("w"), F.element_at("geom", 1).alias("s"), F.element_at("geom", -1).alias("e"))
+    way = lambda rows, a, b, s, e: rows.select(F.col(a).alias("a"), F.col(b).alias("b"), "w", *[F.col(f"{p}.{c}").alias(f"{n}_{c}") for p, n in ((s, "a"), (e, "b")) for c in ("lat", "lon")])
+    both = way(ends, "u", "v", "s", "e").unionByName(way(ends.filter("not oneway"), "v", "u", "e", "s"))
+    return both.groupBy("a", "b").agg((F.min("w") + 1e-6).alias("w"), *[F.first(c).alias(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")])
+
+
 def bounded_routes(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Shortest distances (source, node, d) up to each source's own limit: ``sources`` (node, limit_m).
+    """Shortest distances (source, node, d) up to each source's own limit: ``edges`` as of ``located_edges``, ``sources`` (node, limit_m).
 
-    Relaxation by joins: each round extends only the pairs improved in the last one by one edge and
-    keeps the minimum, until nothing improves. Every round is checkpointed to the shared folder.
+    Tile-local heap searches (``functions/tiles.py``) with tiles of earth-centred coordinates: a chord is never longer than the
+    way along the ground, wherever the network lies. A source without edges reaches itself.
     """
-    start = sources.groupBy("node").agg(F.max("limit_m").alias("limit_m"))
-    best = cut_lineage(start.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"), "limit_m"))
-    front = best
-    while True:                                           # ends: every round shortens a distance, and there are finitely many paths
-        step = front.join(edges, front["node"] == edges["a"]).select("source", F.col("b").alias("node"), (F.col("d") + F.col("w")).alias("d"), "limit_m") \
-            .filter("d <= limit_m").groupBy("source", "node", "limit_m").agg(F.min("d").alias("d"))
-        known = best.select("source", "node", F.col("d").alias("_known"))
-        front = cut_lineage(step.join(known, ["source", "node"], "left").filter("_known is null or d < _known").select("source", "node", "d", "limit_m"))
-        if not front.limit(1).count():
-            break
-        best = cut_lineage(best.unionByName(front).groupBy("source", "node", "limit_m").agg(F.min("d").alias("d")))
-    return best.select("source", "node", "d")
+    chord = lambda p: {f"{p}_x": EARTH_RADIUS_M * F.cos(F.radians(f"{p}_lat")) * F.cos(F.radians(f"{p}_lon")),
+                       f"{p}_y": EARTH_RADIUS_M * F.cos(F.radians(f"{p}_lat")) * F.sin(F.radians(f"{p}_lon")), f"{p}_z": EARTH_RADIUS_M * F.sin(F.radians(f"{p}_lat"))}
+    edges = cut_lineage(edges.withColumns({**chord("a"), **chord("b")}).drop("a_lat", "a_lon", "b_lat", "b_lon"))
+    at = lambda p: F.struct(F.col(p).alias("node"), *[F.col(f"{p}_{c}").alias(f"s_{c}") for c in "xyz"])
+    places = edges.select(F.explode(F.array(at("a"), at("b"))).alias("p")).select("p.*").groupBy("node").agg(*[F.first(f"s_{c}").alias(f"s_{c}") for c in "xyz"])
+    start = sources.groupBy("node").agg(F.max("limit_m").cast("double").alias("limit_m")).join(places, "node", "left").withColumnRenamed("node", "source")
+    return tile_routes(edges, cut_lineage(start), ["x", "y", "z"]).select("source", "node", "d")

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import poisson1
-from ..functions.ordered import exact_percentiles, range_chunks, running
+from ..functions.ordered import exact_percentiles
 from ..functions.registry import metric_rows, with_spec
+from ..functions.resamples import weighted_quantiles, weighted_sums
 from ..session import cut_lineage
 
 _HOW = {r[0]: r[8] for r in metric_rows()}
@@ -65,28 +65,19 @@ def skill_score(value: Column, baseline: Column, kind: Column, floor: Column | N
 def bootstrap_values(samples: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> DataFrame:
     """Metric value on each of ``n_boot`` resamples: (keys, metric, rep, value).
 
-    Poisson bootstrap: a sample's weight in a replicate is a Poisson(1) draw of (seed, rep, sample),
-    so models and baselines share their resamples without any exchange. Weighted sums combine
-    map-side, the replicated rows are never shuffled; a weighted percentile is the value at which
-    the cumulative weight reaches the interpolated rank. Interval ends differ slightly from a
+    Poisson bootstrap: a sample's weights are Poisson(1) draws of (seed, sample, replicate), so models and baselines share
+    their resamples without any exchange. A task draws a sample's weights as one vector and adds vectors (``functions/resamples.py``);
+    samples are never copied by replicate. A replicate that drew no sample of a group has no value. Interval ends differ slightly from a
     multinomial bootstrap.
     """
     rows = samples.filter(finite(F.col("value"))).withColumn("_how", _how(F.col("metric")))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    reps = reps.withColumn("w", poisson1(seed, "boot", F.col("rep"), F.col("sample_id"))).filter("w > 0")
-    groups = [*keys, "metric", "rep"]
-    mean = F.sum(F.col("w") * F.col("value")) / F.sum("w")
-    value = F.when(F.first("_how") == "rmse", F.sqrt(mean)).otherwise(mean)
-    plain = reps.filter("_how in ('mean', 'rmse')").groupBy(*groups).agg(value.alias("value"))
-    ordered = reps.filter("_how in ('median', 'p90')").groupBy(*groups, "_how", "value").agg(F.sum("w").alias("w"))
-    chunks = range_chunks(ordered, [*groups, "value"])
-    sizes = chunks.groupBy(*groups).agg(F.sum("w").alias("_size"))
-    ranked = running(chunks, groups, ["value"], {"_upto": F.col("w")}).join(sizes, groups)
-    h = F.when(F.col("_how") == "median", 0.5).otherwise(0.9) * (F.col("_size") - 1)
-    holds = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("w") < r)
-    lo, hi = F.max(F.when(holds(F.floor(h) + 1), F.col("value"))), F.max(F.when(holds(F.ceil(h) + 1), F.col("value")))
-    picked = ranked.groupBy(*groups).agg((lo + (hi - lo) * F.max(h - F.floor(h))).alias("value"))
-    return plain.unionByName(picked)
+    groups = [*keys, "metric"]
+    sums = weighted_sums(rows.filter("_how in ('mean', 'rmse')"), [*groups, "_how"], n_boot, seed)
+    each = sums.select(*groups, "_how", F.posexplode(F.arrays_zip("w", "wv")).alias("rep", "s")).filter("s.w > 0")
+    mean = F.col("s.wv") / F.col("s.w")
+    plain = each.select(*groups, "rep", F.when(F.col("_how") == "rmse", F.sqrt(mean)).otherwise(mean).alias("value"))
+    ordered = rows.filter("_how in ('median', 'p90')").withColumn("_q", F.when(F.col("_how") == "median", 0.5).otherwise(0.9))
+    return plain.unionByName(weighted_quantiles(ordered, groups, "_q", n_boot, seed))
 
 
 def interval(reps: DataFrame, keys: list[str], value: str, prefix: str, alpha: float = 0.05) -> DataFrame:
