@@ -3,13 +3,14 @@
 A route of length d leads no further than d times the largest ratio of straight to travelled length of an edge. So the searches
 that start in a tile, each up to its own limit, need the edges of the tile and of a halo as wide as the limit, and one task does
 them all with a heap: one exchange of edges and searches, no rounds. Limits are grouped by powers of two, each with tiles
-of its own size, so that a short search does not pay for a long one. Tiles with many searches are split by a hash of the source; each part gets the tile's
-edges. A task holds the network within reach of its tile, and the distances of one search.
+of its own size, so that a short search does not pay for a long one. Tiles with many searches are split by a hash of the source, a crowded source by its searches; each part
+gets the tile's edges. A task holds the network within reach of its tile, and the distances of one search.
 """
 from __future__ import annotations
 
 import heapq
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, partitions
 
-PER_TASK = 512              # searches of one part of a tile
+PER_TASK = 1024             # searches of one part of a tile
 SLACK = 1 + 1e-9            # rounding of coordinates
 
 
@@ -38,8 +39,9 @@ class Network:
             found = self.known[node] = list(zip(self.heads[lo:hi].tolist(), self.weights[lo:hi].tolist(), self.order[lo:hi].tolist()))
         return found
 
-    def search(self, source: int, limit: float, targets: set[int] | None = None, allowed: bytes | None = None) -> dict[int, float]:
-        """Distances of the nodes within ``limit``; with ``targets`` only theirs, ending when all are settled. ``allowed`` marks the edges that may be used."""
+    def search(self, source: int, limit: float, targets: set[int] | None = None, allowed: bytes | None = None, via: dict | None = None) -> dict[int, float]:
+        """Distances of the nodes within ``limit``, ending when all ``targets`` are settled, if there are any. ``allowed`` marks the edges that may be
+        used; ``via`` gets the last node and edge of every way."""
         best, heap, left = {source: 0.0}, [(0.0, source)], None if targets is None else set(targets)
         while heap:
             far, node = heapq.heappop(heap)
@@ -54,7 +56,53 @@ class Network:
                 if to <= limit and to < best.get(head, math.inf) and (allowed is None or allowed[edge]):
                     best[head] = to
                     heapq.heappush(heap, (to, head))
-        return best if targets is None else {t: best[t] for t in targets if t in best}
+                    if via is not None:
+                        via[head] = node, edge
+        return best
+
+
+class Pieces:
+    """Boxes of the parts of every edge."""
+
+    def __init__(self, column: pa.ChunkedArray, n: int):
+        sizes = pc.list_value_length(column).to_numpy() if n else np.zeros(0, int)
+        self.n, self.owner, self.first = n, np.repeat(np.arange(n), sizes), np.append(0, np.cumsum(sizes)).tolist()
+        self.parts = [x.to_numpy() for x in pc.list_flatten(column).combine_chunks().flatten()] if n else [np.zeros(0)] * 4
+        self.rows = list(zip(*(x.tolist() for x in self.parts)))
+
+    def touching(self, box: tuple) -> bytes:
+        x0, y0, x1, y1 = box
+        touched = np.zeros(self.n, bool)
+        touched[self.owner[(self.parts[0] <= x1) & (self.parts[2] >= x0) & (self.parts[1] <= y1) & (self.parts[3] >= y0)]] = True
+        return touched.tobytes()
+
+    def touches(self, edge: int, box: tuple) -> bool:
+        x0, y0, x1, y1 = box
+        return any(a <= x1 and c >= x0 and b <= y1 and d >= y0 for a, b, c, d in self.rows[self.first[edge]:self.first[edge + 1]])
+
+
+def boxed_searches(network: Network, pieces: Pieces, source: int, jobs: list[tuple[float, tuple, set[int]]]) -> list[dict[int, float]]:
+    """Distances of the targets of every (limit, box, targets) of one source. One search without a box serves them all: where its ways keep to the edges
+    that touch a job's box, they are the job's shortest ways too; only the other jobs are searched again."""
+    via: dict[int, tuple[int, int]] = {}
+    free = network.search(source, max(limit for limit, _, _ in jobs), set().union(*(targets for _, _, targets in jobs)), via=via)
+    out, inside = [], {}
+    for limit, box, targets in jobs:
+        near = {t: free[t] for t in targets if free.get(t, math.inf) <= limit}
+        for t in near:
+            while t != source:
+                t, edge = via[t]
+                if (edge, box) not in inside:
+                    inside[edge, box] = pieces.touches(edge, box)
+                if not inside[edge, box]:
+                    break
+            else:
+                continue
+            again = network.search(source, limit, targets, pieces.touching(box))
+            near = {t: again[t] for t in targets if t in again}
+            break
+        out.append(near)
+    return out
 
 
 def _level(limit: str) -> Column:
@@ -62,7 +110,7 @@ def _level(limit: str) -> Column:
 
 
 def tile_routes(edges: DataFrame, searches: DataFrame, dims: list[str], box: bool = False) -> DataFrame:
-    """Distances (columns of ``searches`` but coordinates and targets, node, d) of the routes up to ``limit_m``.
+    """Distances (source, limit_m, node, d) of the routes up to ``limit_m``; with ``box`` one row a search, (source, limit_m, x0, y0, x1, y1, nodes, ds).
 
     ``edges``: (a, b, w, a_<dim>, b_<dim>) and, with ``box``, ``pieces``: the boxes (x0, y0, x1, y1) of the edge's parts. ``searches``: (source, limit_m,
     s_<dim>) and, with ``box``, x0, y0, x1, y1 and ``targets``: only edges with a part that touches the box are used, and only distances of the targets
@@ -77,8 +125,8 @@ def tile_routes(edges: DataFrame, searches: DataFrame, dims: list[str], box: boo
     placed = searches.withColumn("_level", _level("limit_m"))
     levels = [r["_level"] for r in placed.select("_level").distinct().collect()]           # a power of two each: few
     placed = placed.withColumns({f"_{c}": F.coalesce(cell(F.col(f"s_{c}")), F.lit(0)) for c in dims})
-    tiles = placed.groupBy("_level", *tile).agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("_parts"))
-    tiles = cut_lineage(tiles)                                                             # read on both sides
+    crowds = cut_lineage(placed.groupBy("_level", *tile, "source").agg(F.count(F.lit(1)).alias("_n")))
+    tiles = cut_lineage(crowds.groupBy("_level", *tile).agg(F.ceil(F.sum("_n") / PER_TASK).cast("int").alias("_parts")))
     spread = edges.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))) if levels else edges.withColumn("_level", F.lit(0)).limit(0)
     for c in dims:
         spread = spread.withColumn(f"_{c}", F.explode(F.sequence(cell(F.col(f"a_{c}") - halo), cell(F.col(f"a_{c}") + halo))))
@@ -87,10 +135,12 @@ def tile_routes(edges: DataFrame, searches: DataFrame, dims: list[str], box: boo
     key = ["_level", *tile]
     spread = spread.join(tiles, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     keep = ["source", "limit_m"] + (["x0", "y0", "x1", "y1"] if box else [])
-    left = placed.join(tiles, key).withColumn("_part", F.pmod(F.xxhash64(*keep), F.col("_parts")).cast("int"))
+    # searches of one source stay together, unless they are more than a task's
+    salt = F.pmod(F.xxhash64(*keep), F.ceil(F.col("_n") / PER_TASK))
+    left = placed.join(crowds, [*key, "source"]).join(tiles, key).withColumn("_part", F.pmod(F.xxhash64("source") + salt, F.col("_parts")).cast("int"))
     left, right = left.select(*key, "_part", *keep, *(["targets"] if box else [])), spread.select(*key, "_part", "a", "b", "w", *(["pieces"] if box else []))
     kinds = {f.name: f.dataType.simpleString() for f in searches.schema.fields}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"node {kinds['source']}", "d double"])
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ([f"nodes array<{kinds['source']}>", "ds array<double>"] if box else [f"node {kinds['source']}", "d double"]))
 
     def run(jobs: pa.Table, roads: pa.Table) -> pa.Table:
         jobs, roads = jobs.combine_chunks(), roads.combine_chunks()
@@ -103,31 +153,31 @@ def tile_routes(edges: DataFrame, searches: DataFrame, dims: list[str], box: boo
         codes, n, m = names.indices.to_numpy(), roads.num_rows, jobs.num_rows
         network = Network(codes[:n], codes[n:2 * n], roads.column("w").to_numpy(), len(names.dictionary))
         sources, limits = codes[2 * n:2 * n + m].tolist(), jobs.column("limit_m").to_pylist()
-        row, nodes, far = [], [], []
+        done, row, nodes, far = [], [], [], []              # searches in order, how many nodes each found, and these
         if box:
-            sizes = pc.list_value_length(roads.column("pieces")).to_numpy() if n else np.zeros(0, int)
-            parts = [x.to_numpy() for x in pc.list_flatten(roads.column("pieces")).combine_chunks().flatten()] if n else [np.zeros(0)] * 4
-            owner = np.repeat(np.arange(n), sizes)
-            ends = np.append(0, np.cumsum(pc.list_value_length(jobs.column("targets")).to_numpy()))
-            aims = codes[2 * n + m:].tolist()
-            boxes = list(zip(*(jobs.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))))
-            last, allowed = None, b""
-        for j in (sorted(range(m), key=boxes.__getitem__) if box else range(m)):
-            if box:
-                if boxes[j] != last:
-                    x0, y0, x1, y1 = last = boxes[j]
-                    touched = np.zeros(n, bool)
-                    touched[owner[(parts[0] <= x1) & (parts[2] >= x0) & (parts[1] <= y1) & (parts[3] >= y0)]] = True
-                    allowed = touched.tobytes()
-                found = network.search(sources[j], limits[j], set(aims[ends[j]:ends[j + 1]]), allowed)
-            else:
+            pieces, ends = Pieces(roads.column("pieces"), n), np.append(0, np.cumsum(pc.list_value_length(jobs.column("targets")).to_numpy()))
+            aims, boxes = codes[2 * n + m:].tolist(), list(zip(*(jobs.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))))
+            for source, own in groupby(sorted(range(m), key=sources.__getitem__), key=sources.__getitem__):
+                own = list(own)
+                for j, found in zip(own, boxed_searches(network, pieces, source, [(limits[j], boxes[j], set(aims[ends[j]:ends[j + 1]])) for j in own])):
+                    done.append(j)
+                    row.append(len(found))
+                    nodes.extend(found)
+                    far.extend(found.values())
+        else:
+            for j in range(m):
                 found = network.search(sources[j], limits[j])
-            row.append(np.full(len(found), j))
-            nodes.extend(found)
-            far.extend(found.values())
-        at = pa.array(np.concatenate(row) if row else np.zeros(0, int), pa.int64())
-        out = [jobs.column(c).take(at) for c in keep] + [names.dictionary.take(pa.array(nodes, pa.int64())), pa.array(far, pa.float64())]
-        return pa.table(out, names=[*keep, "node", "d"])
+                done.append(j)
+                row.append(len(found))
+                nodes.extend(found)
+                far.extend(found.values())
+        found = [names.dictionary.take(pa.array(nodes, pa.int64())), pa.array(far, pa.float64())]
+        if box:
+            at = pa.array(done, pa.int64())
+            found = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(row)), pa.int32()), x) for x in found]
+        else:
+            at = pa.array(np.repeat(np.array(done, int), row), pa.int64())
+        return pa.table([jobs.column(c).take(at) for c in keep] + found, names=[*keep, *(["nodes", "ds"] if box else ["node", "d"])])
 
     # the number of tasks follows the searches, not the bytes
     tasks = partitions(searches.sparkSession)

@@ -13,7 +13,7 @@ from ..functions.scan import group_scan
 from ..functions.tiles import tile_routes
 from ..session import cut_lineage
 from .prep import per_trajectory
-from .proximity import candidate_roads, road_pieces
+from .proximity import place_roads, road_pieces
 
 
 class _BestPath:
@@ -40,11 +40,12 @@ class _BestPath:
         return ()
 
     def _transitions(self, now, entry, gc, entries, routes):
-        """``routes``: (number of the exit, number of the entry, distance) as parallel lists; states name both by number."""
+        """``routes``: the number of an exit and the distances from there to all entries; states name both by number."""
         seg, forward, along, length, leave = self.last
         gap = np.full((int(leave.max()) + 1, entries), np.inf)
-        if routes:
-            gap[np.array(routes["i"]), np.array(routes["j"])] = routes["d"]
+        for r in routes or ():
+            if r["i"] < len(gap):
+                gap[r["i"]] = [np.inf if d is None else d for d in r["gap"]]
         route = (length - along)[:, None] + gap[np.ix_(leave, entry)] + now[2][None, :]
         ahead = now[2][None, :] - along[:, None]
         same = (seg[:, None] == now[0][None, :]) & (forward[:, None] == now[1][None, :]) & (ahead >= -1.0)
@@ -59,19 +60,26 @@ class _BestPath:
         return reversed(out)
 
 
-def match_states(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, radius_m: float = 60.0, k: int = 8) -> DataFrame:
-    """Candidate states of every fix: (traj_id, t, x, y, seg, forward, along, dist, state). Two-way
+def place_states(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, radius_m: float = 60.0, k: int = 8) -> DataFrame:
+    """Candidate states of every distinct position: (lat, lon, x, y, s), s in the order of distance, segment and direction. Two-way
     segments give one state per direction; ``along`` is the position in travel direction."""
     pieces = cut_lineage(road_pieces(segments, lat0, lon0))
     sizes = pieces.groupBy("seg_id").agg(F.sum("len").alias("seg_len"))
     roads = segments.select("seg_id", "u", "v", "oneway").join(sizes, "seg_id")
-    near = candidate_roads(points, pieces, radius_m, k, lat0, lon0).join(roads, "seg_id")
+    near = place_roads(points, pieces, radius_m, k, lat0, lon0).join(roads, "seg_id")
     ways = F.when(F.col("oneway"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
     s = near.withColumn("forward", F.explode(ways))
     ahead = lambda a, b: F.when(F.col("forward"), F.col(a)).otherwise(F.col(b))
-    order = Window.partitionBy("traj_id", "t").orderBy("dist", "seg_id", F.desc("forward"))
-    return s.select("traj_id", "t", "x", "y", F.col("seg_id").alias("seg"), "forward", F.when(F.col("forward"), F.col("off")).otherwise(F.col("seg_len") - F.col("off")).alias("along"),
-                    "dist", "seg_len", ahead("u", "v").alias("entry"), ahead("v", "u").alias("exit"), (F.row_number().over(order) - 1).alias("state"))
+    one = F.struct("dist", F.col("seg_id").alias("seg"), (~F.col("forward")).alias("back"), "forward", F.when(F.col("forward"), F.col("off")).otherwise(F.col("seg_len") - F.col("off")).alias("along"),
+                   "seg_len", ahead("u", "v").alias("entry"), ahead("v", "u").alias("exit"))
+    return s.groupBy("lat", "lon", "x", "y").agg(F.sort_array(F.collect_list(one)).alias("s"))           # 2 k states at most
+
+
+def match_states(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, radius_m: float = 60.0, k: int = 8) -> DataFrame:
+    """Candidate states of every fix: (traj_id, t, x, y, seg, forward, along, dist, state)."""
+    places = place_states(points, segments, lat0, lon0, radius_m, k)
+    rows = points.select("traj_id", "t", "lat", "lon").join(places, ["lat", "lon"]).select("traj_id", "t", "x", "y", F.posexplode("s").alias("state", "c"))
+    return rows.select("traj_id", "t", "x", "y", *[F.col(f"c.{n}").alias(n) for n in ("seg", "forward", "along", "dist", "seg_len", "entry", "exit")], "state")
 
 
 @per_trajectory
@@ -95,7 +103,7 @@ def _road_edges(segments: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return way(rows, "u", "v", "s", "e").unionByName(way(rows.filter("not oneway"), "v", "u", "e", "s"))
 
 
-def match_steps(points: DataFrame, states: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, radius_m: float = 60.0,
+def match_steps(points: DataFrame, places: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, radius_m: float = 60.0,
                 margin_m: float = 1500.0) -> DataFrame:
     """One row per fix with its states, the distance from the previous fix and the routes that can
     link the two: (traj_id, chain, t, gc, seg[], ..., routes).
@@ -104,10 +112,10 @@ def match_steps(points: DataFrame, states: DataFrame, segments: DataFrame, lat0:
     segments that touch the trip's box, wider by the margin. Steps that ask the same (node, reach, box) are searched once,
     tile by tile, until the nodes asked for are found. Where nothing can link two fixes the trip is cut for certain (``chain``).
     """
-    one = F.struct("state", "seg", "forward", "along", "seg_len", (-0.5 * (F.col("dist") / sigma_m) ** 2).alias("e"), "entry", "exit")
-    s = states.groupBy("traj_id", "t", "x", "y").agg(F.sort_array(F.collect_list(one)).alias("s"))      # 2 k states at most
+    seen = F.transform("s", lambda v: v.withField("e", -0.5 * (v["dist"] / sigma_m) ** 2))
     ways = F.transform("s", lambda v: F.concat_ws("/", v["seg"].cast("string"), v["forward"].cast("string")))
-    s = s.withColumns({"exits": F.array_distinct("s.exit"), "entries": F.array_distinct("s.entry"), "ways": ways})
+    places = places.select("lat", "lon", "x", "y", seen.alias("s"), F.array_distinct("s.exit").alias("exits"), F.array_distinct("s.entry").alias("entries"), ways.alias("ways"))
+    s = cut_lineage(points.select("traj_id", "t", "lat", "lon").join(places, ["lat", "lon"]).drop("lat", "lon"))      # measured, then read
     near = _after(s).withColumn("gc", F.sqrt((F.col("x") - F.col("p_x")) ** 2 + (F.col("y") - F.col("p_y")) ** 2))
     near = cut_lineage(near.drop("x", "y", "p_x", "p_y"))
     x, y = to_xy(F.col("lat"), F.col("lon"), lat0, lon0)
@@ -121,24 +129,26 @@ def match_steps(points: DataFrame, states: DataFrame, segments: DataFrame, lat0:
         .select("p.*").groupBy("source").agg(F.first("s_x").alias("s_x"), F.first("s_y").alias("s_y"))
     searches = asked.select(*job, F.explode("entries").alias("target")).groupBy(*job).agg(F.collect_set("target").alias("targets")).join(places, "source")
     routes = tile_routes(edges, cut_lineage(searches), ["x", "y"], box=True)
-    pairs = asked.withColumn("node", F.explode("entries")).join(routes, [*job, "node"])
-    place = lambda where, node: (F.array_position(where, F.col(node)) - 1).cast("int")
-    found = pairs.groupBy("traj_id", "t").agg(F.collect_list(F.struct(place("p_exits", "source").alias("i"), place("entries", "node").alias("j"), "d")).alias("r"))
+    # a step and source has one row: the distances of its entries in their order, null where there is no route
+    known = F.map_from_arrays("nodes", "ds")
+    gaps = asked.join(routes, job).withColumn("known", known).select("traj_id", "t", (F.array_position("p_exits", F.col("source")) - 1).cast("int").alias("i"),
+                                                                     F.transform("entries", lambda e: F.try_element_at("known", e)).alias("gap"))
+    found = gaps.filter(F.exists("gap", lambda g: g.isNotNull())).groupBy("traj_id", "t").agg(F.collect_list(F.struct("i", "gap")).alias("r"))
     linked = F.col("r").isNotNull() | F.coalesce(F.arrays_overlap("p_ways", "ways"), F.lit(False))
     steps = near.join(found, ["traj_id", "t"], "left").withColumn("linked", linked)
     part = lambda n: F.col(f"s.{n}").alias(n)
     number = lambda nodes, where: F.transform(nodes, lambda e: (F.array_position(F.col(where), e) - 1).cast("int"))
     rows = steps.select("traj_id", "t", "gc", "linked", *[part(n) for n in ("seg", "forward", "along", "seg_len", "e")], number(F.col("s.entry"), "entries").alias("entry"),
                         number(F.col("s.exit"), "exits").alias("exit"), F.size("entries").alias("n_entries"),
-                        F.when(F.col("r").isNotNull(), F.struct(*[F.col(f"r.{c}").alias(c) for c in "ijd"])).alias("routes"))
+                        F.col("r").alias("routes"))
     return _chains(cut_lineage(rows)).drop("linked")
 
 
 def match(points: DataFrame, segments: DataFrame, lat0: float, lon0: float, sigma_m: float = 20.0, beta_m: float = 50.0, radius_m: float = 60.0,
           k: int = 8, margin_m: float = 1500.0) -> DataFrame:
     """(traj_id, t, seg) for every fix; -1 without a road in reach."""
-    states = match_states(points, segments, lat0, lon0, radius_m, k)
-    rows = match_steps(points, states, segments, lat0, lon0, sigma_m, radius_m, margin_m)
+    places = place_states(points, segments, lat0, lon0, radius_m, k)
+    rows = match_steps(points, places, segments, lat0, lon0, sigma_m, radius_m, margin_m)
     schema = T.StructType([T.StructField("traj_id", T.StringType()), T.StructField("chain", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("seg", T.LongType())])
     columns = ["t", "gc", "seg", "forward", "along", "seg_len", "e", "entry", "exit", "n_entries", "routes"]
     found = group_scan(rows, ["traj_id", "chain"], ["t"], columns, lambda: _BestPath(beta_m), schema)

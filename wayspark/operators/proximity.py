@@ -62,14 +62,14 @@ def road_pieces(segments: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return p.select("seg_id", "k", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1", "len", off.alias("off"))
 
 
-def candidate_roads(points: DataFrame, pieces: DataFrame, radius_m: float, k: int, lat0: float, lon0: float, tile_m: float | None = None) -> DataFrame:
-    """Nearest piece of every segment within ``radius_m`` of a fix, the ``k`` nearest segments:
-    (traj_id, t, x, y, seg_id, dist, off). Equal positions are searched once. Roads that meet in a node are as near as
+def place_roads(points: DataFrame, pieces: DataFrame, radius_m: float, k: int, lat0: float, lon0: float, tile_m: float | None = None) -> DataFrame:
+    """Nearest piece of every segment within ``radius_m`` of a position of ``points``, the ``k`` nearest segments:
+    (lat, lon, x, y, seg_id, dist, off). Equal positions are searched once. Roads that meet in a node are as near as
     each other up to rounding: distances equal to a micrometre are ties, and the smaller seg_id goes first.
 
     A piece is copied to the tiles that its box, grown by the radius, touches; a fix lies in one tile.
     """
-    side = tile_m or max(4 * radius_m, 200.0)
+    side = tile_m or max(2 * radius_m, 100.0)
     x, y = to_xy(F.col("lat"), F.col("lon"), lat0, lon0)
     tx, ty = _tiles(x, y, side)
     places = points.select("lat", "lon").distinct().withColumns({"x": x, "y": y, "_tx": tx, "_ty": ty})
@@ -85,5 +85,10 @@ def candidate_roads(points: DataFrame, pieces: DataFrame, radius_m: float, k: in
     per = near.groupBy("lat", "lon", "x", "y", "seg_id").agg(F.min(F.struct("dist", "off")).alias("b"))
     best = per.select("lat", "lon", "x", "y", "seg_id", F.col("b.dist").alias("dist"), F.col("b.off").alias("off"))
     rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(F.round("dist", 6), "seg_id"))
-    top = best.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    return best.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+
+
+def candidate_roads(points: DataFrame, pieces: DataFrame, radius_m: float, k: int, lat0: float, lon0: float, tile_m: float | None = None) -> DataFrame:
+    """``place_roads`` of every fix: (traj_id, t, x, y, seg_id, dist, off)."""
+    top = place_roads(points, pieces, radius_m, k, lat0, lon0, tile_m)
     return points.select("traj_id", "t", "lat", "lon").join(top, ["lat", "lon"]).select("traj_id", "t", "x", "y", "seg_id", "dist", "off")
