@@ -117,6 +117,50 @@ def test_leaks(spark, hard, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(hard, bench.limit(0)).count() == 0
 
 
+def _least_edits(passage, text):
+    """Edits of the closest place of a passage in a text, over whole rows."""
+    import numpy as np
+    p, t = (decontaminate.plain(np.frombuffer(x.encode("utf-32-le"), np.uint32)) for x in (passage, text))
+    row, at = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (t != c)))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
+def test_leaks_of_any_length():
+    """Passages of 1 to 2,000 characters with up to two edits more than their budget: found exactly where the least edits say so."""
+    draw, found = random.Random(1), 0
+    for n in range(260):
+        size = draw.choice([1, 2, 3, 5, 9, 10, 12, 13, 15, 19, 20, 25, 29, 38, 39, 50, 81, 150, 400, 401, 410, 900, 2000])
+        letters = "abcdefgh ij" if n % 5 else "ab"
+        passage = "".join(draw.choice(letters) for _ in range(size))
+        limit, x = decontaminate.budget(size, 0.08), list(passage)
+        for _ in range(draw.randint(0, limit + 2)):
+            k = draw.randrange(len(x) + 1)
+            x[k:k + draw.randint(0, 1)] = draw.choice(["", "x", "y", "a"])
+        noise = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(0, 120)))
+        text = noise() + "".join(x[:int(len(x) * draw.choice([1, 1, 1, 0.95, 0.5]))]) + noise()
+        got, want = list(decontaminate.closest(decontaminate.indexes([(7, passage)], 10, 0.08), text)), _least_edits(passage, text)
+        assert [r[3] for r in got] == ([want] if want <= limit else [])
+        assert all(_least_edits(passage, text[start:end]) == want for _, start, end, _ in got)
+        found += len(got)
+    assert found > 100
+
+
+def test_leaks_need_the_whole_passage(spark):
+    long, short = prose(30, 260)[:1000], prose(31, 20)[:39]
+    spoilt = "".join("x" if k in (9, 19, 29) else c for k, c in enumerate(short))           # no gram of ten is left
+    rows = [(1, "q " + long[300:710] + " q"), (2, "q " + long + " q"), (3, "q " + spoilt + " q"), (4, "see ok here"), (5, long[:900])]
+    bench = spark.createDataFrame([(1, long), (2, short), (3, "ok"), (3, "see ok"), (3, "ok")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (8_000_000, 300, 10):
+        got = sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(docs, bench, block_chars=size).collect())
+        assert got == [(2, 1, 0), (3, 2, 3), (4, 3, 0), (4, 3, 0)]
+        assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench, block_chars=size).collect()) == [1, 5]
+    assert "Exchange" not in decontaminate.drop_leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_align_is_edit_distance():
     import numpy as np
     draw = random.Random(5)
@@ -274,6 +318,44 @@ def test_schedule_is_even(spark):
     assert all(abs(early[n] - s) <= 3 for n, s in ((1, 50), (2, 30), (3, 20)))
 
 
+def test_mix_follows_the_schedule(spark):
+    """Each document's first place and number of slots, from the sequence built point by point; stretches of the output hold the sources in proportion."""
+    draw = random.Random(7)
+    rows = [(i, " ".join("w" for _ in range(draw.randint(0, 9))), draw.choice("aaabbc")) for i in range(900)]
+    out = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16).collect()}
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    words = {s: int(next(r.target for r in out.values() if r.source_size == sizes[s]) + 0.5) for s in "abc"}
+    slots = {s: words[s] // sizes[s] * -(-sizes[s] // 16) + -(-(words[s] % sizes[s]) // 16) for s in "abc"}
+    total, upto, ends = sum(slots.values()), 0, {}
+    for s in "abc":
+        ends[s] = (upto * 2 ** 31 // total, (upto + slots[s]) * 2 ** 31 // total)
+        upto += slots[s]
+    times = {s: [] for s in "abc"}
+    for t in range(total):
+        s = next(s for s in "abc" if ends[s][0] <= t * 1327217885 % 2 ** 31 < ends[s][1])
+        if len(times[s]) < slots[s]:
+            times[s].append(t)
+    for s in "abc":
+        times[s] += [total + k for k in range(len(times[s]), slots[s])]
+        line = sorted((i for i, t, x in rows if x == s and t), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+        start = 0
+        for i in line:
+            size, at = out[i].size, []
+            for k, t in enumerate(times[s]):
+                lo = k % -(-sizes[s] // 16) * 16
+                hi = min(lo + 16, sizes[s], words[s] - k // -(-sizes[s] // 16) * sizes[s])
+                at += [(t, min(hi, start + size) - max(lo, start))] if lo < start + size and hi > start else []
+            assert (out[i].first_slot, out[i].n_slots, out[i].taken) == (min(at)[0] if at else None, len(at), sum(n for _, n in at))
+            start += size
+    source = {i: x for i, _, x in rows}
+    for t in range(0, total - 60, 7):
+        seen = {s: len({r.first_slot for r in out.values() if source[r.doc_id] == s and r.first_slot is not None and t <= r.first_slot < t + 60}) for s in "abc"}
+        for s in "abc":
+            if words[s] <= sizes[s]:                                    # every slot is some document's first
+                assert abs(seen[s] - 60 * slots[s] / total) <= 5
+    assert any(words[s] <= sizes[s] for s in "abc")
+
+
 def test_quality(spark, docs, hard, empty):
     for frame in (docs, hard):
         want = collections.Counter()

@@ -3,20 +3,21 @@
 A passage of m characters that occurs with at most e edits keeps at least m - q + 1 - q*e of its q-grams, all
 on diagonals (document position minus passage position) that differ by at most e. Shared q-grams are counted in
 overlapping bands of diagonals, 2(e+1) wide and e+1 apart, so one band holds them all; bands below the bound are
-passed over and the rest are aligned.
+passed over and the rest are aligned. The budget e is ``rate`` of the whole passage's length, whatever that is. ``q`` is the longest gram;
+a passage for which the bound would be 0 takes the longest gram that keeps it at 1 or more, m / (e + 1). So nothing within
+the budget is lost: short passages have an index of shorter grams of their own, and those without a budget are searched as they are.
 
-The stated query set is the benchmark. It is broadcast in blocks of at most ``BLOCK_CHARS`` characters, so the
-broadcast is bounded whatever its size; documents are read once per block and never shuffled. Long passages are cut
-into overlapping pieces of at most ``piece`` characters, each searched by itself. The budget is ``rate`` of a
-piece's length.
+The stated query set is the benchmark. It is broadcast in blocks of at most ``BLOCK_CHARS`` characters (one passage at
+least), one block at a time: with several, what a block finds is written before the next one is sent. Documents are read once per block and never
+shuffled. Alignment of a passage takes time in proportion to m * e, and memory to e.
 
 Both sides are compared with A-Z lower-cased and ASCII white space as a space. Cases: null or empty texts match
-nothing; passages shorter than ``q`` characters have no q-gram and match nothing; equal passages match each under
-their own id; a null id is kept as it is; a document that holds a passage several times gives its closest place.
+nothing; equal passages match each under their own id; benchmark rows that agree in id and text count once, those that share only an id are
+passages of their own; a null id is kept as it is; a document that holds a passage several times gives its closest place.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._scratch import keep
 
 BLOCK_CHARS = 8_000_000
-Q, RATE, PIECE = 10, 0.08, 400
+Q, RATE = 10, 0.08
 FILTER_BITS = 24
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
 
@@ -53,35 +55,36 @@ def budget(length: int, rate: float) -> int:
     return int(length * rate)
 
 
-def pieces(length: int, piece: int) -> list[tuple[int, int]]:
-    """Overlapping stretches of at most ``piece`` characters that together cover a passage."""
-    if length <= piece:
-        return [(0, length)]
-    starts = [*range(0, length - piece, piece // 2), length - piece]
-    return [(s, s + piece) for s in starts]
+def gram_length(length: int, q: int, rate: float) -> int:
+    """The longest gram of at most ``q`` characters of which a passage within its budget keeps one or more."""
+    return max(1, min(q, length // (budget(length, rate) + 1)))
+
+
+def indexes(items: list[tuple[int, str]], q: int, rate: float) -> list[Index]:
+    """The passages of a block by the length of their grams."""
+    by: dict[int, list] = {}
+    for item, text in items:
+        chars = plain(np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32))
+        if len(chars):
+            by.setdefault(gram_length(len(chars), q, rate), []).append((item, chars))
+    return [Index(own, length, rate) for length, own in sorted(by.items())]
 
 
 class Index:
-    """Q-grams of one block of passages: a bit filter and sorted postings."""
+    """Q-grams of passages: a bit filter and sorted postings."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, piece: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, rate: float):
         self.q, self.ids, self.text, self.budget, self.least = q, [], [], [], []
         keys, owners, places = [], [], []
-        for item, text in items:
-            chars = plain(np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32))
-            for lo, hi in pieces(len(chars), piece):
-                part = chars[lo:hi]
-                found = grams(part, q)
-                if not len(found):
-                    continue
-                edits = budget(len(part), rate)
-                keys.append(found)
-                owners.append(np.full(len(found), len(self.ids), np.int32))
-                places.append(np.arange(len(found), dtype=np.int32))
-                self.ids.append(item)
-                self.text.append(part)
-                self.budget.append(edits)
-                self.least.append(max(1, len(part) - q + 1 - q * edits))
+        for item, chars in items:
+            found, edits = grams(chars, q), budget(len(chars), rate)
+            keys.append(found)
+            owners.append(np.full(len(found), len(self.ids), np.int32))
+            places.append(np.arange(len(found), dtype=np.int32))
+            self.ids.append(item)
+            self.text.append(chars)
+            self.budget.append(edits)
+            self.least.append(len(chars) - q + 1 - q * edits)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
@@ -170,54 +173,71 @@ def matches(index: Index, chars: np.ndarray) -> Iterator[tuple[int, int, int, in
                 yield found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The query set in blocks of about ``limit`` characters, cut by a hash of the row."""
-    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+def list_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> list[Callable[[], list[tuple[int, str]]]]:
+    """The query set in blocks of about ``limit`` characters, cut by a hash of the row; a block is fetched when it is called."""
+    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     parts = max(1, -(-int(size) // limit))
-    for part in range(parts):
+
+    def block(part: int) -> list[tuple[int, str]]:
         own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield [(r[0], r[1]) for r in own.sort("item_id", "text").collect()]
+        return [(r[0], r[1]) for r in own.sort("item_id", "text").collect()]
+    return [lambda part=part: block(part) for part in range(parts)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, piece: int = PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def closest(block: list[Index], text: str | None) -> Iterator[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of every passage of a block that a text holds."""
+    if not text:
+        return
+    chars = plain(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
+    for index in block:
+        best: dict[int, tuple] = {}
+        for p, start, end, edits in matches(index, chars):
+            new = (edits, start, end)
+            if p not in best or new < best[p]:
+                best[p] = new
+        yield from ((index.ids[p], start, end, edits) for p, (edits, start, end) in best.items())
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits): for every document and passage that it holds, the closest place, in characters."""
-    spark, parts = docs.sparkSession, []
-    for items in blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(Index(items, q, rate, piece))
+    spark, out = docs.sparkSession, None
+    blocks_ = list_blocks(benchmark, block_chars)
+    for n, items in enumerate(blocks_):
+        shared = spark.sparkContext.broadcast(indexes(items(), q, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                found = []
                 ids = batch.column(0)
-                for row, text in enumerate(batch.column(1)):
-                    text = text.as_py()
-                    if not text:
-                        continue
-                    chars = plain(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
-                    best: dict[int, tuple] = {}
-                    for p, start, end, edits in matches(index, chars):
-                        item, new = index.ids[p], (edits, start, end)
-                        if item not in best or new < best[item]:
-                            best[item] = new
-                    found += [(ids[row].as_py(), item, s, e, d) for item, (d, s, e) in best.items()]
+                found = [(ids[row].as_py(), *hit) for row, text in enumerate(batch.column(1)) for hit in closest(shared.value, text.as_py())]
                 if found:
                     yield T.batch_of(OUT, *(list(c) for c in zip(*found)))
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
+        if len(blocks_) > 1:
+            part = keep(part, "leaks")
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark passage. Rows are told apart by (doc_id, text), so equal ids do not matter."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no benchmark passage, row by row, in one pass without a shuffle; with several blocks of
+    the benchmark, what is left is written after each."""
     names = docs.columns
     rows = docs.withColumnsRenamed({c: f"_c{n}" for n, c in enumerate(names)})
-    own = [F.col(f"_c{names.index(c)}") for c in ("doc_id", "text")]
-    rows = rows.withColumn("_mark", F.xxhash64(*own))
-    found = leaks(rows.select(F.col("_mark").alias("doc_id"), own[1].alias("text")), benchmark, **options)
-    clean = rows.join(found.select(F.col("doc_id").alias("_mark")).distinct(), "_mark", "left_anti")
-    return clean.select(*(F.col(f"_c{n}").alias(c) for n, c in enumerate(names)))
+    text = names.index("text")
+    blocks_ = list_blocks(benchmark, block_chars)
+    for items in blocks_:
+        shared = docs.sparkSession.sparkContext.broadcast(indexes(items(), q, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [next(closest(shared.value, t.as_py()), None) is None for t in batch.column(text)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if len(blocks_) > 1:
+            rows = keep(rows, "clean")
+            shared.destroy()
+    return rows.withColumnsRenamed({f"_c{n}": c for n, c in enumerate(names)})

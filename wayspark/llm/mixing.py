@@ -4,16 +4,18 @@
    weight until no source is above. That is one water level, found from the sources sorted by size over weight.
 2. Blocks: a source's documents are laid end to end in the order of a hash (the shuffle), and cut every ``block`` words. A
    block may begin inside a document.
-3. Schedule: point t of the golden-ratio sequence falls into one source's part of the cumulative weights, so each stretch
-   of the schedule holds the sources in proportion. A source's slots are ranked in the order of t; slot r takes
+3. Schedule: point t of the golden-ratio sequence, t * K modulo 2^31 with an odd K next to 2^31 / 1.618, falls into one source's part of the cumulative
+   weights, so each stretch of the schedule holds the sources in proportion; whole numbers keep that exact for any t. A source's slots are ranked in the order of t; slot r takes
    block r modulo the number of blocks, and the last slot takes what is left of the target. Slots beyond a source's
    target are passed over; a source that the finite sequence left short gets its last slots at the end.
+4. A document is taken by the slots whose words reach into it: ``first_slot`` is the first place in the schedule that does,
+   ``n_slots`` counts them.
 
 Ranks and offsets are running totals in two steps: totals of hash buckets (or of stretches of the schedule) first,
 and then inside a bucket, so that no source, however large, is sorted by one task. Number of words of a whole text:
 ``[^\\x20\\x09-\\x0D]+``. The rows of the source table (one per source) pass through one window; texts never do.
 
-Cases: a null text has 0 words and takes 0; a source without words has target 0; a null source is a source of its own
+Cases: a null text has 0 words and takes 0, in no slot (``first_slot`` null); a source without words has target 0; a null source is a source of its own
 and comes last; ties of the hash are ordered by the id and by all columns' hash; repeated rows are documents of their own; an
 empty table gives no rows.
 """
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from ._scratch import keep
 
 WEIGHTS = (3, 1, 2)
-GOLDEN = 0.6180339887498949
+# fixed values: the period of the sequence and the odd number next to its golden section
+PERIOD, GOLDEN = 1 << 31, 1_327_217_885
 STRETCH = 1 << 16
 
 
@@ -75,13 +78,14 @@ def schedule(plan: DataFrame, sources: int) -> DataFrame:
     spark = plan.sparkSession
     slots = plan.filter("slots > 0").select("number", "slots")
     total = int(slots.agg(F.sum("slots")).first()[0] or 0)
-    whole = F.lit(float(max(1, total)))
+    share = lambda upto: F.call_function("div", upto.cast("decimal(20,0)") * F.lit(PERIOD).cast("decimal(11,0)"), F.lit(max(1, total)).cast("decimal(20,0)"))
     to = F.sum("slots").over(Window.orderBy("number"))
-    parts = slots.withColumns({"from": (to - F.col("slots")) / whole, "to": to / whole})
+    parts = slots.withColumns({"from": share(to - F.col("slots")), "to": share(to)})
     # a source lies in the cells that its part of the line touches: at most CELLS rows more than sources
-    cells = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("to") * CELLS)))))
-    u = F.col("t") * F.lit(GOLDEN)
-    points = spark.range(total).withColumnRenamed("id", "t").withColumn("u", u - F.floor(u)).withColumn("cell", F.floor(F.col("u") * CELLS))
+    wide = PERIOD // CELLS
+    cell = lambda c: F.floor(c / wide)
+    cells = parts.filter(F.col("to") > F.col("from")).withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to") - 1))))
+    points = spark.range(total).withColumnRenamed("id", "t").withColumn("u", (F.col("t") % PERIOD) * GOLDEN % PERIOD).withColumn("cell", cell(F.col("u")))
     placed = points.join(small(cells, sources), "cell").filter((F.col("u") >= F.col("from")) & (F.col("u") < F.col("to")))
     stretch = placed.select("t", "number", "slots", F.floor(F.col("t") / F.lit(STRETCH)).alias("stretch"), F.lit(1).alias("one"))
     ranked = running(stretch, "number", "stretch", ["t"], "one", "slot").filter("slot < slots").select("number", "slot", "t")
@@ -111,7 +115,8 @@ def takes(plan: DataFrame, sources: int, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, block: int = 1024, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document: the words that the schedule takes of it, repeats counted."""
+    """doc_id, size, source_size, target, taken, first_slot, n_slots of every document: the words that the schedule takes of it, repeats counted,
+    where it first does, and how often."""
     own = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")), "sizes")      # texts are read once
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = keep(planned(sizes, block, **options), "sources")
@@ -120,18 +125,21 @@ def mix(docs: DataFrame, *, block: int = 1024, **options) -> DataFrame:
     of = plan.select(F.col("source").alias("_source"), "source_size", "target", "number")
     rows = (own.join(small(of, sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
             .withColumn("_key", shuffled).withColumn("_bucket", F.substring("_key", 1, 3)))
-    empty = rows.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    empty = rows.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"),
+                                           F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
     placed = running(rows.filter("size > 0"), "number", "_bucket", ["_key", "doc_id", "_tie"], "size", "start")
     first, last = F.floor(F.col("start") / F.lit(block)), F.floor((F.col("start") + F.col("size") - 1) / F.lit(block))
     touched = placed.select("doc_id", "size", "source_size", "target", "number", "start", F.explode(F.sequence(first, last)).alias("block"))
-    rooms = takes(plan, sources, block).groupBy("number", "block").agg(F.sort_array(F.collect_list("room")).alias("rooms"))    # at most ``most`` of them
+    rooms = takes(plan, sources, block).groupBy("number", "block").agg(F.collect_list(F.struct("t", "room")).alias("rooms"))    # at most ``most`` of them
     begin = F.greatest(F.col("start") - F.col("block") * F.lit(block), F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * F.lit(block), F.lit(block))
-    words = F.aggregate(F.coalesce("rooms", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda sum_, room: sum_ + F.greatest(F.lit(0), F.least(end, room) - begin).cast("bigint"))
+    held = F.filter("rooms", lambda r: r["room"] > begin)
+    words = F.aggregate(F.coalesce("held", F.array().cast("array<struct<t:bigint,room:bigint>>")), F.lit(0).cast("bigint"), lambda sum_, r: sum_ + (F.least(end, r["room"]) - begin).cast("bigint"))
     # a document with words is the only one of its source that starts where it does
-    found = (touched.join(rooms, ["number", "block"], "left").withColumn("words", words).groupBy("number", "start")
-             .agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("words").alias("taken")))
-    return found.select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
+    joined = touched.join(rooms, ["number", "block"], "left").withColumn("held", held).withColumns({"words": words, "at": F.array_min("held.t"), "times": F.coalesce(F.size("held"), F.lit(0))})
+    found = joined.groupBy("number", "start").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("words").alias("taken"),
+                                                  F.min("at").alias("first_slot"), F.sum(F.greatest("times", F.lit(0))).cast("long").alias("n_slots"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots").unionByName(empty)
 
 
 SQL = """
@@ -142,10 +150,22 @@ capped AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE
 levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                   / sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
 water AS (SELECT min_by(level, ratio) AS level FROM levels WHERE ratio > level),
-plan AS (SELECT source, source_size, CASE WHEN l.ratio <= l.level OR w.level IS NULL THEN cap ELSE w.level * weight END AS target FROM levels l CROSS JOIN water w),
-placed AS (SELECT d.doc_id, d.size, p.source_size, p.target, CAST(floor(p.target + 0.5) AS BIGINT) AS words,
+plan AS (SELECT source, source_size, number, CASE WHEN l.ratio <= l.level OR w.level IS NULL THEN cap ELSE w.level * weight END AS target FROM levels l CROSS JOIN water w),
+blocks AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words, (source_size + 1023) // 1024 AS blocks FROM plan),
+slotted AS (SELECT *, CASE WHEN source_size > 0 THEN (words // source_size) * blocks + (words % source_size + 1023) // 1024 ELSE 0 END AS slots FROM blocks),
+parts AS (SELECT number, slots, (CAST(sum(slots) OVER (ORDER BY number) - slots AS HUGEINT) * 2147483648) // (SELECT sum(slots) FROM slotted) AS lo, (CAST(sum(slots) OVER (ORDER BY number) AS HUGEINT) * 2147483648) // (SELECT sum(slots) FROM slotted) AS hi
+          FROM slotted WHERE slots > 0),
+points AS (SELECT t, (t % 2147483648) * 1327217885 % 2147483648 AS u FROM range(0, (SELECT CAST(sum(slots) AS BIGINT) FROM slotted)) r(t)),
+ranked AS (SELECT number, slots, t, row_number() OVER (PARTITION BY number ORDER BY t) - 1 AS slot FROM points JOIN parts ON u >= lo AND u < hi),
+given AS (SELECT number, slot, t FROM ranked WHERE slot < slots),
+late AS (SELECT p.number, s.slot, (SELECT CAST(sum(slots) AS BIGINT) FROM slotted) + s.slot AS t FROM parts p, range(0, (SELECT CAST(max(slots) AS BIGINT) FROM parts)) s(slot)
+         WHERE s.slot < p.slots AND s.slot >= (SELECT count(*) FROM given g WHERE g.number = p.number)),
+taking AS (SELECT a.number, a.t, (a.slot % b.blocks) * 1024 AS lo, least((a.slot % b.blocks) * 1024 + 1024, b.source_size, b.words - (a.slot // b.blocks) * b.source_size) AS hi
+           FROM (SELECT * FROM given UNION ALL SELECT * FROM late) a JOIN slotted b USING (number)),
+placed AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.number,
                   CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
            FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(start + size, words) - start) + greatest(0, least(start + size, words - source_size) - start) AS BIGINT) AS taken FROM placed
+SELECT d.doc_id, any_value(d.size) AS size, any_value(d.source_size) AS source_size, any_value(d.target) AS target,
+       CAST(coalesce(sum(least(t.hi, d.start + d.size) - greatest(t.lo, d.start)) FILTER (t.t IS NOT NULL), 0) AS BIGINT) AS taken, min(t.t) AS first_slot, count(t.t) AS n_slots
+FROM placed d LEFT JOIN taking t ON t.number = d.number AND t.lo < d.start + d.size AND t.hi > d.start GROUP BY d.doc_id
 """
