@@ -163,8 +163,10 @@ def audit(docs: DataFrame, *, least_docs: int = 30, top: int = 50) -> DataFrame:
 
     path = F.sort_array(F.collect_list(F.struct("number", "n", "p", "absent")))
     paths = keep(entries.groupBy("lang", "term").agg(path.alias("path")).groupBy("lang", "path").agg(F.count("*").alias("times")), "paths")
-    ordered = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    both = ordered.mapInArrow(tree_sums, "lang string, a int, b int, both long").groupBy("lang", "a", "b").agg(F.sum("both").alias("both"))
+    # sources and counts alone decide the order, so the sample that finds the ranges holds no rates
+    key = F.flatten(F.transform("path", lambda i: F.array(i["number"].cast("long"), i["n"]))).alias("key")
+    ordered = paths.select("lang", key, "path", "times").repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
+    both = ordered.select("lang", "path", "times").mapInArrow(tree_sums, "lang string, a int, b int, both long").groupBy("lang", "a", "b").agg(F.sum("both").alias("both"))
 
     other = groups.select("lang", F.col("number").alias("to"), F.col("source").alias("item"), F.col("absent").alias("level"))
     other = F.broadcast(other) if small is not groups else other
