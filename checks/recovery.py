@@ -292,13 +292,17 @@ _ARR = {"arr": (["segs"], "SELECT traj_id, seg, list(lat ORDER BY t) AS y, count
         WHEN i = 1 THEN CASE WHEN (3*d[1] - d[2])/2 * d[1] <= 0 THEN 0.0::DOUBLE WHEN d[1]*d[2] < 0 AND abs((3*d[1] - d[2])/2) > 3*abs(d[1]) THEN 3*d[1] ELSE (3*d[1] - d[2])/2 END
         WHEN i = n THEN CASE WHEN (3*d[n-1] - d[n-2])/2 * d[n-1] <= 0 THEN 0.0::DOUBLE WHEN d[n-1]*d[n-2] < 0 AND abs((3*d[n-1] - d[n-2])/2) > 3*abs(d[n-1]) THEN 3*d[n-1] ELSE (3*d[n-1] - d[n-2])/2 END
         WHEN d[i-1]*d[i] <= 0 THEN 0.0::DOUBLE ELSE 2*d[i-1]*d[i]/(d[i-1]+d[i]) END) AS m FROM dd"""),
-    "q": (["sl"], "SELECT *, least(CAST(floor(x) AS BIGINT), n - 2) AS i, x - least(floor(x), n - 2) AS u FROM (SELECT sl.*, j, j * (n - 1) / 19.0::DOUBLE AS x FROM sl, range(0, 20) r(j))")}
+    "xy": (["segs", "sl"], "SELECT s.traj_id, s.seg, s.n, s.y AS lat, s.m AS mlat, o.y AS lon, o.m AS mlon FROM sl s JOIN slo o ON o.traj_id = s.traj_id AND o.seg = s.seg"),
+    "q": (["xy"], "SELECT *, least(CAST(floor(x) AS BIGINT), n - 2) AS i, x - least(floor(x), n - 2) AS u FROM (SELECT xy.*, j, j * (n - 1) / 199.0::DOUBLE AS x FROM xy, range(0, 200) r(j))")}
+_ARR.update({f"{n}o": ([f"{d}o" if d != "segs" else d for d in _ARR[n][0]], _ARR[n][1].replace("list(lat ORDER", "list(lon ORDER").replace("FROM arr", "FROM arro").replace("FROM dd", "FROM ddo")) for n in ("arr", "dd", "sl")})
+_ARR["xy"] = (["sl", "slo"], _ARR["xy"][1])
+_HERMITE = "round({0}[i+1]*(1 + 2*u)*pow(1-u, 2) + m{0}[i+1]*u*pow(1-u, 2) + {0}[i+2]*u*u*(3 - 2*u) - m{0}[i+2]*u*u*(1-u), 7) AS {0}"
 
 
-@query("T2_resample_pchip", sql("""SELECT traj_id, CAST(j AS BIGINT) AS j, round(y[i+1]*(1 + 2*u)*pow(1-u, 2) + m[i+1]*u*pow(1-u, 2) + y[i+2]*u*u*(3 - 2*u) - m[i+2]*u*u*(1-u), 7) AS lat FROM q""", "q", extra=_ARR))
+@query("T2_resample_pchip", sql(f"""SELECT traj_id, CAST(j AS BIGINT) AS j, {_HERMITE.format("lat")}, {_HERMITE.format("lon")} FROM q""", "q", extra=_ARR))
 def t2(d):
-    t = resample.resample_curve(views.trajectories(d.points(), 300.0, 3), 20)
-    return t.select("traj_id", F.posexplode("curve.lat").alias("j", "lat")).select("traj_id", F.col("j").cast("bigint"), F.round("lat", 7).alias("lat"))
+    t = resample.resample_curve(views.trajectories(d.points(), 300.0, 3), 200)
+    return rounded(t.select("traj_id", F.posexplode("curve").alias("j", "c")).select("traj_id", F.col("j").cast("bigint"), "c.lat", "c.lon"), lat=7, lon=7)
 
 
 def _user_trips(d):

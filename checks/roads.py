@@ -258,44 +258,43 @@ _XY = "(({lon}) - 12.52::DOUBLE) * 0.017453292519943295::DOUBLE * 6371008.8::DOU
 
 
 @query("J4_nearest_place", sql(f"""SELECT event_id, round(sqrt(min(pow(px - sx, 2) + pow(py - sy, 2))), 4) AS dist_m FROM (SELECT f.event_id, {_XY[0].format(lon='f.lon')} AS px, {_XY[1].format(lat='f.lat')} AS py, {_XY[0].format(lon='s.lon')} AS sx, {_XY[1].format(lat='s.lat')} AS sy
-    FROM fixes f, (SELECT * FROM stays WHERE split <> 'train') s) GROUP BY event_id""", "fixes", "stays"))
+    FROM fixes f, (SELECT DISTINCT lat, lon FROM stays) s) GROUP BY event_id""", "fixes", "stays"))
 def j4(d):
-    s = d.stays().filter("split <> 'train'").select("traj_id", "lat", "lon")
-    return rounded(G.nearest(d.fixes().select("event_id", "lat", "lon"), s, "event_id", "traj_id", 55.62, 12.52).select("event_id", "dist_m"), dist_m=4)
-
-
-@query("J5_features_within_radius", sql(f"""SELECT f.event_id, count(*) FILTER (WHERE {hav('f.lat', 'f.lon', 'q.lat', 'q.lon')} <= 150) AS n_near FROM fixes f, (SELECT lat, lon FROM fixes WHERE event_id % 10 = 0) q GROUP BY f.event_id""", "fixes"))
-def j5(d):
-    poi = d.fixes().filter("event_id % 10 = 0").select("lat", "lon", F.col("mode").alias("category"))
-    return longs(proximity.within_radius(d.fixes(), poi, "event_id", 150.0, 55.62, 12.52).select("event_id", "n_near"), "n_near")
-
-
-@query("J5_radius_summary", sql(f"""SELECT round(avg((n > 0)::INT::DOUBLE), 6) AS share_any, round(avg(n), 6) AS mean_near FROM (SELECT count(*) FILTER (WHERE {hav('f.lat', 'f.lon', 'q.lat', 'q.lon')} <= 150) AS n FROM fixes f, (SELECT lat, lon FROM fixes WHERE event_id % 10 = 0) q GROUP BY f.event_id)""", "fixes"))
-def j5b(d):
-    poi = d.fixes().filter("event_id % 10 = 0").select("lat", "lon")
-    return rounded(proximity.coverage_summary(proximity.within_radius(d.fixes(), poi, "event_id", 150.0, 55.62, 12.52)), share_any=6, mean_near=6)
+    return rounded(G.nearest(d.fixes().select("event_id", "lat", "lon"), d.stays().select("traj_id", "lat", "lon"), "event_id", "traj_id", 55.62, 12.52).select("event_id", "dist_m"), dist_m=4)
 
 
-# over all stays and all fixes; no SQL: every pair of rows would be compared
-@query("J4_nearest_place_all")
-def j4_all(d):
-    return rounded(G.nearest(d.fixes().select("event_id", "lat", "lon"), d.stays().select("traj_id", "lat", "lon"), "event_id", "traj_id", 55.62, 12.52).select("event_id", "dist_m"), dist_m=4)
+# every fix within 150 m of every fix; the box in degrees is wider than that
+_NEAR = {"nr": (["fixes"], f"""SELECT f.event_id, q.mode AS category, q.i AS place, q.trip FROM fixes f JOIN fixes q ON q.lat BETWEEN f.lat - 0.0014 AND f.lat + 0.0014 AND q.lon BETWEEN f.lon - 0.0025 AND f.lon + 0.0025
+    WHERE {hav('f.lat', 'f.lon', 'q.lat', 'q.lon')} <= 150""")}
 
 
 def _near_all(d):
     return proximity.within_radius(d.fixes(), d.fixes().select("lat", "lon"), "event_id", 150.0, 55.62, 12.52)
 
 
-@query("J5_features_within_radius_all")
-def j5_all(d):
+@query("J5_features_within_radius", sql("SELECT event_id, count(*) AS n_near FROM nr GROUP BY event_id", "nr", extra=_NEAR))
+def j5(d):
     return longs(_near_all(d).select("event_id", "n_near"), "n_near")
 
 
-@query("J5_radius_summary_all")
-def j5b_all(d):
+@query("J5_radius_summary", sql("SELECT round(avg((n > 0)::INT::DOUBLE), 6) AS share_any, round(avg(n), 6) AS mean_near FROM (SELECT count(*) AS n FROM nr GROUP BY event_id)", "nr", extra=_NEAR))
+def j5b(d):
     return rounded(proximity.coverage_summary(_near_all(d)), share_any=6, mean_near=6)
 
 
+@query("J5_category_counts", sql("SELECT event_id, category, count(*) AS n_near FROM nr GROUP BY event_id, category", "nr", extra=_NEAR))
+def j5c(d):
+    poi = d.fixes().select("lat", "lon", F.col("mode").alias("category"))
+    return longs(proximity.category_counts(d.fixes(), poi, "event_id", 150.0, 55.62, 12.52), "n_near")
+
+
+@query("J5_mean_vector", sql("SELECT event_id, round(avg(place), 6) AS v0, round(avg(trip), 6) AS v1, round(avg(place * trip), 6) AS v2 FROM nr GROUP BY event_id", "nr", extra=_NEAR))
+def j5v(d):
+    vector = F.array(*[c.cast("double") for c in (F.col("i"), F.col("trip"), F.col("i") * F.col("trip"))]).alias("vector")
+    m = proximity.mean_vector(d.fixes(), d.fixes().select("lat", "lon", vector), "event_id", 150.0, 55.62, 12.52)
+    return rounded(m.select("event_id", *[F.col("vector")[n].alias(f"v{n}") for n in range(3)]), v0=6, v1=6, v2=6)
+
+
 # ------------------------------------------------------------------ N
 _WAYS = {
     "wn0": (["fixes"], """SELECT traj_id AS way, i AS seq, concat(CAST(CAST(floor(lat * 1000) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lon * 1000) AS BIGINT) AS VARCHAR)) AS node, mode, trip FROM fixes"""),

@@ -3,10 +3,11 @@ that the triangle inequality leaves.
 
 A cell holds the rows whose nearest pivot it is, and knows how many they are and how far the farthest lies (its radius). With d the distance of
 a query to the pivot, every row of the cell is at least d - radius and at most d + radius away. So against a bound that the query brings (its k-th
-distance in the cells around it, or the distance of its own row) a cell is skipped, counted whole, or compared row by row. Only
-the rows of a query are copied, once for each cell left; a cell above ``BLOCK_BYTES`` is cut into parts that each see its queries, and crowded queries of a cell likewise.
-Pivots are a seeded draw of at most ``PIVOTS`` rows; they and the cells' figures are all that the driver sees and that is
-broadcast. The draw decides the cost only. Rows without structure (all about as far from each other) leave all cells, at the cost of comparing all.
+distance in the cells around it, or the distance of its own row) a cell is skipped, counted whole, or compared row by row. Neighbouring cells
+share a block; only queries are copied, once for each block that has cells left for them, and meet these cells alone. A cell above ``BLOCK_BYTES``
+is cut into parts that each see its queries, and crowded queries of a block likewise. Pivots are a seeded draw of at most ``PIVOTS`` rows; they and the
+cells' figures are all that the driver sees and that is broadcast. The draw decides the cost only. Rows without structure (all about as
+far from each other) leave all cells: then every query goes to every block, and all pairs are compared.
 
 An index may hold, instead of the rows, shorter vectors whose distance never exceeds the rows' (``embed``); then nothing is counted whole.
 """
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +88,20 @@ class PivotIndex:
         self.count, self.radius = np.zeros(len(drawn), np.int64), np.zeros(len(drawn))
         for r in self.rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")).collect():
             self.count[r["_cell"]], self.radius[r["_cell"]] = r["n"], r["r"]
-        self.parts = np.maximum(1, -(-self.count * row_bytes // BLOCK_BYTES))
+        # neighbouring cells, in the order of their pivots along the widest axis, fill a block; enough blocks for all cores
+        axis = np.zeros(len(drawn))
+        if len(drawn) > 1:
+            axis = (self.pivots - self.pivots.mean(0)) @ np.linalg.svd(self.pivots - self.pivots.mean(0), full_matrices=False)[2][0]
+        room = max(1, min(BLOCK_BYTES, self.n * row_bytes // partitions(self.spark)))
+        self.block, held, at = np.zeros(len(drawn), np.int64), 0, 0
+        for cell in np.argsort(axis, kind="stable"):
+            size = int(self.count[cell]) * row_bytes
+            if held and held + size > room:
+                held, at = 0, at + 1
+            self.block[cell] = at
+            held += size
+        sizes = np.bincount(self.block, self.count, minlength=1) * row_bytes
+        self.parts = np.maximum(1, np.ceil(sizes / BLOCK_BYTES)).astype(np.int64)
 
     def _cells(self, queries: DataFrame, choose: Callable, bound: str | None, skip: str | None, extra: list[T.StructField]) -> DataFrame:
         """``queries`` with the columns of ``choose(distances, bounds, skipped)``; the first are lists of cells."""
@@ -139,23 +154,35 @@ class PivotIndex:
     def compare(self, queries: DataFrame, fn: Callable[[pa.Table, pa.Table], dict], schema: str, query_bytes: int) -> DataFrame:
         """``fn(queries of a cell, rows of the cell)`` over the cells of every query, as one table of partial results."""
         names = [c for c in queries.columns if c not in ("_cells", "_sure")], self.columns
-        asked = queries.select(*names[0], F.explode("_cells").alias("_cell"))
-        crowd = {r["_cell"]: r["n"] for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}       # at most one row a cell
+        of = F.array(*[F.lit(int(b)) for b in self.block] or [F.lit(0)])
+        home = lambda cell: F.element_at(of, cell + 1)
+        asked = queries.withColumn("_block", F.explode(F.array_distinct(F.transform("_cells", home)))).select(
+            *names[0], "_block", F.filter("_cells", lambda c: home(c) == F.col("_block")).alias("_cells"))
+        crowd = asked.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()       # at most one row a block
         parts, shares = self.parts, np.ones(len(self.parts), np.int64)
-        for cell, n in crowd.items():
-            shares[cell] = max(1, -(-n * query_bytes // BLOCK_BYTES))
-        at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values] or [F.lit(1)]), F.col("_cell") + 1)
+        for r in crowd:
+            shares[r["_block"]] = max(1, -(-r["n"] * query_bytes // BLOCK_BYTES))
+        at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("_block") + 1)
         deal = lambda values: F.pmod(F.xxhash64(F.monotonically_increasing_id()), at(values)).cast("int")
         every = lambda values: F.explode(F.sequence(F.lit(0), at(values) - 1))
         left = asked.withColumn("_share", F.pmod(F.xxhash64(*names[0][:1]), at(shares)).cast("int")).withColumn("_part", every(parts))
-        right = self.rows.drop("_far").withColumn("_part", deal(parts)).withColumn("_share", every(shares))
-        key = ["_cell", "_part", "_share"]
+        right = self.rows.drop("_far").withColumn("_block", home(F.col("_cell"))).withColumn("_part", deal(parts)).withColumn("_share", every(shares))
+        key = ["_block", "_part", "_share"]
         tasks = partitions(self.spark)
 
         def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-            found = fn(a.select(names[0]), b.select(names[1])) if a.num_rows and b.num_rows else {}
-            return pa.table(found) if found else empty
+            if not a.num_rows or not b.num_rows:
+                return empty
+            lists = a.column("_cells").combine_chunks()
+            row, cell, of_row = np.repeat(np.arange(a.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy(), b.column("_cell").to_numpy()
+            a, b, found = a.select(names[0]), b.select(names[1]), [empty]
+            for c in np.unique(of_row):
+                some = row[cell == c]
+                if len(some):
+                    # from Arrow to Arrow: one column each, whatever came as chunks
+                    out = fn(a.take(pa.array(some)).combine_chunks(), b.take(pa.array(np.flatnonzero(of_row == c))).combine_chunks())
+                    found.append(pa.table(out).cast(empty.schema))
+            return pa.concat_tables(found)
         empty = self.spark.createDataFrame([], schema).toArrow()
         left, right = (x.repartition(tasks, *key) for x in (left, right))
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(pair, schema)
-
