@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayspark.llm import divergence, sharding, whitening
+from wayspark.llm import divergence, repeats, sharding, toxicity, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -221,3 +221,13 @@ def test_sharding_is_native_and_writes(spark, tmp_path):
     assert {r.doc_id: r.shard for r in again.collect()} == want and set(again.columns) == {*docs.columns, "shard"}
     with pytest.raises(ValueError):
         sharding.place(docs.withColumn("rack", F.lit(1)))
+
+
+def test_clashing_columns_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.5)], "doc_id long, text string, score double")
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(docs, (np.zeros(1 << 20, np.float32), 0.0))
+    for name in ("n_words", "n_removed", "kept"):
+        with pytest.raises(ValueError, match=name):
+            repeats.remove_repeats(docs.withColumnRenamed("score", name))
+    assert toxicity.score(docs.drop("score"), (np.zeros(1 << 20, np.float32), 0.0)).columns == ["doc_id", "text", "score"]

@@ -130,8 +130,11 @@ def _covered(spots: list | None, length: int, n: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, *, length: int = 35, text: str = "text", joined: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept`` appended: the text without the covered words. A text that loses
-    nothing keeps its white space; otherwise each word takes along the white space before it (``joined``: one space)."""
+    nothing keeps its white space; otherwise each word takes along the white space before it (``joined``: one space). Columns of these names in ``docs`` are
+    an error, raised at once."""
     names = docs.columns
+    if clash := {*REMOVED.names} & {*names}:
+        raise ValueError(f"the input already has {sorted(clash)}")
     named = docs.withColumnsRenamed({c: f"_c{n}" for n, c in enumerate(names)})
     body = F.col(f"_c{names.index(text)}")
     # a row number would need an order; the hash of all columns names a row, and equal rows are numbered by a count

@@ -118,7 +118,9 @@ def collect(weights: DataFrame, bits: int = 20) -> tuple[np.ndarray, float]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", bits: int = 20) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) appended, one pass without a shuffle."""
+    """``docs`` with ``score`` (0 to 1) appended, one pass without a shuffle. A column ``score`` in ``docs`` is an error, raised at once."""
+    if "score" in docs.columns:
+        raise ValueError("the input already has ['score']")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "score double"
     names = docs.columns
