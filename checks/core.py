@@ -9,7 +9,7 @@ from wayspark.plans import info
 from wayspark import schema
 
 from .common import longs, rounded
-from .inputs import CONTEXT, Inputs, hav, sql, sql_cell, sql_hex
+from .inputs import LENGTH, CONTEXT, Inputs, hav, sql, sql_cell, sql_hex
 
 QUERIES, ORACLES = {}, {}
 
@@ -314,10 +314,14 @@ def d11(d):
     return rounded(info.split_overlap(d.stays(), d.grid()), test_stays_in_train_cells=6, test_users_in_train=6, median_snap_m=4, p95_snap_m=4)
 
 
-@query("D13_split_fingerprint", sql("""SELECT split, bit_xor(CAST('0x' || substr(md5(traj_id), 1, 15) AS BIGINT)) AS digest_a,
-    bit_xor(CAST('0x' || substr(md5(traj_id), 16, 15) AS BIGINT)) AS digest_b, count(*) AS n_trips FROM trips GROUP BY split""", "trips"))
+_VIEW = {"window_length": LENGTH, "max_gap_s": 300, "staypoint_method": "trips", "visit_context": 5}
+_VIEW_HEX = "md5('" + "|".join(f"{k}={_VIEW[k]}" for k in sorted(_VIEW)) + "')"
+
+
+@query("D13_split_fingerprint", sql(f"""SELECT split, xor(bit_xor(CAST('0x' || substr(md5(traj_id), 1, 15) AS BIGINT)), CAST('0x' || substr({_VIEW_HEX}, 1, 15) AS BIGINT)) AS digest_a,
+    xor(bit_xor(CAST('0x' || substr(md5(traj_id), 16, 15) AS BIGINT)), CAST('0x' || substr({_VIEW_HEX}, 16, 15) AS BIGINT)) AS digest_b, count(*) AS n_trips FROM trips GROUP BY split""", "trips"))
 def d13(d):
-    return splits.fingerprint(d.trips())
+    return splits.fingerprint(d.trips(), **_VIEW)
 
 
 @query("D14_split_view", sql(f"""SELECT window_id, pos, t, 'test' AS split FROM win WHERE window_id IN (SELECT window_id FROM (SELECT DISTINCT window_id FROM win WHERE split = 'train')

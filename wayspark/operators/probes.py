@@ -38,25 +38,35 @@ def ridge_weights(train: DataFrame, vector: str, alpha: float = 1.0) -> tuple[np
     return w, float(ybar - w @ mu)
 
 
+LEAST_SPREAD = 1e-3
+
+
 def continuous_probe(train: DataFrame, test: DataFrame, validation: DataFrame | None, vector: str = "vector", alpha: float = 1.0) -> DataFrame:
-    """Log-normal forecast from ridge: ``point`` (its median) and ``mixture``. Bias and spread come
-    from validation residuals (training ones only where there is no validation)."""
+    """Log-normal forecast from ridge: ``point`` (its median) and ``mixture``. What the forecast is shifted by and how wide it is:
+
+    | residuals of       | shift      | spread             |
+    |--------------------|------------|--------------------|
+    | validation, 2 rows | their mean | their deviation    |
+    | validation, fewer  | 0          | 1                  |
+    | training           | 0          | their deviation    |
+
+    A spread that is missing, not finite or 0 is 1, and none is below ``LEAST_SPREAD``.
+    """
     w, b = ridge_weights(train, vector, alpha)
     predict = _dot(vector, w) + F.lit(b)
     resid = F.log(F.greatest(F.col("y"), F.lit(1e-3))) - predict
-    bias, sigma = 0.0, 1.0
-    row = (train if validation is None else validation).agg(F.avg(resid), F.stddev_pop(resid), F.count(F.lit(1))).first()
-    if validation is None:
-        log.warning("no validation data: the spread comes from training residuals")
-        sigma = row[1]
-    elif row[2] > 1:
-        bias, sigma = row[0], row[1]
-    if sigma is None or not math.isfinite(sigma) or sigma <= 0:
-        sigma = 1.0
-    sigma = max(sigma, 1e-3)
-    m = predict + F.lit(float(bias))
-    mix = F.struct(F.array(F.lit(1.0)).alias("w"), F.array(m).alias("mu"), F.array(F.lit(float(sigma))).alias("sd"), F.lit("log").alias("space"))
-    return test.withColumns({"point": F.exp(m), "mixture": mix})
+    source = "training" if validation is None else "validation"
+    mean, deviation, n = {"training": train, "validation": validation}[source].agg(F.avg(resid), F.stddev_pop(resid), F.count(F.lit(1))).first()
+    shift, spread = {("training", True): (0.0, deviation), ("training", False): (0.0, deviation),
+                     ("validation", True): (mean, deviation), ("validation", False): (0.0, 1.0)}[source, n > 1]
+    if source == "training":
+        log.warning("the probe's forecasts are as wide as its residuals on its own training rows, for want of others")
+    usable = spread is not None and math.isfinite(spread) and spread > 0
+    spread = max(float(spread), LEAST_SPREAD) if usable else 1.0
+    centre = predict + F.lit(float(shift))
+    one = lambda c, name: F.array(c).alias(name)
+    mixture = F.struct(one(F.lit(1.0), "w"), one(centre, "mu"), one(F.lit(spread), "sd"), F.lit("log").alias("space"))
+    return test.withColumns({"point": F.exp(centre), "mixture": mixture})
 
 
 def location_probe(train: DataFrame, test: DataFrame, top_k: int = 1000, max_train: int = 100_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,8 @@
 """Train / validation / test assignment, seeded subsets and their reports."""
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,12 +117,14 @@ def stratified_fraction(df: DataFrame, key: str, label: str, fraction: float, se
 
 
 # ------------------------------------------------------------------ reports
-def fingerprint(trips: DataFrame) -> DataFrame:
-    """Order-free digest per split of its trip ids: combines map-side, no list is ever gathered."""
+def fingerprint(trips: DataFrame, **view) -> DataFrame:
+    """Order-free digest per split of its trip ids and of the parameters of the view (window length, gaps, ways to
+    find stays): combines map-side, no list is ever gathered. Without parameters it is the digest of the trips alone."""
     h = F.md5("traj_id")
     part = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("bigint")
-    return trips.groupBy("split").agg(F.bit_xor(part(1)).alias("digest_a"), F.bit_xor(part(16)).alias("digest_b"),
-                                      F.count(F.lit(1)).alias("n_trips"))
+    own = hashlib.md5("|".join(f"{k}={view[k]}" for k in sorted(view)).encode()).hexdigest() if view else "0" * 32
+    mixed = lambda at: F.bit_xor(part(at)).bitwiseXOR(F.lit(int(own[at - 1:at + 14], 16)).cast("bigint"))
+    return trips.groupBy("split").agg(mixed(1).alias("digest_a"), mixed(16).alias("digest_b"), F.count(F.lit(1)).alias("n_trips"))
 
 
 def overlap_report(split_points: DataFrame) -> DataFrame:

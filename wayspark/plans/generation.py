@@ -18,9 +18,10 @@ def generated_stays(points: DataFrame, dist_m: float, time_s: float) -> DataFram
 
 
 def generation_eval(real: DataFrame, real_stays: DataFrame, floor: DataFrame, floor_stays: DataFrame, lower: DataFrame,
-                    generated: DataFrame, train: DataFrame, grid: SquareGrid, dist_m: float = 200.0, time_s: float = 1200.0) -> DataFrame:
-    """(task, metric, model, value, baseline_value, floor_value, skill) of ``generated``: divergences
-    against real test data, scaled between the real noise floor and the uniform lower reference."""
+                    generated: DataFrame, train: DataFrame, grid: SquareGrid, dist_m: float = 200.0, time_s: float = 1200.0, n_boot: int = 200, seed: int = 0) -> DataFrame:
+    """(task, metric, value, baseline_value, floor_value, skill, ci_low, ci_high) of ``generated``: divergences against real
+    test data, scaled between the real noise floor and the uniform lower reference; rank correlation of the users' median
+    radius of gyration (absent below five common users); copying with intervals over ``n_boot`` resamples of the trips."""
     spark = real.sparkSession
     sides = {"real": (real, real_stays), "floor": (floor, floor_stays)}
     for name, pts in (("lower", lower), ("generated", generated)):
@@ -39,11 +40,17 @@ def generation_eval(real: DataFrame, real_stays: DataFrame, floor: DataFrame, fl
     cells = {n: G.visited_cells(s, grid) for n, (_, s) in sides.items()}
     both = {n: G.jsd(cells["real"], cells[n]).first()[0] for n in ("generated", "lower", "floor")}
     rows.append(("generation/visited_cells", "jsd", both["generated"], both["lower"], both["floor"]))
+    gyration = {n: stats[n].filter(F.col("stat") == "radius_of_gyration").select("user_id", "value") for n in ("real", "generated")}
+    rho = G.paired_spearman(gyration["real"], gyration["generated"]).first()["rho"]
+    if rho is not None:
+        rows.append(("generation/radius_of_gyration", "spearman_paired:radius_of_gyration", rho, None, None))
     kinds = "task string, metric string, value double, baseline_value double, floor_value double"
     table = spark.createDataFrame(rows, kinds)               # a few rows of results
     skill = scores.skill_score(F.col("value"), F.col("baseline_value"), F.lit("floor"), F.col("floor_value"))
     out = table.withColumn("skill", skill)
     threshold = G.exact_percentiles(G.nearest_train_distance(real, train), [], "dist_m", {"p": 0.05}).first()[0]
-    copies = G.copy_metrics(G.nearest_train_distance(sides["generated"][0], train), threshold)
-    memo = scores.aggregate_values(copies, []).select(F.lit("generation/memorisation").alias("task"), "metric", "value")
+    copies = cut_lineage(G.copy_metrics(G.nearest_train_distance(sides["generated"][0], train), threshold).select(
+        F.lit("generation/memorisation").alias("task"), F.col("traj_id").alias("sample_id"), "metric", "value"))
+    memo = scores.aggregate_values(copies, ["task"], written=True).select("task", "metric", "value")
+    memo = memo.join(scores.bootstrap_ci(copies, ["task"], n_boot, seed), ["task", "metric"], "left")
     return out.unionByName(memo, allowMissingColumns=True)
