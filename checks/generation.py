@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayspark.functions.draws import draw_int, uniform
-from wayspark.operators import generation as G, masks, report, scores, splits
+from wayspark.operators import continuous as C
+from wayspark.operators import generation as G, location, masks, report, scores, splits
 from wayspark.plans import generation as plan, train_eval
 
 from .common import longs, rounded
@@ -173,6 +174,16 @@ def h19(d):
     return train_eval.recovery_train_eval(d.windows(), RUNS, LENGTH, d.grid(), 2000, models)
 
 
+@query("H19_next_location")
+def h19_location(d):
+    return train_eval.next_location_train_eval(d.visits(), d.grid(), 2000, lambda v: {"recency": location.recency_scores(v).select("sample_id", "cell", F.col("score").alias("p"))})
+
+
+@query("H19_continuous")
+def h19_continuous(d):
+    return train_eval.continuous_train_eval(d.visits(), "duration", 2000, {"own_context": lambda v: C.own_context_mixture(v, "duration")})
+
+
 def _noisy(windows, runs):
     wid, pos = F.col("window_id"), F.col("pos")
     m = masks.with_masks(windows, runs, LENGTH)

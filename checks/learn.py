@@ -315,6 +315,42 @@ def h17(d):
     return retrieval_plan.odd_even_eval(_split(d, "test"), g.lat0, g.lon0)
 
 
+def _place(windows):
+    """Mean position against a fixed centre and spread of a window, as _QC has them."""
+    f = features.location_features(windows)
+    return f.select("window_id", F.array(F.col("lat_mean") - 55.62, F.col("lon_mean") - 12.52, "lat_std", "lon_std").alias("vector"))
+
+
+@query("H17_cross_representation", sql("""SELECT m.metric, round(avg(CASE m.metric WHEN 'mean_rank' THEN rank WHEN 'mrr' THEN 1.0::DOUBLE / rank ELSE (rank <= CAST(split_part(m.metric, '@', 2) AS INT))::INT::DOUBLE END), 6) AS value, count(*) AS n
+    FROM (SELECT s.window_id, count(*) AS rank FROM sm s JOIN sm t ON t.window_id = s.window_id AND t.other = s.window_id WHERE s.sim >= t.sim GROUP BY s.window_id) r, (VALUES ('mean_rank'), ('mrr'), ('hr@1'), ('hr@5'), ('hr@10')) m(metric) GROUP BY m.metric""", "sm", extra={**_QC,
+    "rq": (["win"], "SELECT window_id, [avg(lat) - 55.62::DOUBLE, avg(lon) - 12.52::DOUBLE, stddev_pop(lat), stddev_pop(lon)] AS v FROM (SELECT window_id, pos, round(lat, 2) AS lat, round(lon, 2) AS lon FROM win WHERE split = 'test') GROUP BY window_id"),
+    "qn": (["rq"], "SELECT window_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda q: q * q)))) AS a FROM rq"),
+    "sm": (["qn", "un"], "SELECT q.window_id, u.window_id AS other, round(list_dot_product(q.a, u.a), 9) AS sim FROM qn q, un u")}))
+def h17_cross(d):
+    """The window is looked for by an embedding of the cells of 0.01 degrees that it passes."""
+    g, test = d.grid(), _split(d, "test")
+    coarse = lambda w: _place(w.withColumns({"lat": F.round("lat", 2), "lon": F.round("lon", 2)}))
+    r = retrieval_plan.cross_representation_eval(test, {"region": coarse}, _place, g.lat0, g.lon0)
+    return rounded(r.filter("model = 'model'").select("metric", "value", "n"), value=6)
+
+
+@query("H17_cross_topology")
+def h17_topology(d):
+    g, test = d.grid(), _split(d, "test")
+    return retrieval_plan.cross_representation_eval(test, {"topology": lambda w: _place(retrieval_plan.topology_points(w))}, _place, g.lat0, g.lon0)
+
+
+@query("H17_condition", sql("""SELECT m.metric, round(avg(CASE m.metric WHEN 'cr@1' THEN cr1 ELSE cr5 END), 6) AS value, count(*) AS n FROM (SELECT e.window_id,
+        count(*) FILTER (WHERE e.element IN (SELECT x.element FROM tp JOIN el x ON x.window_id = tp.match WHERE tp.window_id = e.window_id AND place < 1)) / count(*) AS cr1,
+        count(*) FILTER (WHERE e.element IN (SELECT x.element FROM tp JOIN el x ON x.window_id = tp.match WHERE tp.window_id = e.window_id AND place < 5)) / count(*) AS cr5 FROM el e GROUP BY e.window_id) c,
+    (VALUES ('cr@1'), ('cr@5')) m(metric) GROUP BY m.metric""", "el", "tp", extra=_QC))
+def h17_condition(d):
+    test = _split(d, "test")
+    regions = G.RegionGrid.fit(d.points()).ids(test, d.points()).select("window_id", F.col("region").alias("element")).distinct()
+    r = retrieval_plan.condition_eval(test, {"region": regions}, {"region": _place}, _place)
+    return rounded(r.filter("model = 'model'").select("metric", "value", "n"), value=6)
+
+
 # ------------------------------------------------------------------ U, H7, H8
 @query("H7_mode_eval")
 def h7(d):

@@ -162,6 +162,12 @@ def h4(d):
     return scores.aggregate_values(m.withColumn("model", F.lit("probe")), ["model"])
 
 
+@query("H2_probe_eval")
+def h2_probe(d):
+    e = _embedded(d)
+    return location_plan.probe_eval(e.filter("split = 'train'"), e.filter("split = 'test'"), d.grid(), 1000).select("task", "protocol", "model", "metric", "value", "n", "skill")
+
+
 # ------------------------------------------------------------------ continuous
 def _y(d, split, target="duration"):
     return C.target_minutes(_of(d, split), target)
