@@ -95,7 +95,7 @@ def tree_classifier(train: DataFrame, test: DataFrame, key: str, vector: str = "
     return _probabilities(model, _vectors(test, vector), key)
 
 
-def user_cohort(windows: DataFrame, min_windows: int = 8, max_users: int = 100) -> DataFrame:
+def user_cohort(windows: DataFrame, min_windows: int, max_users: int) -> DataFrame:
     """Users with enough windows in train and test, the largest by the smaller of both counts
     (ties by id), with a label in id order."""
     n = windows.filter("pos = 0").groupBy("user_id").agg(F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),

@@ -69,7 +69,7 @@ def continuous_probe(train: DataFrame, test: DataFrame, validation: DataFrame |
     return test.withColumns({"point": F.exp(centre), "mixture": mixture})
 
 
-def location_probe(train: DataFrame, test: DataFrame, top_k: int = 1000, max_train: int = 100_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def location_probe(train: DataFrame, test: DataFrame, top_k: int, max_train: int = 100_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Linear softmax over the most visited training cells: sparse (sample_id, cell, p) and the
     candidates. ``train``/``test``: visits with an ``embedding``; ``max_train`` is the probe's own
     training sample size."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hex
 from ..functions.ordered import exact_percentiles, global_rank
+from ..session import cut_lineage
 
 NAMES = ("train", "val", "test")
 
@@ -78,16 +79,25 @@ def split_predefined(points: DataFrame, val_by: str = "time", val_fraction: floa
 
 
 # ------------------------------------------------------------------ seeded subsets
-SMALL_DRAW = 100_000
+DIGITS = 3              # of the hash, counted at a time: 4,096 rows
 
 
 def drawn_keys(df: DataFrame, key: str, n: int, seed: int = 0, salt: str = "cap") -> DataFrame:
-    """The first ``n`` distinct keys in hash order. A small draw is a top-n (each task sends n rows at
-    most); a large one is a distributed rank, as n may then grow with the data."""
-    keys = df.select(key).distinct().withColumn("_h", draw_hex(seed, salt, F.col(key)))
-    if n <= SMALL_DRAW:
-        return keys.orderBy("_h", key).limit(n).select(key)
-    return global_rank(keys, ["_h", key], "_rank").filter(F.col("_rank") <= n).select(key)
+    """The first ``n`` distinct keys in hash order, the same way at every size: counts by the first digits of the hash tell up to which digits
+    all keys belong to the draw; only the keys that share the border's six digits (one in 16 million) are sorted."""
+    keys = cut_lineage(df.select(key).distinct().withColumn("_h", draw_hex(seed, salt, F.col(key))))
+    border, left = "", n
+    for _ in range(2):
+        counts = keys.filter(F.col("_h").startswith(border)).groupBy(F.substring("_h", 1, len(border) + DIGITS).alias("d")).count().collect()
+        for r in sorted(counts, key=lambda r: r["d"]):
+            if r["count"] > left:
+                border = r["d"]
+                break
+            left -= r["count"]
+        else:
+            return keys.select(key)                     # there are no more than n (a later border has more than ``left``)
+    at = keys.filter(F.col("_h").startswith(border)).orderBy("_h", key).limit(left).select(key)
+    return keys.filter(F.col("_h") < border).select(key).unionByName(at)
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int = 0, salt: str = "cap") -> DataFrame:

@@ -37,22 +37,22 @@ def make_windows(points: DataFrame, length: int = 64, stride: int | None = None,
         F.array().cast("array<bigint>"))))
     spread = spread.filter(F.col("_w") * stride + length <= F.col("seg_n"))
     if "mode" in points.columns:
-        spread = spread.withColumn("mode", window_label(["traj_id", "seg", "_w"], length, min_purity))
+        spread = with_window_label(spread, ["traj_id", "seg", "_w"], length, min_purity)
     wid = F.concat_ws("#", "traj_id", F.col("seg").cast("string"), F.col("_w").cast("string"))
     return spread.select(wid.alias("window_id"), "user_id", "traj_id",
                          (F.col("p") - F.col("_w") * stride).cast("bigint").alias("pos"), "t", "lat", "lon",
                          *(["mode"] if "mode" in points.columns else []))
 
 
-def window_label(keys: list[str], length: int, min_purity: float = 0.8) -> Column:
-    """Most common mode of a window if it holds ``min_purity`` of the labelled fixes and enough of
-    the window is labelled at all (ties by name). Windows are short: their modes are sorted in place."""
-    modes = F.array_sort(F.collect_list("mode").over(Window.partitionBy(*keys)))
-    votes = F.transform(F.array_distinct(modes), lambda m: F.struct(
-        F.size(F.filter(modes, lambda x: x == m)).alias("n"), m.alias("mode")))
-    best = F.reduce(votes, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("mode")),
-                    lambda a, v: F.when(v["n"] > a["n"], v).otherwise(a))
-    return F.when((best["n"] >= min_purity * F.size(modes)) & (F.size(modes) >= min_purity * length), best["mode"])
+def with_window_label(rows: DataFrame, keys: list[str], length: int, min_purity: float = 0.8) -> DataFrame:
+    """``rows`` with ``mode`` replaced by the most common mode of their window, if it holds ``min_purity`` of the labelled fixes and enough of
+    the window is labelled at all (ties by name). Fixes of a mode are counted in the window's own partition; no list of modes is built."""
+    window = Window.partitionBy(*keys)
+    votes = rows.withColumn("_n", F.count("mode").over(Window.partitionBy(*keys, "mode")))
+    first = F.min(F.when(F.col("mode").isNotNull(), F.struct((-F.col("_n")).alias("n"), "mode"))).over(window)
+    votes = votes.withColumns({"_first": first, "_labelled": F.count("mode").over(window)})
+    clear = (-F.col("_first.n") >= min_purity * F.col("_labelled")) & (F.col("_labelled") >= min_purity * length)
+    return votes.withColumn("mode", F.when(clear, F.col("_first.mode"))).drop("_n", "_first", "_labelled")
 
 
 def window_arrays(windows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.blocks import union_all
 from ..operators import classify, features, scores
 
 
-def identity_eval(windows: DataFrame, vectors: dict[str, DataFrame], min_windows: int = 8, max_users: int = 100, n_boot: int = 0):
+def identity_eval(windows: DataFrame, vectors: dict[str, DataFrame], min_windows: int, max_users: int, n_boot: int = 0):
     """Linear probes on (window_id, vector) tables against the mean-location probe, its tree version and
     the priors. Returns (records, set-level values)."""
     cohort = classify.user_cohort(windows, min_windows, max_users).select("user_id", "y")

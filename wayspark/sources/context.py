@@ -57,16 +57,14 @@ def read_features(spark: SparkSession, path: str, keys=POI_KEYS, lat: str = "lat
     single = shapes.filter(F.size("v") == 1).select(mean(1).alias("lat"), mean(0).alias("lon"), "category")
     points = shapes.filter(F.size("v") > 1).select("id", "category", F.posexplode("v").alias("pos", "p")) \
         .select("id", "category", "pos", F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"))
-    sampled = sample_lines(points, "id", spacing_m)
-    cats = shapes.select("id", "category")
-    return single.unionByName(sampled.join(cats, "id").select("lat", "lon", "category"))
+    return single.unionByName(sample_lines(points, "id", spacing_m, ["category"]).select("lat", "lon", "category"))
 
 
-def sample_lines(vertices: DataFrame, key: str, spacing_m: float) -> DataFrame:
+def sample_lines(vertices: DataFrame, key: str, spacing_m: float, carry: list[str] | None = None) -> DataFrame:
     """Points along each line, at most ``spacing_m`` apart, at (k + 1/2) of n equal parts.
 
     Every piece between two vertices produces the points that fall on it, so the join of a point with
-    its piece is an explode. ``vertices``: (key, pos, lat, lon); lines have few vertices.
+    its piece is an explode. ``vertices``: (key, pos, lat, lon) and the columns of ``carry``, which are one for a line; lines have few vertices.
     """
     from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy("pos")
@@ -81,7 +79,7 @@ def sample_lines(vertices: DataFrame, key: str, spacing_m: float) -> DataFrame:
     first = F.greatest(first, F.lit(0))
     on = v.filter((F.col("_d") > 0) & (F.col("_total") > 0)).withColumn("k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     f = (((F.col("k") + 0.5) * F.col("_total") / F.col("_n")) - F.col("_from")) / F.col("_d")
-    line = on.select(key, "k", (F.col("_la") + f * (F.col("lat") - F.col("_la"))).alias("lat"), (F.col("_lo") + f * (F.col("lon") - F.col("_lo"))).alias("lon"))
+    line = on.select(key, *(carry or []), "k", (F.col("_la") + f * (F.col("lat") - F.col("_la"))).alias("lat"), (F.col("_lo") + f * (F.col("lon") - F.col("_lo"))).alias("lon"))
     # a line without length is its first vertex
-    flat = v.filter((F.col("_total") <= 0) & F.col("_la").isNull()).select(key, F.lit(0).cast("bigint").alias("k"), "lat", "lon")
+    flat = v.filter((F.col("_total") <= 0) & F.col("_la").isNull()).select(key, *(carry or []), F.lit(0).cast("bigint").alias("k"), "lat", "lon")
     return line.unionByName(flat)
