@@ -24,7 +24,9 @@ def plain_audit(rows, least, top):
         sources = sorted({s for _, s, _ in own}, key=str.encode)
         counts = {s: collections.Counter(t for _, x, w in own if x == s for t in w) for s in sources}
         whole = sum(counts.values(), collections.Counter())
-        rates = lambda c: {t: 1 + 10 ** 9 * (c[t] + 5) // (sum(c[k] for k in kept) + 5 * len(kept)) for t in kept}
+        def rates(c):
+            total = sum(c[k] for k in kept)
+            return {t: 1 + 10 ** 9 * (c[t] + 5) // (total + 5 * len(kept)) for t in kept}
         p, q = {s: rates(counts[s]) for s in sources}, rates(whole)
         for s in sources:
             far = sorted(((-sum(abs(p[s][t] - p[x][t]) for t in kept), x.encode()) for x in sources if x != s))
