@@ -28,6 +28,7 @@ from .blocks import BLOCK_BYTES, matrix
 
 PIVOTS = 1024
 PIVOT_BYTES = 32 * 1024 * 1024
+LEAST_BYTES = 1024 * 1024      # of a block: more tasks than that would copy queries for nothing
 STEP = 4_000_000            # distances in memory
 
 
@@ -92,7 +93,7 @@ class PivotIndex:
         axis = np.zeros(len(drawn))
         if len(drawn) > 1:
             axis = (self.pivots - self.pivots.mean(0)) @ np.linalg.svd(self.pivots - self.pivots.mean(0), full_matrices=False)[2][0]
-        room = max(1, min(BLOCK_BYTES, self.n * row_bytes // partitions(self.spark)))
+        room = min(BLOCK_BYTES, max(LEAST_BYTES, self.n * row_bytes // partitions(self.spark)))
         self.block, held, at = np.zeros(len(drawn), np.int64), 0, 0
         for cell in np.argsort(axis, kind="stable"):
             size = int(self.count[cell]) * row_bytes
