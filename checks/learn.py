@@ -381,7 +381,7 @@ def u_id(d):
     w = d.windows().filter("pos = 0")
     raw = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: 1.0 + F.pmod(draw_int(2, "p", F.col("window_id"), i), F.lit(40)))
     rows = classify.normalise_probs(w.select("window_id", F.pmod(draw_int(2, "y", F.col("window_id")), F.lit(25)).cast("int").alias("y"),
-                                             F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)).alias("probs")))
+                                             classify.shares(raw).alias("probs")))
     m = classify.identity_metrics(rows, ["window_id"], 25)
     p = m.groupBy("window_id").pivot("metric", ["user_acc@1", "user_acc@5", "user_mrr@20", "user_nll"]).agg(F.first("value"))
     return rounded(p.toDF("window_id", "acc1", "acc5", "mrr20", "nll"), mrr20=6, nll=6)

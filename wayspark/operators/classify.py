@@ -13,14 +13,19 @@ def _total(c) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
 
+def shares(c) -> Column:
+    """Every entry over the total; lambdas bind the array and its total, so that neither is computed anew for an entry."""
+    over_total = lambda a: F.transform(F.array(_total(a)), lambda total: F.transform(a, lambda x: x / total))[0]
+    return F.transform(F.array(c), over_total)[0]
+
+
 def normalise_probs(rows: DataFrame, column: str = "probs") -> DataFrame:
     """Class scores as probabilities: kept when every row already sums to one, else softmax."""
     ok = rows.agg(F.bool_and((F.array_min(column) >= 0) & (F.abs(_total(F.col(column)) - 1) <= 1e-3))).first()[0]
     if ok:
-        return rows.withColumn(column, F.transform(column, lambda x: x / _total(F.col(column))))
-    e = F.transform(column, lambda x: F.exp(x - F.array_max(column)))
-    out = rows.withColumn(column, e)
-    return out.withColumn(column, F.transform(column, lambda x: x / _total(F.col(column))))
+        return rows.withColumn(column, shares(F.col(column)))
+    e = F.transform(F.array(F.array_max(column)), lambda top: F.transform(column, lambda x: F.exp(x - top)))[0]
+    return rows.withColumn(column, shares(e))
 
 
 def predictions(rows: DataFrame) -> DataFrame:
