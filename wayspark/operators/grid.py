@@ -4,11 +4,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, Y_SCALE, to_latlon, to_xy, x_scale
 from ..functions.ordered import exact_percentiles, global_rank
+from ..session import cut_lineage, partitions
 
 
 def _clip(c: Column, hi: int) -> Column:
@@ -85,42 +89,89 @@ def hex_vocabulary(places: DataFrame, lat0: float, lon0: float, size_m: float) -
 
 
 # ------------------------------------------------------------------ nearest neighbour
+LEAF = 512              # distinct targets of a leaf
+SHARE = 50_000          # queries of a task's group
+PAIRS = 1_000_000       # distances in memory
+
+
 def nearest(queries: DataFrame, targets: DataFrame, key: str, target: str, lat0: float, lon0: float,
             leaf_m: float = 1000.0, levels: int = 4, fan: int = 8) -> DataFrame:
     """Exact nearest ``target`` of every query in projected metres: (key, target, dist_m).
 
-    Targets form a tree of square tiles (side leaf_m * fan^level) with tight bounds. A query walks
-    down from the root by equi-joins on the parent tile and keeps only tiles whose nearest edge is
-    not beyond the best guaranteed distance, so far queries never meet all targets.
+    Equal positions are searched once on both sides. Targets form a tree of square tiles (side leaf_m * fan^level, leaves cut
+    finer until they hold few targets) with tight bounds. The boxes of the queries of a leaf tile walk down from the root by
+    equi-joins on the parent tile and keep only tiles whose nearest edge is not beyond the best distance guaranteed to all their
+    queries. A task then compares the queries of neighbouring leaf tiles with the targets of the tiles that are left.
     """
     qx, qy = to_xy(F.col("lat"), F.col("lon"), lat0, lon0)
     q = queries.select(key, qx.alias("x"), qy.alias("y"))
-    t = targets.select(target, qx.alias("tx"), qy.alias("ty"))
+    t = cut_lineage(targets.select(target, qx.alias("tx"), qy.alias("ty")).filter("tx is not null and ty is not null")
+                    .groupBy("tx", "ty").agg(F.min(F.struct(target)).alias("b")).select("tx", "ty", f"b.{target}"))
+    corner = lambda x, y, side: (F.floor(F.col(x) / side), F.floor(F.col(y) / side))
+    while leaf_m > 1.0 and (t.groupBy(*corner("tx", "ty", leaf_m)).count().agg(F.max("count")).first()[0] or 0) > LEAF:
+        leaf_m, levels = leaf_m / fan, levels + 1
 
-    def tile(level: int):
-        side = leaf_m * fan ** level
-        return F.concat_ws(":", F.lit(level), F.floor(F.col("tx") / side), F.floor(F.col("ty") / side))
+    def tile(level: int, x="tx", y="ty"):
+        return F.concat_ws(":", F.lit(level), *corner(x, y, leaf_m * fan ** level))
 
     for level in range(levels):
         t = t.withColumn(f"tile{level}", tile(level))
     t = t.withColumn(f"tile{levels}", F.lit("root"))
-    live = q.withColumn("tile", F.lit("root"))
+    # a position without a number lies as far from everything: its box bounds no other query
+    lost = F.isnan("x") | F.isnan("y")
+    places = q.select("x", "y").filter("x is not null and y is not null").distinct().withColumns(
+        {"own": F.when(lost, F.lit("none")).otherwise(tile(0, "x", "y")), "block": F.when(lost, F.lit("none")).otherwise(tile(1, "x", "y"))})
+    places = cut_lineage(places)
+    boxes = places.groupBy("own", "block").agg(F.min("x").alias("qx0"), F.max("x").alias("qx1"), F.min("y").alias("qy0"), F.max("y").alias("qy1"))
+    live = boxes.withColumn("tile", F.lit("root"))
     for level in range(levels - 1, -1, -1):
         tiles = t.groupBy(F.col(f"tile{level + 1}").alias("tile"), F.col(f"tile{level}").alias("child")).agg(
             F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1"))
         # the top tiles are at most the earth's surface in squares of leaf_m * fan^(levels - 1)
         pairs = live.join(F.broadcast(tiles) if level == levels - 1 else tiles, "tile")
-        out = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
-        far = lambda v, lo, hi: F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi)))
-        near2 = out("x", "x0", "x1") ** 2 + out("y", "y0", "y1") ** 2
-        # some target lies in the tile, so none of its points is farther than the far corner
-        far2 = far("x", "x0", "x1") ** 2 + far("y", "y0", "y1") ** 2
-        bound = F.min("far2").over(Window.partitionBy(key))
+        out = lambda v: F.greatest(F.col(f"{v}0") - F.col(f"q{v}1"), F.col(f"q{v}0") - F.col(f"{v}1"), F.lit(0.0))
+        far = lambda v: F.greatest(F.abs(F.col(f"q{v}0") - F.col(f"{v}1")), F.abs(F.col(f"q{v}1") - F.col(f"{v}0")))
+        near2 = out("x") ** 2 + out("y") ** 2
+        # some target lies in the tile, so it is no farther from any query than the far corners are
+        far2 = far("x") ** 2 + far("y") ** 2
+        bound = F.min("far2").over(Window.partitionBy("own"))
         live = pairs.withColumns({"near2": near2, "far2": far2}).withColumn("bound", bound) \
-            .filter("near2 <= bound").select(key, "x", "y", F.col("child").alias("tile"))
-    last = live.join(t.select(F.col("tile0").alias("tile"), target, "tx", "ty"), "tile")
-    d2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-    best = last.withColumn("d2", d2).groupBy(key).agg(F.min(F.struct("d2", target)).alias("b"))
+            .filter("near2 <= bound").select("own", "block", "qx0", "qx1", "qy0", "qy1", F.col("child").alias("tile"))
+    live = cut_lineage(live.select("block", "tile").distinct())
+    crowd = places.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("parts"))
+    left = places.join(crowd, "block").select(F.col("block").alias("_block"), F.pmod(F.xxhash64("own", "x", "y"), F.col("parts")).cast("int").alias("_part"), "own", "x", "y")
+    right = t.select(F.col("tile0").alias("tile"), target, "tx", "ty").join(live, "tile").join(crowd, "block") \
+        .select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), target, "tx", "ty")
+
+    def closest(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.take(pc.sort_indices(known, sort_keys=[(target, "ascending")], null_placement="at_start"))    # ties go to the first
+        tx, ty = (known.column(c).to_numpy() for c in ("tx", "ty"))
+        x, y = (asked.column(c).to_numpy() for c in ("x", "y"))
+        best = np.zeros(len(x), np.int64)
+        own = asked.column("own").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.argsort(own, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if not len(rows) or not len(tx):
+                continue
+            x0, x1, y0, y1 = x[rows].min(), x[rows].max(), y[rows].min(), y[rows].max()
+            reach = np.maximum(np.abs(x0 - tx), np.abs(x1 - tx)) ** 2 + np.maximum(np.abs(y0 - ty), np.abs(y1 - ty)) ** 2
+            gap = np.maximum(np.maximum(x0 - tx, tx - x1), 0.0) ** 2 + np.maximum(np.maximum(y0 - ty, ty - y1), 0.0) ** 2
+            some = np.flatnonzero(~(gap > np.nanmin(reach))) if not np.isnan(reach).all() else np.arange(len(tx))
+            step = max(1, PAIRS // len(some))
+            for lo in range(0, len(rows), step):
+                r = rows[lo:lo + step]
+                d2 = (x[r, None] - tx[some]) ** 2 + (y[r, None] - ty[some]) ** 2
+                best[r] = some[np.where(np.isnan(d2), np.inf, d2).argmin(1)]
+        if not len(tx):
+            asked, best, x, y = asked.slice(0, 0), best[:0], x[:0], y[:0]
+        d2 = (x - tx[best]) ** 2 + (y - ty[best]) ** 2
+        return pa.table([asked.column("x"), asked.column("y"), pa.array(d2), known.column(target).take(pa.array(best))], names=["x", "y", "d2", target])
+
+    schema = f"x double, y double, d2 double, {target} {t.schema[target].dataType.simpleString()}"
+    tasks = partitions(q.sparkSession)
+    left, right = left.repartition(tasks, "_block", "_part"), right.repartition(tasks, "block", "part")
+    found = left.groupBy("_block", "_part").cogroup(right.groupBy("block", "part")).applyInArrow(closest, schema)
+    best = q.join(found, ["x", "y"]).groupBy(key).agg(F.min(F.struct("d2", target)).alias("b"))
     return best.select(key, F.col(f"b.{target}").alias(target), F.sqrt("b.d2").alias("dist_m"))
 
 

@@ -46,20 +46,21 @@ class _Ordered(StatefulProcessor):
     """Holds fixes back until the watermark has passed them, then hands them on in order of time, so that the order of arrival
     does not matter. A key silent for ``idle_s`` of event time is finished and its state freed; a later fix starts anew.
 
-    Subclasses say what they keep (``KEPT``) and give ``begin``, ``step`` and ``finish``.
+    A call serves all keys of a bucket (``_by_bucket``), as a call and its reads and writes of state cost far more than a fix.
+    Subclasses say which column is the key (``BY``), what they keep (``KEPT``), and give ``begin``, ``step`` and ``finish``.
     """
 
+    BY: str
     KEPT: str
     FIX = "t double, lat double, lon double, user_id string, traj_id string"
 
     def __init__(self, idle_s: float):
-        self.idle_s = idle_s
+        self.idle_s, self.by = idle_s, {"user_id": 3, "traj_id": 4}[self.BY]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.FIX)
-        self.kept = handle.getValueState("kept", self.KEPT)
-        self.last = handle.getValueState("last", "t double")
+        self.open = handle.getListState("open", f"by string, seen double, {self.KEPT}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
@@ -74,37 +75,52 @@ class _Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((tuple(r) for r in rows if _millis(r[0]) <= passed), key=lambda r: (r[0], r[4], r[1], r[2]))
-        left = [tuple(r) for r in rows if _millis(r[0]) > passed]
-        self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-        last = self.last.get()[0] if self.last.exists() else None
-        work, out = self.begin(tuple(self.kept.get()) if self.kept.exists() else None), []
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if _millis(r[0]) <= passed), key=lambda r: (r[0], r[4] is not None, r[4] or "", r[1], r[2]))
+        left = [r for r in rows if _millis(r[0]) > passed]
+        if due:
+            self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+        kept = {r[0]: (r[1], tuple(r[2:])) for r in map(tuple, self.open.get())} if self.open.exists() else {}
+        work = {by: (self.begin(state), seen) for by, (seen, state) in kept.items()}
+        out = []
         for r in due:
+            by = r[self.by]
+            mine, last = work.get(by, (None, None))
             if last is not None and r[0] - last > self.idle_s:
-                out.extend(self.finish(work))
-                work = self.begin(None)
-            out.extend(self.step(work, r))
-            last = r[0]
-        over = None if last is None else _millis(last + self.idle_s) + 1
-        if over is not None and over <= passed:
-            out.extend(self.finish(work))
-            self.kept.clear()
-            self.last.clear()
-        elif last is not None:
-            self.kept.update(self.keep(work))
-            self.last.update((last,))
-            self.handle.registerTimer(over)
-        if left:
-            self.handle.registerTimer(min(_millis(r[0]) for r in left))
+                out.extend(self.finish(mine))
+                mine = None
+            if mine is None:
+                mine = self.begin(None)
+            out.extend(self.step(mine, r))
+            work[by] = mine, r[0]
+        over = {by: _millis(last + self.idle_s) + 1 for by, (_, last) in work.items()}
+        closed = [by for by, at in over.items() if at <= passed]
+        for by in closed:
+            out.extend(self.finish(work.pop(by)[0]))
+        if due or closed:
+            self.open.clear()
+            if work:
+                self.open.put([(by, last, *self.keep(mine)) for by, (mine, last) in work.items()])
+        ahead = [over[by] for by in work] + [_millis(r[0]) for r in left]
+        if ahead:
+            self.handle.registerTimer(min(ahead))
         yield self.table(out)
 
     def close(self) -> None:
         pass
 
 
+BUCKETS = 1024          # part of a checkpoint: a stream goes on with the number it began with
+
+
+def _by_bucket(fixes: DataFrame, by: str, processor: _Ordered, schema: str) -> DataFrame:
+    fixes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return fixes.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int")).groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def _millis(t: float) -> int:
     """The millisecond at which the watermark has passed a fix."""
     return math.ceil(t * 1000)
@@ -113,7 +129,7 @@ def _millis(t: float) -> int:
 class _KeepFilter(_Ordered):
     """Keeps the last kept fix of the trajectory."""
 
-    KEPT = "t double, lat double, lon double"
+    BY, KEPT = "traj_id", "t double, lat double, lon double"
 
     def __init__(self, min_interval_s: float | None, max_speed_mps: float | None, idle_s: float):
         super().__init__(idle_s)
@@ -146,14 +162,13 @@ class _KeepFilter(_Ordered):
 def keep_filter(fixes: DataFrame, min_interval_s: float | None = None, max_speed_mps: float | None = None,
                 idle_s: float = 7 * 86400.0) -> DataFrame:
     """Minimum-interval and speed filter against the last kept fix, once the watermark has passed the fix."""
-    fixes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return fixes.groupBy("traj_id").transformWithStateInPandas(
-        statefulProcessor=_KeepFilter(min_interval_s, max_speed_mps, idle_s), outputStructType=FIX_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return _by_bucket(fixes, _KeepFilter.BY, _KeepFilter(min_interval_s, max_speed_mps, idle_s), FIX_SCHEMA)
 
 
 class _OnlineStays(_Ordered):
     """Keeps the open anchor with the fixes that may still be scanned again, or their running sums once the stay is long enough."""
 
+    BY = "user_id"
     KEPT = ("t array<double>, lat array<double>, lon array<double>, traj array<string>, n bigint, sum_lat double, sum_lon double, "
             "last_t double, last_lat double, last_lon double, last_traj string, user string")
 
@@ -186,10 +201,8 @@ class _OnlineStays(_Ordered):
 
 def online_staypoints(fixes: DataFrame, dist_m: float = 200.0, time_s: float = 1200.0, idle_s: float = 7 * 86400.0) -> DataFrame:
     """Staypoints as they end, once the watermark has passed them; a user silent for ``idle_s`` of event time is closed."""
-    fixes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return fixes.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=_OnlineStays(dist_m, time_s, idle_s), outputMode="Append", timeMode="EventTime",
-        outputStructType="user_id string, traj_id string, lat double, lon double, t_arrive double, t_leave double")
+    return _by_bucket(fixes, _OnlineStays.BY, _OnlineStays(dist_m, time_s, idle_s),
+                      "user_id string, traj_id string, lat double, lon double, t_arrive double, t_leave double")
 
 
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
