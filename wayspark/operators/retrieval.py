@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import best_rows, matrix
+from ..functions.blocks import BLOCK_BYTES, best_rows, matrix
 from ..functions.draws import draw_int
 from ..functions.geo import to_xy
 from ..functions.pivots import PivotIndex, angle, largest_difference
@@ -49,25 +49,26 @@ def cosine_ranks(queries: DataFrame, database: DataFrame, key: str, vector: str
     widest angle) that lie nearer than the true row are counted whole, farther ones skipped, and the rest compared.
     """
     width = _row_bytes(database, vector)
-    index = PivotIndex(_doubles(database, key, vector).select("v"), "v", angle, width, slack=ROUNDING)
+    index = PivotIndex(_doubles(database, key, vector).select("v"), "v", angle, width, slack=ROUNDING, least_bytes=BLOCK_BYTES)
     own = _doubles(queries, key, vector).join(_doubles(database, key, vector).withColumnRenamed("v", "own"), key)
 
     def true_angle(batches):
         for batch in batches:
             a, b = (_unit(matrix(batch.column(c), batch.num_rows)) for c in (1, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arccos(np.clip((a * b).sum(1), -1.0, 1.0)))], names=[*batch.schema.names, "u"])
-    asked = own.mapInArrow(true_angle, f"{_field(queries, key)}, v array<double>, own array<double>, u double")
+            true = (a * b).sum(1)
+            added = [pa.array(np.round(true, DECIMALS)), pa.array(np.arccos(np.clip(true, -1.0, 1.0)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *added], names=[key, "v", "true", "u"])
+    asked = own.mapInArrow(true_angle, f"{_field(queries, key)}, v array<double>, true double, u double")
 
     def at_least(some, rows):
-        a, mine = (_unit(matrix(some.column(c), some.num_rows)) for c in ("v", "own"))
-        true = np.round((a * mine).sum(1), DECIMALS)
+        a, true = _unit(matrix(some.column("v"), some.num_rows)), some.column("true").to_numpy()
         b, n = _unit(matrix(rows.column("v"), rows.num_rows)), np.zeros(len(a), np.int64)
         for part in _parts(b, len(a)):
             n += (np.round(a @ part.T, DECIMALS) >= true[:, None]).sum(1)
         return {key: some.column(key), "n": n}
 
     around = cut_lineage(index.around(asked, "u", whole=True).drop("u"))
-    counts = index.compare(around, at_least, f"{_field(queries, key)}, n bigint", 2 * width)
+    counts = index.compare(around, at_least, f"{_field(queries, key)}, n bigint", width + 16)
     return counts.unionByName(around.select(key, F.col("_sure").alias("n"))).groupBy(key).agg(F.sum("n").alias("rank"))
 
 
