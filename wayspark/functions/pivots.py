@@ -30,6 +30,7 @@ PIVOTS = 1024
 PIVOT_BYTES = 32 * 1024 * 1024
 LEAST_BYTES = 1024 * 1024      # of a block: more tasks than that would copy queries for nothing
 STEP = 4_000_000            # distances in memory
+CELL_BYTES = 24             # of a query's cell in a task: listed, and named by number and row
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,13 +55,15 @@ def _slices(rows: int, width: int) -> Iterator[slice]:
 
 def _lists(mask: np.ndarray) -> pa.Array:
     """The marked columns of every row."""
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask.sum(1))), pa.int32()), pa.array(np.nonzero(mask)[1].astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask.sum(1))), pa.int32()), pa.array(np.nonzero(mask)[1].astype(np.int16)))
 
 
 class PivotIndex:
-    """``rows`` by cells. ``embed`` names the column of vectors that ``metric`` compares; ``slack`` covers its rounding, in its unit."""
+    """``rows`` by cells. ``embed`` names the column of vectors that ``metric`` compares; ``slack`` covers its rounding, in its unit.
+    Each query is copied to the blocks it meets: where queries are wide and many, ``least_bytes`` keeps blocks few."""
 
-    def __init__(self, rows: DataFrame, embed: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray], row_bytes: int, slack: float = 1e-6, pivots: int | None = None):
+    def __init__(self, rows: DataFrame, embed: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray], row_bytes: int, slack: float = 1e-6, pivots: int | None = None,
+                 least_bytes: int = LEAST_BYTES):
         self.embed, self.metric, self.slack, self.columns = embed, metric, slack, rows.columns
         self.spark = rows.sparkSession
         rows = cut_lineage(rows)
@@ -93,7 +96,7 @@ class PivotIndex:
         axis = np.zeros(len(drawn))
         if len(drawn) > 1:
             axis = (self.pivots - self.pivots.mean(0)) @ np.linalg.svd(self.pivots - self.pivots.mean(0), full_matrices=False)[2][0]
-        room = min(BLOCK_BYTES, max(LEAST_BYTES, self.n * row_bytes // partitions(self.spark)))
+        room = min(BLOCK_BYTES, max(least_bytes, self.n * row_bytes // partitions(self.spark)))
         self.block, held, at = np.zeros(len(drawn), np.int64), 0, 0
         for cell in np.argsort(axis, kind="stable"):
             size = int(self.count[cell]) * row_bytes
@@ -131,7 +134,7 @@ class PivotIndex:
             mask = np.zeros(d.shape, bool)
             np.put_along_axis(mask, order, (before < k) & (count[order] > 0), axis=1)
             return [_lists(mask)]
-        return self._cells(queries, choose, None, None, [T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+        return self._cells(queries, choose, None, None, [T.StructField("_cells", T.ArrayType(T.ShortType()))])
 
     def around(self, queries: DataFrame, bound: str, skip: str | None = None, whole: bool = False) -> DataFrame:
         """``queries`` with ``_cells``: the cells that may hold rows within ``bound``, without those of ``skip``; and ``_sure``, the number of rows of cells
@@ -145,7 +148,7 @@ class PivotIndex:
             for row, cells in enumerate(seen or ()):
                 mask[row, cells] = False
             return [_lists(mask & ~inside), pa.array((inside * count).sum(1))]
-        return self._cells(queries, choose, bound, skip, [T.StructField("_cells", T.ArrayType(T.IntegerType())), T.StructField("_sure", T.LongType())])
+        return self._cells(queries, choose, bound, skip, [T.StructField("_cells", T.ArrayType(T.ShortType())), T.StructField("_sure", T.LongType())])
 
     def compared(self, queries: DataFrame) -> int:
         """Pairs of a query and a row that the cells of ``queries`` leave."""
@@ -159,17 +162,19 @@ class PivotIndex:
         home = lambda cell: F.element_at(of, cell + 1)
         asked = queries.withColumn("_block", F.explode(F.array_distinct(F.transform("_cells", home)))).select(
             *names[0], "_block", F.filter("_cells", lambda c: home(c) == F.col("_block")).alias("_cells"))
-        crowd = asked.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()       # at most one row a block
+        tasks = partitions(self.spark)
+        crowd = asked.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_cells")).alias("cells")).collect()       # at most one row a block
         parts, shares = self.parts, np.ones(len(self.parts), np.int64)
         for r in crowd:
-            shares[r["_block"]] = max(1, -(-r["n"] * query_bytes // BLOCK_BYTES))
+            held = r["n"] * query_bytes + r["cells"] * CELL_BYTES
+            # few blocks: their queries are shared out for all cores
+            shares[r["_block"]] = max(1, -(-held // BLOCK_BYTES), min(tasks // max(1, len(crowd)), held // LEAST_BYTES))
         at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("_block") + 1)
         deal = lambda values: F.pmod(F.xxhash64(F.monotonically_increasing_id()), at(values)).cast("int")
         every = lambda values: F.explode(F.sequence(F.lit(0), at(values) - 1))
         left = asked.withColumn("_share", F.pmod(F.xxhash64(*names[0][:1]), at(shares)).cast("int")).withColumn("_part", every(parts))
         right = self.rows.drop("_far").withColumn("_block", home(F.col("_cell"))).withColumn("_part", deal(parts)).withColumn("_share", every(shares))
         key = ["_block", "_part", "_share"]
-        tasks = partitions(self.spark)
 
         def pair(a: pa.Table, b: pa.Table) -> pa.Table:
             if not a.num_rows or not b.num_rows:
