@@ -233,3 +233,23 @@ def test_clashing_columns_are_refused(spark):
         with pytest.raises(ValueError, match=name):
             repeats.remove_repeats(docs.withColumnRenamed("score", name))
     assert toxicity.score(docs.drop("score"), (np.zeros(1 << 20, np.float32), 0.0)).columns == ["doc_id", "text", "score"]
+
+
+def test_anchors_that_occur_once_are_only_counted(spark, monkeypatch):
+    """Segments are grouped over the written rows of repeated anchors, not over all anchors of the corpus."""
+    draw = random.Random(7)
+    words = lambda n: [f"w{draw.randrange(10 ** 9)}" for _ in range(n)]
+    passage, copy = words(40), words(60)
+    rows = [(k, " ".join(words(90) + (passage if k < 2 else []) + words(30))) for k in range(12)] + [(20, " ".join(copy)), (21, " ".join(copy)), (22, None)]
+    kept, keep = {}, repeats.keep
+
+    def seen(df, name):
+        kept[name] = df._jdf.queryExecution().toString(), keep(df, name)
+        return kept[name][1]
+
+    monkeypatch.setattr(repeats, "keep", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, repeats.digest(docs).collect())) == sorted(repeats.brute_force(rows, 35))
+    assert "MapInArrow" not in kept["segments"][0]
+    assert {r.row for r in kept["repeated"][1].collect()} == {r.row for r in docs.filter("doc_id < 2 OR doc_id IN (20, 21)").select(F.xxhash64(
+        F.col("doc_id").cast("string"), "text").alias("row")).collect()}

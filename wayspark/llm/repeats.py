@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._scratch import keep
+from ._scratch import drop, keep
 
 ANCHOR = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 WINDOW = pa.schema([("window", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("asked", pa.bool_())])
@@ -104,9 +104,12 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(row, first, last): runs of windows of ``length`` words that also start elsewhere. ``rows`` is (row long, text), row unique."""
     short = -(-length // 2)
     found = anchors(rows, short, length)
-    kinds = found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min_by(F.struct("row", "first", "last"), F.struct("row", "first")).alias("one"))
-    kinds = keep(kinds.groupBy("anchor").agg(F.count("*").alias("segments"), F.sum("copies").alias("all")).filter(F.col("all") > 1)
-                 .join(kinds, "anchor").select("anchor", "segment", "copies", "segments", "one"), "segments")
+    # most anchors occur once: what is left of them is a count, and only the others are grouped, joined and written
+    often = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("anchor"), "anchors")
+    found = keep(found.join(often, "anchor", "left_semi"), "repeated")
+    drop(often)
+    kinds = found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last")).alias("one"))
+    kinds = keep(kinds.groupBy("anchor").agg(F.count("*").alias("segments")).join(kinds, "anchor").select("anchor", "segment", "copies", "segments", "one"), "segments")
     full = found.join(kinds.filter(F.col("copies") > 1).select("anchor", "segment"), ["anchor", "segment"]).select("row", "first", "last")
     # extend: one occurrence of each segment whose anchor has others; only lone segments still ask for an answer
     spots = (kinds.filter(F.col("segments") > 1).select("one.row", F.struct("one.first", "one.last", (F.col("copies") == 1).alias("asked")).alias("spot"))
