@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..session import partitions
 
+AT_ONCE = 256               # rows of a batch that are Python objects at a time: a row may hold long arrays
+
 
 def keep_scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
               keep: Callable[[tuple, tuple], bool]) -> DataFrame:
@@ -51,17 +53,19 @@ def group_scan(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, state, out = None, None, []
         for batch in batches:
-            ids = zip(*[batch.column(k).to_pylist() for k in keys])
-            rows = zip(*[batch.column(c).to_pylist() for c in columns])
-            for key, row in zip(ids, rows):
-                if key != open_key:
-                    if state is not None:
-                        out.extend((*open_key, *r) for r in state.close())
-                    open_key, state = key, scanner()
-                out.extend((*key, *r) for r in state.step(row))
-            if out:
-                yield emit(out)
-                out = []
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                ids = zip(*[part.column(k).to_pylist() for k in keys])
+                rows = zip(*[part.column(c).to_pylist() for c in columns])
+                for key, row in zip(ids, rows):
+                    if key != open_key:
+                        if state is not None:
+                            out.extend((*open_key, *r) for r in state.close())
+                        open_key, state = key, scanner()
+                    out.extend((*key, *r) for r in state.step(row))
+                if out:
+                    yield emit(out)
+                    out = []
         if state is not None:
             out.extend((*open_key, *r) for r in state.close())
         if out:
