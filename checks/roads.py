@@ -106,10 +106,14 @@ def _file_writer(root, place, header):
 
     def write(batches):
         store, base = fs.FileSystem.from_uri(root)
+        made = set()
         for b in batches:
             for name, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 path = f"{base}/{place(name)}"
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(path) as out:
                     out.write(("\n".join([*header, *lines]) + "\n").encode())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])

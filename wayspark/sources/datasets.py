@@ -1,7 +1,9 @@
 """Readers of public trajectory data sets in their published layouts."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prep import labels_by_interval, speed_filter_lag
@@ -11,6 +13,9 @@ from .tables import read_table, to_seconds
 # Transport labels and the classes they count as.
 MODE_CLASSES = {"walk": "walk", "bike": "bike", "bus": "bus", "car": "car", "taxi": "car", "train": "train", "subway": "train", "railway": "train"}
 
+# Files up to this size are read as one value each; larger ones are read by splits.
+WHOLE_FILE_BYTES = 16 * 1024 * 1024
+
 
 def _path_part(index: int):
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), index)
@@ -20,6 +25,44 @@ def _stem():
     return F.regexp_replace(_path_part(-1), "\\.[^.]*$", "")
 
 
+def _listed(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """The files of these names at any depth, listed once, here. Each task of Spark's listing loads Hadoop's settings anew, which takes longer than
+    listing a folder, so tasks get many folders each: there are a few for every core, not one for every folder."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _by_size(files: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Of files listed once (format ``binaryFile``): the ones read whole, and the paths of the larger ones, as patterns that match only them.
+
+    Readers of text and CSV set up a reader for every file, which takes several times as long as reading a short file.
+    """
+    size = F.col("_metadata.file_size")
+    large = files.filter(size > WHOLE_FILE_BYTES).select("path").collect()
+    return files.filter(size <= WHOLE_FILE_BYTES), [_literal(r.path) for r in large]
+
+
+def _literal(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _split_lines() -> Column:
+    """Lines of a file read whole, ended as Hadoop's line reader ends them, without a byte order mark."""
+    return F.split(F.regexp_replace(F.col("content").cast("string"), "^\ufeff", ""), "\r\n|\r|\n")
+
+
+def _whole(files: DataFrame, lines: Column, **columns: Column) -> DataFrame:
+    """``lines`` of each file read whole, as an array, beside columns of its path. Spark counts every file as 4 MB when it deals them to tasks; short
+    files by the hundred thousand would make tasks of 32, so these are joined to a few tasks for every core."""
+    return files.select(*[c.alias(n) for n, c in columns.items()], "content").coalesce(8 * files.sparkSession.sparkContext.defaultParallelism) \
+        .select(*columns, lines.alias("_lines"))
+
+
 def read_geolife(spark: SparkSession, root: str, users: list[str] | None = None, labelled_only: bool = False,
                  max_speed_mps: float | None = 60.0) -> DataFrame:
     """Directory tree ``<user>/Trajectory/<trip>.plt`` with ``<user>/labels.txt`` intervals.
@@ -57,14 +100,31 @@ def read_worldtrace(spark: SparkSession, root: str, max_trajectories: int | None
     """Folder of per-trajectory CSV files (time, latitude, longitude[, matched_*]); every trajectory is
     its own user. A cap draws whole files."""
     lat, lon = ("matched_latitude", "matched_longitude") if use_matched else ("latitude", "longitude")
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    rows = raw.select(_stem().alias("traj_id"), F.col("time"), F.col(lat).try_cast("double").alias("lat"), F.col(lon).try_cast("double").alias("lon"))
+    raw = _csv_rows(spark, root)
+    rows = raw.select(F.col("_file").alias("traj_id"), F.col("time"), F.col(lat).try_cast("double").alias("lat"), F.col(lon).try_cast("double").alias("lon"))
     out = rows.select("traj_id", to_seconds(rows, "time").alias("t"), "lat", "lon").dropna()
     if max_trajectories:
         out = out.join(drawn_keys(out, "traj_id", max_trajectories, seed, "file"), "traj_id", "left_semi")
     return out.select(F.col("traj_id").alias("user_id"), "traj_id", "t", "lat", "lon")
 
 
+def _csv_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Text columns of the CSV files below ``root`` and the name of each row's file as ``_file``. As Spark's own reader has it, one file's header names
+    the columns of all, and every file's first line is dropped."""
+    files = _listed(spark, root, "*.csv")
+    first = files.filter("_metadata.file_size > 0").select("path").head(1)
+    header = spark.read.option("header", True)
+    schema = (header.csv(_literal(first[0].path)) if first else header.csv(root, recursiveFileLookup=True, pathGlobFilter="*.csv")).schema
+    whole, large = _by_size(files)
+    kept = F.filter(_split_lines(), lambda v: v.rlike(r"[^\x00-\x20]"))
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in schema.names)
+    body = _whole(whole, kept, _file=_stem()).select("_file", F.posexplode("_lines").alias("_i", "_line")).filter("_i > 0")
+    rows = body.select("_file", F.inline(F.array(F.from_csv("_line", fields))))  # a generator: every line is parsed once, however often its fields are used
+    if large:
+        rows = rows.unionAll(spark.read.schema(schema).option("header", True).csv(large).select(_stem().alias("_file"), "*"))
+    return rows
+
+
 def read_porto(spark: SparkSession, path: str, max_trajectories: int | None = None, seed: int = 0, step_s: float = 15.0, drop_missing: bool = True) -> DataFrame:
     """Taxi trips with a JSON list of [lon, lat], one fix per ``step_s`` from TIMESTAMP."""
     rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path) \
