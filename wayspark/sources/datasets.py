@@ -25,6 +25,13 @@ def _stem():
     return F.regexp_replace(_path_part(-1), "\\.[^.]*$", "")
 
 
+def _depth(spark: SparkSession, root: str) -> int:
+    """Folders above the entries of ``root``, from the top of its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(path).depth()
+
+
 def _listed(spark: SparkSession, path: str, names: str) -> DataFrame:
     """The files of these names at any depth, listed once, here. Each task of Spark's listing loads Hadoop's settings anew, which takes longer than
     listing a folder, so tasks get many folders each: there are a few for every core, not one for every folder."""
@@ -63,21 +70,36 @@ def _whole(files: DataFrame, lines: Column, **columns: Column) -> DataFrame:
         .select(*columns, lines.alias("_lines"))
 
 
+def _lines(files: DataFrame, **columns: Column) -> DataFrame:
+    """Text lines (``value``) of listed files, with columns of the file's path; empty lines are left out."""
+    whole, large = _by_size(files)
+    out = _whole(whole, _split_lines(), **columns).select(*columns, F.explode("_lines").alias("value"))
+    if large:
+        out = out.unionByName(files.sparkSession.read.text(large).select(*[c.alias(n) for n, c in columns.items()], "value"))
+    return out.filter("value <> ''")
+
+
 def read_geolife(spark: SparkSession, root: str, users: list[str] | None = None, labelled_only: bool = False,
                  max_speed_mps: float | None = 60.0) -> DataFrame:
     """Directory tree ``<user>/Trajectory/<trip>.plt`` with ``<user>/labels.txt`` intervals.
 
     Fix lines are recognised by their shape (seven fields with a date), so header lines need no line
-    numbers and files stay splittable.
+    numbers and large files stay splittable.
     """
-    lines = spark.read.text(f"{root.rstrip('/')}/*/Trajectory/*.plt").select("value", _path_part(-3).alias("user_id"), _stem().alias("trip"))
+    # one listing serves both kinds of files; below the users' folders Spark lists in tasks
+    files = _listed(spark, f"{root.rstrip('/')}/*", "{*.plt,labels.txt}")
+    depth = _depth(spark, root)
+    path = F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?", "")
+    at_depth = lambda n: F.size(F.split(path, "/")) == depth + n + 1
+    plt = files.filter(at_depth(3) & (_path_part(-2) == "Trajectory") & F.col("_metadata.file_name").endswith(".plt"))
+    lines = _lines(plt, user_id=_path_part(-3), trip=_stem())
     f = F.split("value", ",")
     fixes = lines.filter(F.col("value").rlike(r"^[^,]*(,[^,]*){4},\d{4}-\d{2}-\d{2},\s*\d{2}:\d{2}:\d{2}\s*$"))
     stamp = F.to_timestamp_ntz(F.concat_ws(" ", f[5], F.trim(f[6])), F.lit("yyyy-MM-dd HH:mm:ss"))
     points = fixes.select("user_id", F.concat_ws("_", "user_id", "trip").alias("traj_id"), stamp.alias("_s"),
                           f[0].try_cast("double").alias("lat"), f[1].try_cast("double").alias("lon"))
     points = points.withColumn("t", to_seconds(points, "_s")).drop("_s")
-    rows = spark.read.text(f"{root.rstrip('/')}/*", pathGlobFilter="labels.txt").select("value", _path_part(-2).alias("user_id"))
+    rows = _lines(files.filter(at_depth(2) & (F.col("_metadata.file_name") == "labels.txt")), user_id=_path_part(-2))
     g = F.split("value", "\t")
     at = lambda c: F.to_timestamp_ntz(F.trim(c), F.lit("yyyy/MM/dd HH:mm:ss"))
     raw = rows.filter(F.col("value").rlike(r"^\d{4}/")).select("user_id", at(F.get(g, 0)).alias("_a"), at(F.get(g, 1)).alias("_b"), F.lower(F.trim(F.get(g, 2))).alias("raw"))
