@@ -2,12 +2,15 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prep import labels_by_interval, speed_filter_lag
 from ..operators.splits import drawn_keys, trajectory_cap
+from ..session import work_dir
 from .tables import read_table, to_seconds
 
 # Transport labels and the classes they count as.
@@ -16,6 +19,9 @@ MODE_CLASSES = {"walk": "walk", "bike": "bike", "bus": "bus", "car": "car", "tax
 # Files up to this size are read as one value each; larger ones are read by splits.
 WHOLE_FILE_BYTES = 16 * 1024 * 1024
 
+# The driver holds a list of about this many files of a tree of folders at a time (1 to 2 KB each); it first lists so many folders to see how many files they have.
+FILES_AT_ONCE, FOLDERS_FIRST = 50_000, 100
+
 
 def _path_part(index: int):
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), index)
@@ -32,16 +38,48 @@ def _depth(spark: SparkSession, root: str) -> int:
     return store.makeQualified(path).depth()
 
 
-def _listed(spark: SparkSession, path: str, names: str) -> DataFrame:
+def _listed(spark: SparkSession, path: str | list[str], names: str) -> DataFrame:
     """The files of these names at any depth, listed once, here. Each task of Spark's listing loads Hadoop's settings anew, which takes longer than
-    listing a folder, so tasks get many folders each: there are a few for every core, not one for every folder."""
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    listing a folder, so tasks get many folders each: there are a few for every core, not one for every folder. The list is held by the result
+    alone, not by Spark's cache of lists too."""
+    key, cache = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.filesourcePartitionFileCacheSize"
+    before = {k: spark.conf.get(k) for k in (key, cache)}
+    spark.conf.set(key, str(min(int(before[key]), 8 * spark.sparkContext.defaultParallelism)))
+    spark.conf.set(cache, "0")
     try:
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _entries(spark: SparkSession, root: str) -> list[str]:
+    """Paths right below ``root``, which may be a pattern; thousands come over from Java at a time."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = spark._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().globPath(store, pattern)
+    mark, out, step = "\n//\n", [], 10_000                # no path has that in it
+    for first in range(0, found.size(), step):
+        out.extend(found.slice(first, first + step).mkString(mark).split(mark))
+    return out
+
+
+def _in_turns(spark: SparkSession, root: str, names: str) -> Iterator[tuple[DataFrame, bool]]:
+    """The files of these names below the folders in ``root``, about ``FILES_AT_ONCE`` at a time, and whether they are the last. Each list is to be
+    dropped before the next one is asked for: the driver cannot hold the list of any number of files. All files of one folder are in one list."""
+    folders, first, n, rate = _entries(spark, root), 0, FOLDERS_FIRST, 0.0
+    if not folders:
+        yield _listed(spark, f"{root.rstrip('/')}/*", names), True             # Spark's error
+    while first < len(folders):
+        some = folders[first:first + n]
+        files = _listed(spark, [_literal(f) for f in some], names)
+        found = len(files._jdf.inputFiles())
+        if not first and len(some) < len(folders) and 10 * found <= FILES_AT_ONCE:
+            n *= 10
+            continue
+        rate, first = max(rate, found / len(some)), first + len(some)          # of the fullest list: the next folders may be like those
+        yield files, first >= len(folders)
+        files, n = None, max(1, min(10 * n, int(FILES_AT_ONCE / rate) if rate else 10 * n))
 
 
 def _by_size(files: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -79,16 +117,25 @@ def _lines(files: DataFrame, **columns: Column) -> DataFrame:
     return out.filter("value <> ''")
 
 
-def read_geolife(spark: SparkSession, root: str, users: list[str] | None = None, labelled_only: bool = False,
-                 max_speed_mps: float | None = 60.0) -> DataFrame:
-    """Directory tree ``<user>/Trajectory/<trip>.plt`` with ``<user>/labels.txt`` intervals.
-
-    Fix lines are recognised by their shape (seven fields with a date), so header lines need no line
-    numbers and large files stay splittable.
-    """
-    # one listing serves both kinds of files; below the users' folders Spark lists in tasks
-    files = _listed(spark, f"{root.rstrip('/')}/*", "{*.plt,labels.txt}")
+def _geolife_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Fixes (user_id, traj_id, lat, lon, t) and lines of labels (user_id, value). A tree with more files than the driver lists at once is read into
+    the work folder, some users after others."""
     depth = _depth(spark, root)
+    base = f"{work_dir(spark)}/read/geolife-{uuid.uuid4().hex[:8]}"
+    whole = True
+    # one listing serves both kinds of files; below the users' folders Spark lists in tasks
+    for files, last in _in_turns(spark, root, "{*.plt,labels.txt}"):
+        parts = dict(zip(("fixes", "labels"), _geolife_parts(files, depth)))
+        if whole and last:
+            return parts["fixes"], parts["labels"]
+        whole = False
+        for name, part in parts.items():
+            part.write.mode("append").parquet(f"{base}/{name}")
+        del files, part, parts
+    return spark.read.parquet(f"{base}/fixes"), spark.read.parquet(f"{base}/labels")
+
+
+def _geolife_parts(files: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     path = F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?", "")
     at_depth = lambda n: F.size(F.split(path, "/")) == depth + n + 1
     plt = files.filter(at_depth(3) & (_path_part(-2) == "Trajectory") & F.col("_metadata.file_name").endswith(".plt"))
@@ -98,8 +145,18 @@ def read_geolife(spark: SparkSession, root: str, users: list[str] | None = None,
     stamp = F.to_timestamp_ntz(F.concat_ws(" ", f[5], F.trim(f[6])), F.lit("yyyy-MM-dd HH:mm:ss"))
     points = fixes.select("user_id", F.concat_ws("_", "user_id", "trip").alias("traj_id"), stamp.alias("_s"),
                           f[0].try_cast("double").alias("lat"), f[1].try_cast("double").alias("lon"))
-    points = points.withColumn("t", to_seconds(points, "_s")).drop("_s")
-    rows = _lines(files.filter(at_depth(2) & (F.col("_metadata.file_name") == "labels.txt")), user_id=_path_part(-2))
+    return points.withColumn("t", to_seconds(points, "_s")).drop("_s"), \
+        _lines(files.filter(at_depth(2) & (F.col("_metadata.file_name") == "labels.txt")), user_id=_path_part(-2))
+
+
+def read_geolife(spark: SparkSession, root: str, users: list[str] | None = None, labelled_only: bool = False,
+                 max_speed_mps: float | None = 60.0) -> DataFrame:
+    """Directory tree ``<user>/Trajectory/<trip>.plt`` with ``<user>/labels.txt`` intervals.
+
+    Fix lines are recognised by their shape (seven fields with a date), so header lines need no line
+    numbers and large files stay splittable.
+    """
+    points, rows = _geolife_lines(spark, root)
     g = F.split("value", "\t")
     at = lambda c: F.to_timestamp_ntz(F.trim(c), F.lit("yyyy/MM/dd HH:mm:ss"))
     raw = rows.filter(F.col("value").rlike(r"^\d{4}/")).select("user_id", at(F.get(g, 0)).alias("_a"), at(F.get(g, 1)).alias("_b"), F.lower(F.trim(F.get(g, 2))).alias("raw"))
