@@ -74,8 +74,8 @@ def _in_turns(spark: SparkSession, root: str, names: str) -> Iterator[tuple[Data
         some = folders[first:first + n]
         files = _listed(spark, [_literal(f) for f in some], names)
         found = len(files._jdf.inputFiles())
-        if not first and len(some) < len(folders) and 10 * found <= FILES_AT_ONCE:
-            n *= 10
+        if not first and n < len(folders) and 2 * found <= FILES_AT_ONCE:      # more go into the first list, all if they are few
+            n = int(n * min(10, FILES_AT_ONCE / max(found, 1)))
             continue
         rate, first = max(rate, found / len(some)), first + len(some)          # of the fullest list: the next folders may be like those
         yield files, first >= len(folders)
